@@ -101,6 +101,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Plain deal over the default number of partitions, for a source with fewer splits than the cluster has cores."""
-    return df.repartition()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, pii, quality, sentencepiece_bpe
+from . import ann, exact_dedup, language_id, packing, pii, quality, sentencepiece_bpe
 from .common import documents
 
 
@@ -53,6 +53,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(table, F.col("vec_id") % 20 == 0, top=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     prototypes = language_id.learn(docs.where(~language_id.held_out_split(docs)).select("text", "lang"))
@@ -60,5 +65,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out_split(docs).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op8_ann, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}

@@ -69,20 +69,27 @@ def _clean() -> None:
             return
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows only; texts may be long, so a batch gets 1,024 rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 1024:
+        spark.conf.set(name, "1024")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """Maps Arrow batches. make() runs once a task and returns a function from lists by column to lists by column."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    smaller_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for batch in batches:
             fn = fn or make()
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
+            if batch.num_rows:
+                out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -101,3 +108,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """16 bytes that rows with one id and one text share; such rows are alike to every operator."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    whole = F.concat_ws("\x00", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\x01")), text)
+    return F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_key, _id and _text (null: empty)."""
+    return docs.select(row_key(id_col, text_col).alias("_key"), F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, lm_score, packing, pii, quality, sentencepiece_bpe, substring_dedup
+from . import ann, exact_dedup, language_id, lm_score, ngram_join, packing, pii, quality, sentencepiece_bpe, substring_dedup
 from .common import documents
 
 
@@ -53,6 +53,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.Join(documents(spark, sf_dir).select("doc_id", "text")).classes()
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -87,5 +91,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out_split(docs).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op7_substring_dedup, op8_ann, op9_lm_score, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op6_ngram_jaccard, op7_substring_dedup, op8_ann, op9_lm_score, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import WORD_SPLIT, map_rows, stash, unstash
+from .common import WORD_SPLIT, keyed, map_rows, stash, unstash
 
 WINDOW = 35
 ANCHOR = 12
@@ -85,12 +85,6 @@ def runs(text: str | None, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[
     return grams[place[first]], first, last, context, whole
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with one id and one text share a key; their results are equal."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.sha2(F.concat_ws("\x00", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\x01")), text), 256).alias("_key"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text")).withColumn("_key", F.substring(F.unhex("_key"), 1, 16))
-
-
 def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """rows: _key, _text. Returns _key and `ranges`, the repeated windows as (first start, last start)."""
     spark = rows.sparkSession

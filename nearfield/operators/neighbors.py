@@ -38,15 +38,20 @@ def pairs(df: DataFrame) -> DataFrame:
     )
 
 
-def candidates(df: DataFrame, *, k: int = 0, m: int = 0, block: int = BLOCK, queries: Column | None = None) -> DataFrame:
-    """Of each row the k nearest, and the m nearest that share only the label and only the confounder; from each block, so a superset."""
-    u = units(df)
+def _blocked(u: DataFrame, block: int) -> DataFrame:
     sizes = u.groupBy("subset").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
-    blocked = u.join(sizes, "subset").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asks = (blocked if queries is None else blocked.where(queries)).withColumnsRenamed({"own": "qb", "other": "cb"})
-    has = blocked.withColumnsRenamed({"own": "cb", "other": "qb"})
-    has = has.select(*(F.col(c).alias(c) for c in has.columns))  # both sides come from one table: fresh columns
+    return u.join(sizes, "subset").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+
+
+def candidates(df: DataFrame, *, k: int = 0, m: int = 0, block: int = BLOCK, against: DataFrame | None = None) -> DataFrame:
+    """Of each row the k nearest, and the m nearest that share only the label and only the confounder; from each block, so a superset.
+    Neighbours come from `against`, by default from df itself."""
+    left = _blocked(units(df), block)
+    right = left if against is None else _blocked(units(against), block)
+    n_left, n_right = (x.groupBy("subset").agg(F.max("blocks").alias("n")) for x in (left, right))
+    asks = left.join(n_right, "subset").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("own", "qb")
+    has = right.join(n_left, "subset").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("own", "cb")
+    has = has.select(*(F.col(c).alias(c) for c in has.columns))  # both sides may come from one table: fresh columns
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = {"subset": object, "q": "int64", "c": "int64", "dist": "float64", "same_label": bool, "same_conf": bool}
@@ -87,13 +92,13 @@ def ranked(found: DataFrame) -> DataFrame:
 
 
 def nearest(df: DataFrame, k: int, **options) -> DataFrame:
-    """The k nearest of each row: subset, q, c, rank, dist, same_label, same_conf, type."""
-    return ranked(candidates(df, k=k, **options)).where(F.col("rank") <= k)
+    """The k nearest of each row: subset, q, c, rank, dist, same_label, same_conf, type. The search is kept, as several measures read it."""
+    return ranked(candidates(df, k=k, **options).persist()).where(F.col("rank") <= k)
 
 
 def nearest_typed(df: DataFrame, m: int, **options) -> DataFrame:
     """The m nearest of each row that share only the label (SO) and only the confounder (OS), with their rank within the type."""
-    found = candidates(df, m=m, **options).withColumn("type", kind(F.col("same_label"), F.col("same_conf"))).where("type in ('SO', 'OS')")
+    found = candidates(df, m=m, **options).persist().withColumn("type", kind(F.col("same_label"), F.col("same_conf"))).where("type in ('SO', 'OS')")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY, "type").orderBy("dist", "c"))).where(F.col("rank") <= m)
 
 

@@ -18,7 +18,7 @@ SUPPORT_FLOOR, OO_HIGH, LTM_GAP = 0.75, 0.10, 0.20
 def subgroups(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     """rows: sample_id, label, confounder, margin. For every stratum, label and confounder: its own and the rest's statistics and its part in the tail
     (the first ceil(alpha n) rows by margin, then sample_id)."""
-    good = rows.where(F.col("margin").isNotNull()).select("sample_id", "label", "confounder", "margin")
+    good = rows.where(F.col("margin").isNotNull()).select("sample_id", "label", "confounder", "margin").persist()
     n = good.count()
     tail_size = max(1, -(-int(round(alpha * n * 1e9)) // 10**9))
     cut = good.orderBy("margin", "sample_id").limit(tail_size).agg(F.max(F.struct("margin", "sample_id")).alias("cut"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, downstream, knn, margin, neighbors, report, scoring, stats
+from ..operators import align, knn, margin, neighbors, scoring, stats
 from ..sources import manifest as mf
 
 K, K_MAX, KS, M, ALPHA, TAU = 11, 50, (1, 3, 5, 7, 9, 11, 21, 31), 5, 0.1, 0.2

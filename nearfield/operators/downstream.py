@@ -105,7 +105,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, classes: int, c: float, rounds: int
             value = -log[np.arange(len(y)), y].sum()
             g = np.exp(log)
             g[np.arange(len(y)), y] -= 1
-        return c * value + 0.5 * ((w * free) ** 2).sum(), (c * g.T @ x + w * free).ravel()
+        # divided by c times the rows, so that the stopping rule means the same for every penalty
+        n = len(x)
+        return value / n + 0.5 / (c * n) * ((w * free) ** 2).sum(), (g.T @ x / n + w * free / (c * n)).ravel()
 
     w = np.zeros(k * width)
     value, grad = loss(w)
@@ -153,7 +155,7 @@ def fit_probe(train, validation, tests, classes: int) -> list[float]:
     """Picks the first best of 15 penalties on the validation rows and scores the test sets with a refit."""
     best, penalty = -1.0, None
     for c in 10.0 ** np.linspace(-8, 4, 15):
-        got = _score(validation[1], _predict(_logistic(*train, classes, c), validation[0])) if len(validation[1]) else 0.0
+        got = _score(validation[1], _predict(_logistic(*train, classes, c), validation[0]))
         if got > best:
             best, penalty = got, c
     w = _logistic(*train, classes, penalty)
@@ -164,10 +166,10 @@ def probe_sweep(rows: DataFrame, plan: DataFrame, *, rows_per_slide: int = 1, it
     """rows: row_id, i, j, features. Returns split, iter, acc on the held-out rows. The class j is the target."""
     spark = rows.sparkSession
     sizes = {(r["i"], r["j"]): r["n"] for r in rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
-    wanted = {(r["i"], r["j"]): r["most"] for r in plan.groupBy("i", "j").agg(F.max("take").alias("most")).collect()}
-    short = {c: n for c, n in wanted.items() if sizes.get(c, 0) <= n}
-    if short:
-        raise ValueError(f"cells too small for the schedule: {sorted(short)}")
+    cells_of = plan.groupBy("i", "j").agg(F.max("take").alias("most"), F.max("max_train_slides").alias("top")).collect()
+    first = {(r["i"], r["j"]): (r["top"] + 1 + (0 if validation is None else round(validation * r["top"]))) * rows_per_slide for r in cells_of}
+    if short := sorted(c for c, n in first.items() if sizes.get(c, 0) <= n):
+        raise ValueError(f"cells too small for the schedule, no held-out rows: {short}")
     place = Window.partitionBy("i", "j").orderBy("row_id")
     cells: dict[tuple[int, int], list[int]] = {}
     for r in rows.withColumn("pos", F.row_number().over(place)).select("i", "j", "pos", "row_id").orderBy("i", "j", "pos").collect():  # ids of one study's cells
@@ -182,6 +184,8 @@ def probe_sweep(rows: DataFrame, plan: DataFrame, *, rows_per_slide: int = 1, it
         for role in ("train", "validation", "held_out"):
             own = pdf[pdf["role"] == role]
             part[role] = (np.stack(own["features"].to_numpy()).astype(float) if len(own) else np.zeros((0, 1)), own["j"].to_numpy(int))
+        if not len(part["validation"][1]):
+            raise ValueError("no validation rows: more rows a slide or a validation fraction are needed")
         return pd.DataFrame({"split": [key[0]], "iter": [key[1]], "acc": fit_probe(part["train"], part["validation"], [part["held_out"]], classes)})
 
     return roles.groupBy("split", "iter").applyInPandas(fit, "split int, iter int, acc double")

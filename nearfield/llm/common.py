@@ -6,15 +6,16 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word is a maximal run of characters other than space and the controls 9 to 13.
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
+# A word is a maximal run of characters other than space and the controls 9 to 13.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: For str.translate: lower-cases A-Z only.
@@ -23,6 +24,38 @@ TO_LOWER = {ord(u): ord(low) for u, low in zip(UPPER, LOWER, strict=True)}
 _written: list[tuple[SparkSession, str]] = []
 
 
+def words(text: str | None) -> list[str]:
+    """The words of a text, unchanged."""
+    text = text or ""
+    for space in "\n\t\r\x0b\x0c":
+        text = text.replace(space, " ")
+    return [w for w in text.split(" ") if w]
+
+
+class WordHashes(dict):
+    """A bounded memo of 64-bit hashes of words; a full memo is emptied, results do not depend on it."""
+
+    def __init__(self, lower: bool, most: int = 400_000):
+        super().__init__()
+        self.lower, self.most = lower, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word.translate(TO_LOWER) if self.lower and not word.islower() else word)
+        return got
+
+
+@cache
+def word_hashes(lower: bool) -> WordHashes:
+    """One memo for a worker: of words as they are, or lower-cased A-Z."""
+    return WordHashes(lower)
+
+
+def hashed(found: list[str], lower: bool) -> np.ndarray:
+    return np.fromiter(map(word_hashes(lower).__getitem__, found), np.uint64, len(found))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

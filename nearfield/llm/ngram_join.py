@@ -4,10 +4,10 @@ Signatures. A text is the set of its 5-word shingles; texts with equal sets are
 Forest. A representative has TREES sorted tries; its path in a trie is a row of min-hashes. Two texts meet in a trie where their paths share a prefix. The
 prefix is shortened level by level until texts at the threshold meet somewhere with the target recall, 1 - (1 - threshold^depth)^TREES. Trie nodes
 with one text are dropped by a Bloom filter of bounded size before anything is shuffled.
-Candidates. The texts of a node are compared by 2-bit signatures, in blocks and pairs of blocks, and each block gives a spanning forest of its likely links
-(4.5 standard errors below the threshold), never all pairs. Connected components of these forests are the candidate groups.
+Candidates. The texts of a node are compared by 2-bit signatures, in blocks and pairs of blocks, and each block gives stars that span its likely
+links (4.5 standard errors below the threshold), never all pairs. Connected components of these stars are the candidate groups.
 Verification. Shingle sets, read once for texts in groups, are intersected exactly, again in blocks and pairs of blocks: every pair of different texts in a
-group is decided. Tasks return counts of links and spanning forests of the true links, whose components are the classes.
+group is decided. Tasks return counts of links and stars that span the true links, whose components are the classes.
 
 Rows of a hot key are attached by broadcast (a bounded number of keys hold more than a given share each) and all others by sort-merge joins.
 
@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import keyed, map_rows, row_key, smaller_batches, stash, unstash
-from .lm_score import _hashes, words
+from .common import hashed, keyed, map_rows, row_key, smaller_batches, stash, unstash, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -51,7 +50,7 @@ def depth_for(threshold: float = THRESHOLD, trees: int = TREES, recall: float =
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes."""
-    h = np.array([*map(_hashes().__getitem__, words(text))], np.uint64)
+    h = hashed(words(text), True)
     if not len(h):
         return h
     size = min(size, len(h))
@@ -90,20 +89,19 @@ def two_bits(sig: np.ndarray) -> bytes:
     return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).tobytes()
 
 
-def forest_of(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric matrix."""
+def stars_of(linked: np.ndarray, names: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """For each component of a symmetric matrix an edge from its smallest name to every other one."""
     left, out = np.ones(len(linked), bool), []
-    for root in range(len(linked)):
+    for root in sorted(range(len(linked)), key=names.__getitem__):
         if not left[root]:
             continue
         left[root] = False
         queue = [root]
         while queue:
-            at = queue.pop()
-            new = np.flatnonzero(linked[at] & left)
+            new = np.flatnonzero(linked[queue.pop()] & left).tolist()
             left[new] = False
-            out += [(at, x) for x in new.tolist()]
-            queue += new.tolist()
+            out += [(names[root], names[x]) for x in new]
+            queue += new
     return out
 
 
@@ -159,21 +157,25 @@ def _in_blocks(df: DataFrame, size: F.Column, member: str, block: int) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v. Returns node and root, the smallest node of its component; nodes without edges don't occur. Rounds of taking the
-    smallest root among neighbours, then the root's root."""
-    both = stash(edges.select(F.col("u").alias("node"), F.col("v").alias("near")).union(edges.select("v", "u")).distinct(), "edges")
-    now = stash(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("root")), "roots")
-    while True:
-        near = both.join(now.select(F.col("node").alias("near"), F.col("root").alias("r")), "near").groupBy("node").agg(F.min("r").alias("r"))
-        step = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        jump = now.select(F.col("node").alias("root"), F.col("root").alias("rr"))
-        new = stash(step.join(jump, "root").select("node", "old", F.least("root", "rr").alias("root")), "roots")
-        changed = new.where("old <> root").limit(1).count()
-        unstash(now)
-        now = new
-        if not changed:
-            unstash(both)
-            return now.select("node", "root")
+    """edges: u, v. Returns node and root, the smallest node of its component; nodes without edges don't occur. Each round every node goes to its
+    smallest neighbour, and edges are contracted to those between different ones, so rounds get smaller."""
+    left = stash(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    now = stash(left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("root", F.col("node")), "roots")
+    while left.limit(1).count():
+        both = left.select(F.col("u").alias("at"), F.col("v").alias("near")).union(left.select("v", "u"))
+        to = both.groupBy("at").agg(F.least(F.min("near"), F.col("at")).alias("to"))
+        to = stash(to, "steps")
+        # one more step along the pointers: each leads to a smaller or the same node
+        jump = to.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        far = stash(to.join(jump, "to").select("at", F.col("next").alias("to")), "steps")
+        new_left = left.join(far.select(F.col("at").alias("u"), F.col("to").alias("tu")), "u").join(far.select(F.col("at").alias("v"), F.col("to").alias("tv")), "v")
+        new_left = stash(new_left.where("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct(), "edges")
+        new_now = stash(now.join(far.withColumnRenamed("at", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        for old in (left, now, to, far):
+            unstash(old)
+        left, now = new_left, new_now
+    unstash(left)
+    return now.select("node", "root")
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -219,7 +221,7 @@ class Join:
         return stash(map_rows(self.keyed, make, f"_key binary, id {self.id_type}, g binary, keys array<long>, sig binary"), "features")
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
-        """Edges u, v of spanning forests of likely links."""
+        """Edges u, v of stars that span the likely links."""
         spark = reps.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -263,13 +265,13 @@ class Join:
                 x = sig[:, None, w] ^ sig[None, :, w]
                 differ += np.bitwise_count((x | x >> np.uint64(1)) & pairs_mask)
             linked = count - differ >= least
-            edges = forest_of(linked)
-            return {"u": [min(rows["g"][i], rows["g"][j]) for i, j in edges], "v": [max(rows["g"][i], rows["g"][j]) for i, j in edges]}
+            edges = stars_of(linked, rows["g"])
+            return {"u": [u for u, _ in edges], "v": [v for _, v in edges]}
 
         return _by_group(placed.select("key", "x", "y", "g", "sig"), ["key", "x", "y"], link, "u binary, v binary").distinct()
 
     def _verified(self, members: DataFrame) -> DataFrame:
-        """members: g, _key, copies, root, size. Rows u, v, links: edges of spanning forests (links null), and each text's links in a block."""
+        """members: g, _key, copies, root, size. Rows u, v, links: edges of stars (links null), and each text's links in a block."""
         spark = members.sparkSession
         wanted = map_rows(members.select("_key"), lambda: lambda b: _first_words(b["_key"]), "segment int, key long")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -298,10 +300,10 @@ class Join:
             if key[1] != key[2]:  # pairs within a block are decided where it meets itself
                 similar &= own[:, None] != own[None, :]
             links = similar @ copies
-            edges = forest_of(similar)
+            edges = stars_of(similar, g)
             return {
-                "u": [min(g[i], g[j]) for i, j in edges] + g,
-                "v": [max(g[i], g[j]) for i, j in edges] + [None] * len(g),
+                "u": [u for u, _ in edges] + g,
+                "v": [v for _, v in edges] + [None] * len(g),
                 "links": [None] * len(edges) + links.tolist(),
             }
 

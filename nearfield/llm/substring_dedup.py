@@ -17,72 +17,74 @@ occurrences of their own, so their windows count as repeated. Null ids are ids l
 from __future__ import annotations
 
 import hashlib
-import re
-from functools import cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import WORD_SPLIT, keyed, map_rows, stash, unstash
+from .common import hashed, keyed, map_rows, stash, unstash, words
 
 WINDOW = 35
 ANCHOR = 12
 MAX_BITS = 1 << 27
-MEMO = 400_000
-_SPLIT = re.compile(WORD_SPLIT)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-@cache
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
-def words(text: str | None) -> list[str]:
-    return [w for w in _SPLIT.split(text or "") if w]
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-def runs(text: str | None, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """For each run: its anchor's hash, its first and last window's start; and the hash of every window."""
-    found = np.array([*map(_hashes().__getitem__, words(text))], np.uint64)
-    n = len(found)
-    if n < window:
-        none = np.empty(0, np.uint64)
-        return none, none.astype(np.int64), none.astype(np.int64), none, none
-    grams = np.zeros(n - anchor + 1, np.uint64)
-    for j in range(anchor):
-        grams = (grams ^ found[j : n - anchor + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-        grams ^= grams >> np.uint64(29)
-    grams = bits.mix(grams)
-    reach = window - anchor + 1
-    place = np.lib.stride_tricks.sliding_window_view(grams, reach).argmin(1) + np.arange(n - window + 1)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    last = np.concatenate((first[1:], [len(place)])) - 1
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(bits.mix(found) * _powers(_BASE, n), dtype=np.uint64)))
-    back = _powers(_INVERSE, n)
-    starts = np.arange(n - window + 1)
-    whole = bits.mix((sums[starts + window] - sums[starts]) * back[starts])
-    context = (sums[last + window] - sums[first]) * back[first]
-    context = bits.mix(context + bits.mix(((last - first) * 64 + place[first] - first).astype(np.uint64)))
-    return grams[place[first]], first, last, context, whole
+class Runs:
+    """Windows of a list of texts. All texts are hashed as one array; windows that would cross texts are left out."""
+
+    def __init__(self, texts: list[str | None], window: int, anchor: int):
+        listed = [words(t) for t in texts]
+        sizes = np.array([len(w) for w in listed], np.int64)
+        self.window, self.found = window, hashed([w for own in listed for w in own], False)
+        begin = np.cumsum(sizes) - sizes
+        counts = np.maximum(sizes - window + 1, 0)
+        #: text and place in the array of each window
+        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.begin = begin
+        self.at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
+        n = len(self.found) - anchor + 1
+        if not len(self.at):
+            self.first = self.last = self.place = np.empty(0, np.int64)
+            self.anchors = np.empty(0, np.uint64)
+            return
+        grams = np.zeros(n, np.uint64)
+        for j in range(anchor):
+            grams = (grams ^ self.found[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
+            grams ^= grams >> np.uint64(29)
+        grams = bits.mix(grams)
+        # place of the smallest hash (its top 36 bits, then the leftmost) of each window, by doubling
+        reach, low = window - anchor + 1, np.uint64((1 << 28) - 1)
+        least = (grams & ~low) | np.arange(n, dtype=np.uint64)
+        width = 1
+        while 2 * width <= reach:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[: n - reach + 1], least[reach - width :])
+        self.place = (least[self.at] & low).astype(np.int64)
+        new = np.concatenate(([True], (self.place[1:] != self.place[:-1]) | (self.text[1:] != self.text[:-1])))
+        #: numbers of the first and last window of each run
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(new)) - 1
+        self.anchors = grams[self.place[self.first]]
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run with its surroundings, of each window."""
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(bits.mix(self.found) * _powers(_BASE, len(self.found)), dtype=np.uint64)))
+        back = _powers(_INVERSE, len(self.found))
+        whole = bits.mix((sums[self.at + self.window] - sums[self.at]) * back[self.at])
+        start, end = self.at[self.first], self.at[self.last]
+        context = (sums[end + self.window] - sums[start]) * back[start]
+        shape = ((end - start) * 64 + self.place[self.first] - start).astype(np.uint64)
+        return bits.mix(context + bits.mix(shape)), whole
 
 
 def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -92,8 +94,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
     def make_anchors():
         def run(batch):
-            found = [runs(t, window, anchor)[0] for t in batch["_text"]]
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            keys, n = np.unique(Runs(batch["_text"], window, anchor).anchors, return_counts=True)
             return {"segment": bits.segment(keys), "key": keys.view(np.int64), "n": n}
 
         return run
@@ -106,17 +107,22 @@ def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
     def make_runs():
         def run(batch):
-            out = {c: [] for c in ("_key", "a", "c", "s1", "s2", "w")}
-            for key, text in zip(batch["_key"], batch["_text"], strict=True):
-                a, first, last, context, whole = runs(text, window, anchor)
-                for x in np.flatnonzero(may.value.has(a)).tolist() if len(a) else ():
-                    out["_key"].append(key)
-                    out["a"].append(int(a[x].view(np.int64)))
-                    out["c"].append(int(context[x].view(np.int64)))
-                    out["s1"].append(int(first[x]))
-                    out["s2"].append(int(last[x]))
-                    out["w"].append(whole[first[x] : last[x] + 1].tobytes())
-            return out
+            own = Runs(batch["_text"], window, anchor)
+            some = np.flatnonzero(may.value.has(own.anchors))
+            if not len(some):
+                return {c: [] for c in ("_key", "a", "c", "s1", "s2", "w")}
+            context, whole = own.hashes()
+            first, last = own.first[some], own.last[some]
+            text = own.text[first]
+            data = whole.tobytes()
+            return {
+                "_key": [batch["_key"][t] for t in text.tolist()],
+                "a": own.anchors[some].view(np.int64),
+                "c": context[some].view(np.int64),
+                "s1": own.at[first] - own.begin[text],
+                "s2": own.at[last] - own.begin[text],
+                "w": [data[8 * f : 8 * e + 8] for f, e in zip(first.tolist(), last.tolist(), strict=True)],
+            }
 
         return run
 

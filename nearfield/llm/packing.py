@@ -29,7 +29,8 @@ SEPARATOR = 0
 GROUP = 40_000
 #: Bins filled less than this go to the second round.
 OPEN = 0.97
-MEMO = 500_000
+#: Entries of a worker's memos; full ones are emptied, results do not depend on them.
+WORDS_MEMO, PARTS_MEMO = 800_000, 600_000
 #: Pre-tokenization cuts between a letter or digit and such a mark, and at white space, so these parts are encoded apart.
 PARTS = re.compile(r"[^\W_]++(?![^ \t\r\n!-&(-/:-@\[-`{-~])|[^ \t\r\n]+")
 
@@ -42,38 +43,48 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_words: dict[str, bytes] = {}
-_parts: dict[str, bytes] = {}
 
 
-def _learn_words(new: set[str], path: str) -> None:
-    if len(_words) + len(new) > MEMO:
-        _words.clear()
-    split = {w: PARTS.findall(w) for w in new}
-    missing = {x for found in split.values() for x in found if x not in _parts}
-    if len(_parts) + len(missing) > MEMO:
-        _parts.clear()
-        missing = {x for found in split.values() for x in found}
-    listed = [*missing]
-    for at in range(0, len(listed), 4096):
-        some = listed[at : at + 4096]
-        for part, got in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-            _parts[part] = array("I", got.ids).tobytes()
-    for word, found in split.items():
-        _words[word] = b"".join(map(_parts.__getitem__, found))
+class _Parts(dict):
+    """Ids of parts; lower-casing is the tokenizer's own first step, so ASCII parts are kept once for all cases."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode = _tokenizer(path).encode
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= PARTS_MEMO:
+            self.clear()
+        got = self[part] = array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
+        return got
+
+
+class _Words(dict):
+    """Ids of words as bytes."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.parts = _Parts(path)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_MEMO:
+            self.clear()
+        low = word.lower() if word.isascii() and "<|" not in word else word  # special tokens are lower case
+        got = self[word] = b"".join(map(self.parts.__getitem__, PARTS.findall(low)))
+        return got
+
+
+@cache
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, with the separator at the end."""
-    # other white space stays inside a word and is left to the tokenizer
-    words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = set().union(*words).difference(_words)
-    if new:
-        if len(_words) + len(new) > MEMO:
-            new = set().union(*words)
-        _learn_words(new, path)
+    ids = _words(path).__getitem__
     end = SEPARATOR.to_bytes(4, "little")
-    return [b"".join([*map(_words.__getitem__, found), end]) for found in words]
+    # other white space stays inside a word and is left to the tokenizer
+    return [b"".join([*map(ids, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")), end]) for t in texts]
 
 
 def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

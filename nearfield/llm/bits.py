@@ -31,13 +31,20 @@ def places(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.nd
 
 
 class Bits:
-    def __init__(self, bits: int):
-        self.segment_bits = bits // SEGMENTS
-        self.data = np.zeros(bits // 8, np.uint8)
+    """All segments of a filter of so many bits, or `count` of them from `first` on."""
+
+    def __init__(self, bits: int, first: int = 0, count: int = SEGMENTS):
+        self.segment_bits, self.first = bits // SEGMENTS, first
+        self.data = np.zeros(count * self.segment_bits // 8, np.uint8)
+
+    def put(self, segment: int, data: bytes) -> None:
+        size = self.segment_bits // 8
+        at = (segment - self.first) * size
+        self.data[at : at + size] |= np.frombuffer(data, np.uint8)
 
     def has(self, keys: np.ndarray, level: int = 1) -> np.ndarray:
         out = np.ones(len(keys), bool)
-        base = (keys >> _TOP) * np.uint64(self.segment_bits)
+        base = ((keys >> _TOP) - np.uint64(self.first)) * np.uint64(self.segment_bits)
         for probe in range(PROBES):
             at = base + places(keys, level, probe, self.segment_bits)
             out &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
@@ -58,10 +65,9 @@ class Bits:
         return float(np.bitwise_count(self.data).sum()) / (8 * len(self.data))
 
 
-def build(summed: DataFrame, bits: int) -> Bits:
-    """summed: segment, key, levels; dealt by segment, each key in one row or several. The driver gets the filter, never the keys."""
-    own = Bits(bits)
-    size = own.segment_bits
+def segments(summed: DataFrame, bits: int) -> DataFrame:
+    """The filter as a table: segment, data, ones (bits that are set). summed: segment, key, levels; dealt by segment, each key in one row or several."""
+    size = bits // SEGMENTS
 
     def run(batches):
         import pyarrow as pa
@@ -81,9 +87,15 @@ def build(summed: DataFrame, bits: int) -> Bits:
             for s, data in zip(local.tolist(), block, strict=True):
                 held[s] = held[s] | data if s in held else data.copy()
         for s, data in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["segment", "data"])
+            ones = int(np.bitwise_count(data).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.array([ones], pa.int64())], names=["segment", "data", "ones"])
 
-    for r in summed.select("segment", "key", "levels").mapInArrow(run, "segment int, data binary").collect():
-        at = r["segment"] * (size // 8)
-        own.data[at : at + size // 8] |= np.frombuffer(r["data"], np.uint8)
+    return summed.select("segment", "key", "levels").mapInArrow(run, "segment int, data binary, ones long")
+
+
+def build(summed: DataFrame, bits: int) -> Bits:
+    """The whole filter of the same table. The driver gets the filter, never the keys."""
+    own = Bits(bits)
+    for r in segments(summed, bits).select("segment", "data").collect():
+        own.put(r["segment"], r["data"])
     return own

@@ -3,7 +3,9 @@
 Counts of words and word pairs are quantised on a log scale (level 1 + floor(log2 count)) and only their levels are stored: an n-gram of level q puts
 (n-gram, 1) to (n-gram, q) into a Bloom filter. A count is read back by probing levels upwards until one is missing; the mean count of the
 last level stands for it. The filter is cut into segments by the n-gram's hash, so each task builds whole segments from the n-grams shuffled to
-it; it has MAX_BITS bits at most (32 MB), whatever the corpus, and is broadcast. Probabilities of pairs are smoothed with the word's own
+it. It has PER_ENTRY bits at least for each stored (n-gram, level), however many there are, which holds the rate of wrong probes under 5 %. A filter
+of up to MAX_BITS bits (32 MB) is broadcast. A larger one stays a table of segments: each batch of texts sends its distinct n-grams to their
+segments, packed by bucket, and gets their levels back. Both ways give the same scores. Probabilities of pairs are smoothed with the word's own
 (Dirichlet prior of weight PRIOR), and those of words with add-half counts.
 
 The base score needs exact word counts: the TOP_WORDS most frequent words are broadcast as two arrays, all other words of the texts are joined with
@@ -17,14 +19,26 @@ rows every count is 0, N is 0, and base scores are log10(0.5 / 0.5) = 0 for each
 
 from __future__ import annotations
 
+import gc
+from functools import reduce
+from itertools import count
+
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import crc_mod, hashed, map_rows, smaller_batches, stash, words
+from .common import crc_mod, hashed, map_rows, smaller_batches, stash, unstash, words
 
+#: Bits of a stored entry at least: with two probes the fill is at most 1 - exp(-1/4), and its square 0.049.
+PER_ENTRY = 8
+#: Filters of up to so many bits are broadcast, larger ones probed by segment.
 MAX_BITS = 1 << 28
+#: Runs of neighbouring segments that requests are packed for, at least.
+BUCKETS = 512
+#: Requests are on disk twice, so texts go through in so many parts, one after the other.
+PARTS = 4
 PRIOR = 30.0
 TOP_WORDS = 1_000_000
 #: Tokens that a task holds before it emits their counts.
@@ -82,17 +96,17 @@ def _counted(docs: DataFrame, keys, schema: str) -> DataFrame:
 
 def counts_of(held: bits.Bits, keys: np.ndarray) -> np.ndarray:
     """The mean count of each key's level: of 2^(q-1) to 2^q - 1."""
-    q = held.levels(keys)
+    return means(held.levels(keys))
+
+
+def means(q: np.ndarray) -> np.ndarray:
+    q = q.astype(np.int64)
     return np.where(q > 0, (3 * 2.0 ** (q - 1) - 1) / 2, 0.0)
 
 
-def train(docs: DataFrame) -> dict:
-    """From the rows' texts: exact word counts (a written table), N, V, the filter and the arrays of the most frequent words."""
+def _levels(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """segment, key, levels of each word and pair; written, as the filter's size comes from the number of entries."""
     schema = "segment int, key long, n long"
-    raw = _counted(docs, tokens, schema)
-    counts = stash(raw.groupBy("key").agg(F.sum("n").alias("n")), "words")
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = row["n"], row["v"]
     # words enter the filter under their own kind of key; the beginning counts once for each text
     begin = docs.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)), docs.count())], "key long, n long").where("n > 0")
 
@@ -108,7 +122,35 @@ def train(docs: DataFrame) -> dict:
     # one shuffle by segment, then each task sums and stores its own keys
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     summed = pairs.unionByName(singles).repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
-    found = bits.build(summed.withColumn("levels", (F.floor(F.log2("n")) + 1).cast("int")), bits.size_for(total, 4, MAX_BITS))
+    return stash(summed.withColumn("levels", (F.floor(F.log2("n")) + 1).cast("int")).drop("n"), "ngrams")
+
+
+def _let_go(spark) -> None:
+    """Spark keeps a shuffle's files until its JVM has collected the plan; here they would add up to several times the input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def train(docs: DataFrame) -> dict:
+    """From the rows' texts: exact word counts (a written table), N, V, the filter and the arrays of the most frequent words."""
+    schema = "segment int, key long, n long"
+    raw = _counted(docs, tokens, schema)
+    counts = stash(raw.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = row["n"], row["v"]
+    summed = _levels(docs, counts)
+    _let_go(docs.sparkSession)
+    size = bits.size_for(summed.agg(F.coalesce(F.sum("levels"), F.lit(0)).alias("n")).first()["n"], PER_ENTRY, 1 << 62)
+    dealt = summed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "segment")
+    if size <= MAX_BITS:
+        found = bits.build(dealt, size)
+        fill = found.fill()
+    else:
+        found = stash(bits.segments(dealt, size), "filter")
+        fill = found.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("n")).first()["n"] / size
+    del dealt
+    unstash(summed)
+    _let_go(docs.sparkSession)
     # the most frequent words: all with a count that at most TOP_WORDS words reach; no sort of words, and columns instead of rows to the driver
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     reached = sizes.withColumn("reached", F.sum("words").over(Window.orderBy(F.desc("n"))))  # distinct counts: few
@@ -117,7 +159,92 @@ def train(docs: DataFrame) -> dict:
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     times = top.column("n").to_numpy()[order]
-    return {"counts": counts, "n": total, "v": distinct, "filter": found, "top": (keys[order], times), "false_rate": found.fill() ** bits.PROBES}
+    return {"counts": counts, "n": total, "v": distinct, "filter": found, "bits": size, "top": (keys[order], times), "false_rate": fill**bits.PROBES}
+
+
+def _log_p(own: np.ndarray, before: np.ndarray, both: np.ndarray, below: float) -> np.ndarray:
+    p = (both + PRIOR * (own + 0.5) / below) / (np.maximum(before, both) + PRIOR)
+    return np.log10(np.minimum(p, 1.0))
+
+
+def _answered(asked: DataFrame, model: dict, buckets: int) -> DataFrame:
+    """Levels of requested keys. asked: chunk, ord (a bucket), data (keys in order); the same columns come back with a byte for each key."""
+    import pyarrow as pa
+
+    size, per = model["bits"], bits.SEGMENTS // buckets
+
+    def run(batches):
+        bucket, held = -1, None
+        for batch in batches:
+            out = [], [], []
+            for chunk, o, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if o != bucket:
+                    bucket, held = o, bits.Bits(size, o * per, per)
+                if chunk < 0:
+                    held.put(chunk + bits.SEGMENTS, data)
+                    continue
+                got = held.levels(np.frombuffer(data, np.uint64)).astype(np.uint8).tobytes()
+                for column, x in zip(out, (chunk, o, got), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["chunk", "ord", "data"])
+
+    segment = F.col("segment")
+    filters = model["filter"].select((segment - bits.SEGMENTS).cast("long").alias("chunk"), F.floor(segment / per).cast("int").alias("ord"), "data")
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # segments come before the requests of their bucket, so a task holds one bucket and streams requests
+    both = filters.unionByName(asked).repartition(parts, "ord").sortWithinPartitions("ord", "chunk")
+    return both.mapInArrow(run, "chunk long, ord int, data binary")
+
+
+def _packed(begin: int, starts: np.ndarray, own: np.ndarray, pair: np.ndarray) -> bytes:
+    """Numbers of a chunk, byte by byte and compressed, as they are most of what goes to disk."""
+    import pyarrow as pa
+
+    plain = np.concatenate([[begin, len(starts)], starts, own, pair]).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    import pyarrow as pa
+
+    plain = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    texts, rest = x[1], x[2 + x[1] :]
+    return x[0], x[2 : 2 + texts], rest[: len(rest) // 2], rest[len(rest) // 2 :]
+
+
+def _finished(asked: DataFrame, model: dict, buckets: int, below: float, schema: str) -> DataFrame:
+    """Rows of texts with their score. asked: requests, the chunk's places at ord = buckets, and its texts after that."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        levels, scores = [], None
+        for batch in batches:
+            order, data, rows, found = batch.column(1).to_numpy(), batch.column(2), np.flatnonzero(batch.column(1).to_numpy() > buckets), []
+            for i, o in enumerate(order.tolist()):
+                if o < buckets:
+                    levels.append(data[i].as_py())
+                elif o == buckets:
+                    counts, levels = means(np.frombuffer(b"".join(levels), np.uint8)), []
+                    begin, starts, own, pair = _unpacked(data[i].as_py())
+                    own = counts[own]
+                    before = np.roll(own, 1)
+                    before[starts] = counts[begin]
+                    scores = np.add.reduceat(_log_p(own, before, counts[pair], below), starts)
+                else:
+                    found.append(scores[o - buckets - 1])
+            texts = batch.take(pa.array(rows))
+            columns = [pa.array(found, pa.float64()) if f.name == "score" else texts.column(texts.schema.get_field_index(f.name)).cast(f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    answers = _answered(asked.where(F.col("ord") < buckets).select("chunk", "ord", "data"), model, buckets)
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = answers.unionByName(asked.where(F.col("ord") >= buckets), allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", "ord")
+    return both.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,10 +252,13 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
     total, distinct = model["n"], model["v"]
     below = total + 0.5 * (distinct + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((model["filter"], *model["top"]))  # bounded by MAX_BITS and TOP_WORDS
+    whole = isinstance(model["filter"], bits.Bits)
+    buckets = min(bits.SEGMENTS, max(BUCKETS, model["bits"] >> 23))  # powers of two; from 4 GB of filter on, a bucket is a segment
+    shared = docs.sparkSession.sparkContext.broadcast((model["filter"] if whole else None, *model["top"]))  # bounded by MAX_BITS and TOP_WORDS
 
     def make():
         held, keys, counts = shared.value
+        number = count(TaskContext.get().partitionId() << 32)
 
         def run(batch):
             # all texts of a batch as one array; each distinct token and pair is looked up once
@@ -142,29 +272,55 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
             ok[ok] = keys[at[ok]] == distinct[ok]
             base = np.zeros(len(distinct))
             base[ok] = np.log10((counts[at[ok]] + 0.5) / below)
-            own = counts_of(held, word_keys(distinct))[which]
-            before = np.roll(own, 1)
-            before[starts] = counts_of(held, word_keys(np.array([BEGIN])))[0]
-            pair, pairs_at = np.unique(pair_keys(found, starts), return_inverse=True)
-            both = counts_of(held, pair)[pairs_at]
-            p = (both + PRIOR * (own + 0.5) / below) / (np.maximum(before, both) + PRIOR)
             ok = ok[which]
             rare = [np.unique(t[~o], return_counts=True) for t, o in zip(texts, np.split(ok, starts[1:]), strict=True)]
-            return {
+            out = {
                 "id": batch["id"],
                 "n_tokens": sizes,
                 "known": np.add.reduceat(ok.astype(np.int64), starts),
                 "base": np.add.reduceat(base[which], starts),
-                "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts),
                 "rare": [r.view(np.int64) for r, _ in rare],
                 "times": [n for _, n in rare],
             }
+            if held is None:
+                return asks(out, distinct, which, found, starts)
+            own = counts_of(held, word_keys(distinct))[which]
+            before = np.roll(own, 1)
+            before[starts] = counts_of(held, word_keys(np.array([BEGIN])))[0]
+            pair, pairs_at = np.unique(pair_keys(found, starts), return_inverse=True)
+            both = counts_of(held, pair)[pairs_at]
+            return out | {"score": np.add.reduceat(_log_p(own, before, both, below), starts)}
+
+        def asks(out, distinct, which, found, starts):
+            """A request for each bucket, then the places of all words and pairs among the requested keys, then the texts."""
+            keys, at = np.unique(np.concatenate([word_keys(np.append(distinct, BEGIN)), pair_keys(found, starts)]), return_inverse=True)
+            own, begin, pair = at[: len(distinct)][which], at[len(distinct)], at[len(distinct) + 1 :]
+            bucket = bits.segment(keys) // (bits.SEGMENTS // buckets)
+            some, first = np.unique(bucket, return_index=True)
+            n, m = len(some), len(starts)
+            rows = {c: [*[None] * (n + 1), *x] for c, x in out.items()}
+            rows["chunk"] = [next(number)] * (n + 1 + m)
+            rows["ord"] = [*some.tolist(), *range(buckets, buckets + 1 + m)]
+            rows["data"] = [*(x.tobytes() for x in np.split(keys, first[1:])), _packed(begin, starts, own, pair), *[None] * m]
+            return rows
 
         return run
 
     schema = f"id {id_type}, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
-    parts = map_rows(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), make, schema)
-    parts = stash(parts.withColumn("tag", F.monotonically_increasing_id()), "scored")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if whole:
+        parts = stash(map_rows(texts, make, schema).withColumn("tag", F.monotonically_increasing_id()), "scored")
+    else:
+        form = f"chunk long, ord int, data binary, {schema.replace(' score double,', '')}"
+        done = []
+        for i in range(PARTS):
+            asked = stash(map_rows(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(PARTS)) == i), make, form), "asked")
+            found = _finished(asked, model, buckets, below, schema).withColumn("tag", F.monotonically_increasing_id() + F.lit(i << 60))
+            done.append(stash(found, "scored"))
+            del found
+            unstash(asked)
+            _let_go(docs.sparkSession)
+        parts = reduce(DataFrame.unionByName, done)
     rest = parts.select("tag", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("tag", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     rest = rest.join(model["counts"], "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     more = rest.groupBy("tag").agg(

@@ -320,6 +320,19 @@ def test_rare_words_are_counted_exactly(spark, monkeypatch):
     assert rows[2]["n_known"] == 3
 
 
+def test_filter_grows_with_the_ngrams(spark, odd, monkeypatch):
+    docs = table(spark, [*odd[1], *(prose(i, 2000, [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]) for i in range(60))])
+    whole = lm_score.train(docs)
+    want = sorted((r.asDict() for r in lm_score.score(docs, whole).collect()), key=repr)
+    monkeypatch.setattr(lm_score, "MAX_BITS", 1 << 18)
+    model = lm_score.train(docs)
+    assert model["false_rate"] < 0.05 and model["false_rate"] == pytest.approx(whole["false_rate"])
+    got = sorted((r.asDict() for r in lm_score.score(docs, model).collect()), key=repr)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
 # --- 10 ---
 
 

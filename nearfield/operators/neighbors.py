@@ -102,6 +102,39 @@ def nearest_typed(df: DataFrame, m: int, **options) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY, "type").orderBy("dist", "c"))).where(F.col("rank") <= m)
 
 
+def first_typed(df: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """Of each row with one the rank of its first SO and first OS neighbour among all valid candidates: subset, q, first_so, first_os.
+    The candidates before them are counted block by block, so the depth has no limit."""
+    first = nearest_typed(df, 1, block=block)
+    marks = first.groupBy(*KEY).agg(*(F.max(F.when(F.col("type") == t.upper(), F.col(c))).alias(f"{t}_{c}") for t in ("so", "os") for c in ("dist", "c")))
+    all_rows = _blocked(units(df), block)
+    left = all_rows.join(marks.withColumnRenamed("q", "row_id"), ["subset", "row_id"])
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks, has = left.withColumn("cb", each).withColumnRenamed("own", "qb"), all_rows.withColumn("qb", each).withColumnRenamed("own", "cb")
+    has = has.select(*(F.col(c).alias(c) for c in has.columns))  # both sides come from one table: fresh columns
+
+    def before(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"subset": pd.Series(dtype=object), "q": pd.Series(dtype="int64"), "so": pd.Series(dtype="int64"), "os": pd.Series(dtype="int64")})
+        e, ids, groups = np.stack(right["v"].to_numpy()), right["row_id"].to_numpy()[None, :], right["group_id"].to_numpy()[None, :]
+        out = []
+        for at in range(0, len(left), 512):
+            some = left.iloc[at : at + 512]
+            dist = np.round(1 - np.stack(some["v"].to_numpy()) @ e.T, 12)
+            free = some["group_id"].to_numpy()[:, None] != groups
+            counts = {}
+            for t in ("so", "os"):
+                d, c = some[f"{t}_dist"].to_numpy(float)[:, None], some[f"{t}_c"].fillna(-1).to_numpy("int64")[:, None]
+                counts[t] = (free & (ids != c) & ((dist < d) | ((dist == d) & (ids < c)))).sum(axis=1)
+            out.append(pd.DataFrame({"subset": some["subset"].iloc[0], "q": some["row_id"].to_numpy(), **counts}))
+        return pd.concat(out, ignore_index=True)
+
+    key = ["subset", "qb", "cb"]
+    counted = asks.groupBy(*key).cogroup(has.groupBy(*key)).applyInPandas(before, "subset string, q long, so long, os long")
+    summed = counted.groupBy(*KEY).agg(F.sum("so").alias("so"), F.sum("os").alias("os"))
+    return marks.join(summed, list(KEY)).select(*KEY, *(F.when(F.col(f"{t}_c").isNotNull(), F.col(t) + 1).alias(f"first_{t}") for t in ("so", "os")))
+
+
 def fetch_capped(df: DataFrame, k: int) -> DataFrame:
     """As nearest, for small tables searched with a budget of n - 1 rows counting the row itself: the farthest row of all is never reached."""
     u = units(df)

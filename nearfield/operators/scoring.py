@@ -158,9 +158,8 @@ def contested(units: DataFrame) -> DataFrame:
     )
 
 
-def rank_depth(found: DataFrame, depths=(10, 25, 50)) -> DataFrame:
-    """Per unit: rank of the first SO, first OS, both and either; the share of SS among the first ranks."""
-    first = {t: F.min(F.when(F.col("type") == t.upper(), F.col("rank"))) for t in ("so", "os")}
-    rows = found.groupBy(*KEY).agg(*(c.alias(f"first_{t}") for t, c in first.items()), *(F.avg(F.when(F.col("rank") <= d, (F.col("type") == "SS").cast("double"))).alias(f"ss_at_{d}") for d in depths))
+def rank_depth(found: DataFrame, first: DataFrame, depths=(10, 25, 50)) -> DataFrame:
+    """Per unit: rank of the first SO, first OS (from neighbors.first_typed, over all candidates), both and either; the share of SS among the first ranks."""
+    rows = found.groupBy(*KEY).agg(*(F.avg(F.when(F.col("rank") <= d, (F.col("type") == "SS").cast("double"))).alias(f"ss_at_{d}") for d in depths)).join(first, list(KEY), "left")
     both = F.when(F.col("first_so").isNotNull() & F.col("first_os").isNotNull(), F.greatest("first_so", "first_os"))
     return rows.withColumn("first_both", both).withColumn("first_typed", F.least("first_so", "first_os"))

@@ -250,7 +250,8 @@ SELECT q, coalesce(first_so, -1) AS first_so, coalesce(first_os, -1) AS first_os
   coalesce(CASE WHEN first_so IS NOT NULL AND first_os IS NOT NULL THEN greatest(first_so, first_os) END, -1) AS first_both, coalesce(least(first_so, first_os), -1) AS first_typed FROM d""")
 def typed_rank_depth(spark, sf_dir):
     firsts = ["first_so", "first_os", "first_both", "first_typed"]
-    return rounded(scoring.rank_depth(near(spark, sf_dir, K_MAX)).drop("subset").na.fill(-1, firsts))
+    m = base(spark, sf_dir)
+    return rounded(scoring.rank_depth(neighbors.nearest(m, K_MAX), neighbors.first_typed(m)).drop("subset").na.fill(-1, firsts))
 
 
 # --- indices ---------------------------------------------------------------------------------------------------------------------------------------------

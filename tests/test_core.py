@@ -42,6 +42,23 @@ def test_blocks_equal_pairs(spark):
         assert np.allclose([r["dist"] for r in got], [r["dist"] for r in want], atol=2e-12)
 
 
+def test_typed_rank_has_no_limit(spark, monkeypatch):
+    from nearfield.plans import catalogue
+
+    x, _, _ = blob(150, 3, seed=5)
+    x[:130, 0] += 9  # a pocket of one label and confounder, deeper than K_MAX
+    df = table(spark, x, ["A"] * 140 + ["B"] * 10, ["V1"] * 130 + ["V2"] * 10 + ["V1"] * 9 + ["V3"], [f"g{i // 2}" for i in range(150)])
+    monkeypatch.setattr(catalogue, "base", lambda spark, sf_dir: df)
+    want = {}
+    for r in neighbors.ranked(neighbors.pairs(df)).orderBy("q", "rank").collect():
+        want.setdefault(r["q"], {}).setdefault(r["type"], r["rank"])
+    got = {r["q"]: r for r in catalogue.typed_rank_depth(spark, "").collect()}
+    assert len(got) == 150 and max(w.get("SO", -1) for w in want.values()) > 100
+    assert {q: (r["first_so"], r["first_os"]) for q, r in got.items()} == {q: (w.get("SO", -1), w.get("OS", -1)) for q, w in want.items()}
+    small = {r["q"]: (r["first_so"], r["first_os"]) for r in neighbors.first_typed(df, block=40).collect()}
+    assert small == {q: (w.get("SO"), w.get("OS")) for q, w in want.items() if "SO" in w or "OS" in w}
+
+
 def test_dominant_signals(spark):
     n = 24
     axis = np.zeros((n, 3))

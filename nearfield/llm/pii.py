@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty
+from .common import free_name, stash, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -200,8 +200,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """All columns of docs, with each span replaced by its kind in brackets; overlapping spans become one, named after the first."""
-    held = "pii_candidates"
-    model = estimate(with_candidates(docs.select(F.col(f"`{text_col}`").alias("text"))).select(held), column=held)
+    held = free_name(docs.columns, "pii_candidates")
+    # found once: the written table serves the estimation and the rewriting
+    marked = stash(with_candidates(docs, text_col=text_col, out=held), "marked")
+    model = estimate(marked.select(held), column=held)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
@@ -209,6 +211,6 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), F.get(names, c["kind"]))
         return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(c["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    marked = with_candidates(docs, text_col=text_col, out=held).withColumn(held, accepted(F.col(held), model))
+    marked = marked.withColumn(held, accepted(F.col(held), model))
     whole = F.aggregate(F.col(held), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return marked.withColumn(text_col, F.when(F.size(held) > 0, whole).otherwise(F.col(f"`{text_col}`"))).drop(held)

@@ -6,6 +6,7 @@ as a table of positions; every split of every replicate is fitted as a task of i
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -151,25 +152,61 @@ def _score(truth: np.ndarray, said: np.ndarray) -> float:
     return float(np.mean([np.mean(said[truth == t] == t) for t in np.unique(truth)])) if len(truth) else float("nan")
 
 
-def fit_probe(train, validation, tests, classes: int) -> list[float]:
-    """Picks the first best of 15 penalties on the validation rows and scores the test sets with a refit."""
-    best, penalty = -1.0, None
+def fit_probe(train, validation, tests, classes: int, eval_func=None) -> tuple[np.ndarray, list[float]]:
+    """Picks the first best of 15 penalties on the validation rows and scores the test sets with a refit: the weights and the scores."""
+    score = eval_func or _score
+    best, penalty = -math.inf, None
     for c in 10.0 ** np.linspace(-8, 4, 15):
-        got = _score(validation[1], _predict(_logistic(*train, classes, c), validation[0]))
+        got = score(validation[1], _predict(_logistic(*train, classes, c), validation[0]))
         if got > best:
             best, penalty = got, c
     w = _logistic(*train, classes, penalty)
-    return [_score(y, _predict(w, x)) for x, y in tests]
+    return w, [score(y, _predict(w, x)) for x, y in tests]
 
 
-def probe_sweep(rows: DataFrame, plan: DataFrame, *, rows_per_slide: int = 1, iterations: int = 20, seed: int = 1000, validation: float | None = None, arrange=None) -> DataFrame:
-    """rows: row_id, i, j, features. Returns split, iter, acc on the held-out rows. The class j is the target."""
-    spark = rows.sparkSession
+IN_DOMAIN = "in_domain"
+
+
+def _checked_cells(rows: DataFrame, plan: DataFrame, rows_per_slide: int, validation: float | None) -> dict[tuple[int, int], int]:
+    """Sizes of the cells, if the schedule fits them."""
+    if rows_per_slide < 1:
+        raise ValueError("a slide needs at least one row")
+    if validation is not None and not 0 <= validation < 1:
+        raise ValueError("the validation fraction must be at least 0 and below 1")
+    bad = F.col("i").isNull() | F.col("j").isNull() | (F.col("i") < 0) | (F.col("j") < 0) | F.col("features").isNull()
+    widths = rows.agg(F.count(F.when(bad, 1)).alias("bad"), F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if not widths["n"] or widths["bad"] or widths["low"] != widths["high"]:
+        raise ValueError("rows need indices from 0 and features of one width")
     sizes = {(r["i"], r["j"]): r["n"] for r in rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
-    cells_of = plan.groupBy("i", "j").agg(F.max("take").alias("most"), F.max("max_train_slides").alias("top")).collect()
-    first = {(r["i"], r["j"]): (r["top"] + 1 + (0 if validation is None else round(validation * r["top"]))) * rows_per_slide for r in cells_of}
-    if short := sorted(c for c, n in first.items() if sizes.get(c, 0) <= n):
-        raise ValueError(f"cells too small for the schedule, no held-out rows: {short}")
+    for axis, name in ((0, "confounder"), (1, "class")):
+        found = {c[axis] for c in sizes}
+        if found != set(range(len(found))):
+            raise ValueError(f"{name} indices must run from 0 without gaps: {sorted(found)}")
+    plans = plan.groupBy("i", "j").agg(F.max("take").alias("most"), F.min("take").alias("least"), F.max("max_train_slides").alias("top"), F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("s")).collect()  # one row a cell
+    if not plans or plan.select("split").distinct().limit(2).count() < 2:
+        raise ValueError("a schedule needs at least two splits")
+    for r in plans:
+        cell = (r["i"], r["j"])
+        if cell not in sizes:
+            raise ValueError(f"the schedule names a cell without rows: {cell}")
+        if r["n"] != r["s"]:
+            raise ValueError(f"the schedule names the cell {cell} twice in a split")
+        if r["least"] < 0 or r["top"] < 1:
+            raise ValueError(f"the schedule asks for a negative number of rows: {cell}")
+        if r["most"] > sizes[cell] or r["most"] > r["top"] * rows_per_slide:
+            raise ValueError(f"the schedule asks for more rows than the cell {cell} has or the most training slides allow")
+        first = (r["top"] + 1 + (0 if validation is None else round(validation * r["top"]))) * rows_per_slide
+        if sizes[cell] <= first:
+            raise ValueError(f"cells too small for the schedule, no held-out rows: {[cell]}")
+    if empty := plan.groupBy("split").agg(F.sum("take").alias("n")).where("n = 0").limit(1).collect():
+        raise ValueError(f"split {empty[0]['split']} has no training rows")
+    return sizes
+
+
+def _probes(rows: DataFrame, plan: DataFrame, rows_per_slide: int, iterations: int, seed: int, validation: float | None, arrange, eval_func) -> DataFrame:
+    """split, iter, acc on the held-out rows, and the fitted weights."""
+    spark = rows.sparkSession
+    sizes = _checked_cells(rows, plan, rows_per_slide, validation)
     place = Window.partitionBy("i", "j").orderBy("row_id")
     cells: dict[tuple[int, int], list[int]] = {}
     for r in rows.withColumn("pos", F.row_number().over(place)).select("i", "j", "pos", "row_id").orderBy("i", "j", "pos").collect():  # ids of one study's cells
@@ -186,9 +223,82 @@ def probe_sweep(rows: DataFrame, plan: DataFrame, *, rows_per_slide: int = 1, it
             part[role] = (np.stack(own["features"].to_numpy()).astype(float) if len(own) else np.zeros((0, 1)), own["j"].to_numpy(int))
         if not len(part["validation"][1]):
             raise ValueError("no validation rows: more rows a slide or a validation fraction are needed")
-        return pd.DataFrame({"split": [key[0]], "iter": [key[1]], "acc": fit_probe(part["train"], part["validation"], [part["held_out"]], classes)})
+        w, scores = fit_probe(part["train"], part["validation"], [part["held_out"]], classes, eval_func)
+        return pd.DataFrame({"split": [key[0]], "iter": [key[1]], "acc": scores, "w": [w.astype("<f8").tobytes()], "k": [len(w)]})
+
+    return roles.groupBy("split", "iter").applyInPandas(fit, "split int, iter int, acc double, w binary, k int")
 
-    return roles.groupBy("split", "iter").applyInPandas(fit, "split int, iter int, acc double")
+
+def probe_sweep(rows: DataFrame, plan: DataFrame, *, rows_per_slide: int = 1, iterations: int = 20, seed: int = 1000, validation: float | None = None, arrange=None, eval_func=None) -> DataFrame:
+    """rows: row_id, i, j, features. Returns split, iter, acc on the held-out rows. The class j is the target. eval_func(truth, said) gives a score; balanced accuracy by
+    default."""
+    return _probes(rows, plan, rows_per_slide, iterations, seed, validation, arrange, eval_func).select("split", "iter", "acc")
+
+
+def probe_sweep_over(rows: DataFrame, plan: DataFrame, tests: dict[str, DataFrame], *, rows_per_slide: int = 1, iterations: int = 20, seed: int = 1000, validation: float | None = None, arrange=None) -> DataFrame:
+    """As probe_sweep, and the same probes scored on named test sets (j, features) that no split trains on: test_set, split, iter, acc. The probes are splits times
+    iterations small matrices, which go to every task; a test set is read once, in place, and only counts of hits are summed."""
+    if IN_DOMAIN in tests:
+        raise ValueError(f"{IN_DOMAIN} is no name for a test set")
+    width = rows.select(F.size("features").alias("n")).first()
+    for name, df in tests.items():
+        sizes = df.agg(F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high"), F.min("j").alias("j")).first()
+        if sizes["j"] is None or sizes["j"] < 0 or width is None or not sizes["low"] == sizes["high"] == width["n"]:
+            raise ValueError(f"the test set {name} needs rows with classes from 0 and features as wide as the training rows'")
+    own = _probes(rows, plan, rows_per_slide, iterations, seed, validation, arrange, None).collect()  # splits times iterations
+    spark = rows.sparkSession
+    out = spark.createDataFrame([(IN_DOMAIN, r["split"], r["iter"], r["acc"]) for r in own], "test_set string, split int, iter int, acc double")
+    shared = spark.sparkContext.broadcast([(r["split"], r["iter"], np.frombuffer(r["w"], "<f8").reshape(r["k"], -1)) for r in own])
+
+    def hits(batches):
+        for pdf in batches:
+            if len(pdf):
+                x, y = np.stack(pdf["features"].to_numpy()).astype(float), pdf["j"].to_numpy(int)
+                found = []
+                for split, n, w in shared.value:
+                    right = _predict(w, x) == y
+                    found += [(split, n, int(c), int((y == c).sum()), int(right[y == c].sum())) for c in np.unique(y)]
+                yield pd.DataFrame(found, columns=["split", "iter", "j", "n", "hits"])
+
+    for name, df in tests.items():
+        counts = df.select("j", "features").mapInPandas(hits, "split int, iter int, j int, n long, hits long").groupBy("split", "iter", "j").agg((F.sum("hits") / F.sum("n")).alias("recall"))
+        out = out.unionByName(counts.groupBy("split", "iter").agg(F.avg("recall").alias("acc")).withColumn("test_set", F.lit(name)))
+    return out
+
+
+def cohort(rows: DataFrame, confounders: list[str], classes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows: row_id, subset (ID or OOD), confounder, label, features. The training rows with their indices in the given lists, and the rows of unseen confounders as a
+    test set."""
+    known = rows.where(F.col("subset").isin("ID", "OOD"))
+    if bad := rows.where(F.col("subset").isNull() | ~F.col("subset").isin("ID", "OOD")).limit(1).collect():
+        raise ValueError(f"unknown subset: {bad[0]['subset']}")
+    index = lambda column, names: (F.array_position(F.array(*map(F.lit, names)), F.col(column)) - 1).cast("int")
+    found = known.select("row_id", "subset", index("confounder", confounders).alias("i"), index("label", classes).alias("j"), "features")
+    wrong = (F.col("j").isNull() | (F.col("j") < 0)) | ((F.col("subset") == "ID") & (F.col("i").isNull() | (F.col("i") < 0)))
+    if bad := found.where(wrong).limit(1).collect():
+        raise ValueError(f"row {bad[0]['row_id']} has a class or confounder that isn't listed")
+    return found.where("subset = 'ID'").drop("subset"), found.where("subset = 'OOD'").select("j", "features")
+
+
+def reductions(acc: DataFrame, bias: DataFrame, chance: float) -> DataFrame:
+    """acc: test_set, split, iter, acc. Per test set the balanced baseline, the average drop and the integrated degradation; raises for accuracies outside of 0 to 1, for
+    incomplete matrices, and for a baseline that isn't above chance."""
+    check_accuracies(acc.groupBy("split", "iter").agg(F.max("acc").alias("acc")))
+    sets = acc.groupBy("test_set").agg(F.count(F.lit(1)).alias("n"), F.min("acc").alias("low"), F.max("acc").alias("high"))
+    cells = acc.select("split", "iter").distinct().count()
+    if bad := sets.where((F.col("n") != cells) | (F.col("low") < 0) | (F.col("high") > 1)).limit(1).collect():
+        raise ValueError(f"incomplete accuracies, or some outside of 0 to 1: {bad[0].asDict()}")
+    base = acc.where("split = 0").select("test_set", "iter", F.col("acc").alias("base"))
+    drop = acc.where("split > 0").join(base, ["test_set", "iter"]).groupBy("test_set", "iter").agg((F.avg(F.col("acc") / F.col("base")) - 1).alias("d"))
+    drop = drop.groupBy("test_set").agg(F.avg("d").alias("apd"))
+    mean = acc.groupBy("test_set", "split").agg(F.avg("acc").alias("a")).join(F.broadcast(bias), "split")  # one row a split
+    first = mean.where("split = 0").select("test_set", F.col("a").alias("baseline"))
+    if bad := first.where(F.col("baseline") <= chance).limit(1).collect():
+        raise ValueError(f"the baseline isn't above chance: {bad[0].asDict()}")
+    w = Window.partitionBy("test_set").orderBy("v")
+    g = mean.join(first, "test_set").withColumn("g", (F.col("a") - F.col("baseline")) / (F.col("baseline") - chance))
+    area = g.withColumn("area", (F.col("v") - F.lag("v").over(w)) * (F.col("g") + F.lag("g").over(w)) / 2).groupBy("test_set").agg(F.first("baseline").alias("baseline"), F.sum("area").alias("nipd"))
+    return area.join(drop, "test_set").select("test_set", "baseline", "apd", "nipd")
 
 
 def check_accuracies(acc: DataFrame) -> DataFrame:

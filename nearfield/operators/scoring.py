@@ -1,8 +1,8 @@
 """Robustness indices over typed neighbours.
 
 `robustness_index` counts neighbours that share only the label (SO) against those that share only the confounder (OS). `margin_robustness_index` weighs
-them by exp(-distance / tau). One running sum along the rank scores every k at once. Weights are taken relative to the smallest typed distance, so the ratio is
-stable for any tau.
+them by exp(-distance / tau). One running sum along the rank scores every k at once. Weights are taken relative to the smallest typed distance of all units for pooled
+ratios and to the unit's own for its share, so both are stable for any tau.
 """
 
 from __future__ import annotations
@@ -41,13 +41,16 @@ def decay(tau: float):
 
 
 def evidence(found: DataFrame, weight=ones, units: DataFrame | None = None) -> DataFrame:
-    """One row for each unit and rank: running counts of the four types and running SO and OS weights. Units without neighbours need `units`."""
+    """One row for each unit and rank: running counts of the four types, running SO and OS weights (w, relative to the smallest typed distance of all units) and the
+    same relative to the unit's own smallest (u). Units without neighbours need `units`."""
     w = Window.partitionBy(*KEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     typed = F.col("type").isin("SO", "OS")
-    least = F.min(F.when(typed, F.col("dist"))).over(Window.partitionBy("subset"))
-    rows = found.withColumn("w", F.when(typed, weight(F.col("dist") - least)))
+    least = found.agg(F.min(F.when(typed, F.col("dist"))).alias("least"))
+    nearest = F.min(F.when(typed, F.col("dist"))).over(Window.partitionBy(*KEY))
+    rows = found.crossJoin(F.broadcast(least)).withColumn("w", F.when(typed, weight(F.col("dist") - F.col("least"))))  # one row
+    rows = rows.withColumn("u", F.when(typed, weight(F.col("dist") - nearest)))
     counts = {f"n_{t.lower()}": F.sum(F.when(F.col("type") == t, 1).otherwise(0)).over(w) for t in ("SS", "SO", "OS", "OO")}
-    sums = {f"w_{t.lower()}": F.coalesce(F.sum(F.when(F.col("type") == t, F.col("w"))).over(w), F.lit(0.0)) for t in ("SO", "OS")}
+    sums = {f"{x}_{t.lower()}": F.coalesce(F.sum(F.when(F.col("type") == t, F.col(x))).over(w), F.lit(0.0)) for x in ("w", "u") for t in ("SO", "OS")}
     out = rows.select(*KEY, "rank", *(c.alias(n) for n, c in (counts | sums).items()))
     if units is None:
         return out
@@ -57,17 +60,19 @@ def evidence(found: DataFrame, weight=ones, units: DataFrame | None = None) -> D
 
 def at_k(running: DataFrame, ks) -> DataFrame:
     """The running row of each unit at each k; a unit with fewer neighbours counts with its last."""
-    grid = F.explode(F.array(*map(F.lit, k_list(ks)))).alias("k")
+    ks = k_list(ks)
     last = F.max("rank").over(Window.partitionBy(*KEY))
-    rows = running.withColumn("last", last).select("*", grid).where((F.col("rank") == F.col("k")) | ((F.col("rank") == F.col("last")) & (F.col("last") < F.col("k"))))
-    return rows.drop("last", "rank")
+    rows = running.withColumn("last", last).where(F.col("rank").isin(ks) | (F.col("rank") == F.col("last")))
+    grid = F.array(*map(F.lit, ks))
+    at = F.filter(grid, lambda k: (k == F.col("rank")) | ((F.col("rank") == F.col("last")) & (k > F.col("last"))))
+    return rows.withColumn("k", F.explode(at)).drop("last", "rank")
 
 
 def per_unit(scored: DataFrame) -> DataFrame:
     """Adds defined, share and cause (0 defined; 1 more SS than OO; 2 more OO than SS; 3 neither)."""
     defined = F.col("n_so") + F.col("n_os") > 0
     cause = F.when(defined, 0).when(F.col("n_ss") > F.col("n_oo"), 1).when(F.col("n_oo") > F.col("n_ss"), 2).otherwise(3)
-    return scored.withColumn("defined", defined).withColumn("share", F.when(defined, F.col("w_so") / (F.col("w_so") + F.col("w_os")))).withColumn("cause", cause)
+    return scored.withColumn("defined", defined).withColumn("share", F.when(defined, F.try_divide(F.col("u_so"), F.col("u_so") + F.col("u_os")))).withColumn("cause", cause)
 
 
 def pooled(scored: DataFrame, by=("k",)) -> DataFrame:

@@ -6,11 +6,14 @@ Draws come from numpy's generators on the driver (a bounded number of clusters a
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import finite
+
 
 def rank_first(value: str, tie: str, by=()) -> Column:
     """Descending integer ranks, equal values by `tie`."""
@@ -35,9 +38,9 @@ def frontier(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """Counts of equal bins; values outside go to the edge bins, so none is lost."""
-    at = F.least(F.greatest(((F.col(column) - low) / ((high - low) / bins)).cast("long"), F.lit(0)), F.lit(bins - 1))
-    count = df.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of equal bins; finite values outside go to the edge bins, so none of them is lost. Nulls, NaN and infinities have no bin."""
+    at = F.least(F.greatest(F.greatest(F.least((F.col(column) - low) / ((high - low) / bins), F.lit(float(bins))), F.lit(-1.0)).cast("long"), F.lit(0)), F.lit(bins - 1))
+    count = df.where(finite(F.col(column)).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return every.join(count, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -59,14 +62,54 @@ def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.when(ok, F.col("slope")).alias("slope"), F.when(ok, F.col("intercept")).alias("intercept"))
 
 
-#: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom (fixed values).
-T975 = (12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281, 2.2010, 2.1788, 2.1604, 2.1448, 2.1314, 2.1199, 2.1098, 2.1009, 2.0930, 2.0860, 2.0796, 2.0739, 2.0687, 2.0639, 2.0595, 2.0555, 2.0518, 2.0484, 2.0452, 2.0423)
+def t_probability(t: float, df: int) -> float:
+    """P(|T| <= t) of Student's t with whole degrees of freedom, by its finite sum."""
+    angle = math.atan(t / math.sqrt(df))
+    cos, total, term = math.cos(angle), 0.0, 1.0
+    if df % 2:
+        term = cos
+        for k in range(1, (df - 1) // 2 + 1):
+            total += term
+            term *= cos * cos * 2 * k / (2 * k + 1)
+        return 2 / math.pi * (angle + math.sin(angle) * total)
+    for k in range(df // 2):
+        total += term
+        term *= cos * cos * (2 * k + 1) / (2 * k + 2)
+    return math.sin(angle) * total
+
+
+@cache
+def t_quantile(df: int, level: float = 0.95) -> float:
+    """t with P(|T| <= t) = level, by bisection."""
+    low, high = 0.0, 1e4
+    while high - low > 1e-12 * high:
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_probability(middle, df) < level else (low, middle)
+    return high
+
+
+#: Degrees of freedom up to which quantiles are exact, and the normal quantile that the series beyond starts from.
+EXACT, Z975 = 60, 1.959963984540054
+
+
+def _t975(df: Column) -> Column:
+    z, out = Z975, F.lit(Z975)
+    series = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    for power, c in enumerate(series, 1):
+        out = out + F.lit(c) / F.pow(df, F.lit(float(power)))
+    exact = F.array(*(F.lit(t_quantile(n)) for n in range(1, EXACT + 1)))
+    return F.when(df <= EXACT, F.get(exact, (df - 1).cast("int"))).otherwise(out)
 
 
 def t_interval(df: DataFrame, value: str, by=()) -> DataFrame:
-    """Mean and 95 % interval of up to 31 values a group."""
+    """Mean and 95 % interval; of a single value only the mean."""
     rows = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    half = F.get(F.array(*map(F.lit, T975)), (F.col("n") - 2).cast("int")) * F.col("sd") / F.sqrt("n")
+    half = F.when(F.col("n") > 1, _t975(F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
     return rows.select(*by, "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), "n")
 
 
@@ -87,9 +130,23 @@ def draw_table(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
 
 
 def weighted_medians(df: DataFrame, taken: DataFrame, cluster: str, value: str, by=()) -> DataFrame:
-    """Median of each replicate's pooled rows: percentile with frequencies, without making copies."""
-    rows = df.join(taken, cluster).where(F.col(value).isNotNull())
-    return rows.groupBy("rep", *by).agg(F.percentile(value, F.lit(0.5), F.col("times")).alias("median"))
+    """Median of each replicate's pooled rows, exactly: rows outside of a band around the whole median only count by cluster, and only rows of the band are joined with
+    the draws. The band is widened until it holds every replicate's median."""
+    good = df.where(finite(F.col(value)).isNotNull()).select(cluster, *by, F.col(value).cast("double").alias("x"))
+    for half in (0.05, 0.2, 0.5):
+        bounds = good.groupBy(*by).agg(F.percentile_approx("x", [max(0.0, 0.5 - half), min(1.0, 0.5 + half)], 10_000).alias("q"))
+        rows = good.join(F.broadcast(bounds), [*by]) if by else good.crossJoin(F.broadcast(bounds))  # one row a group
+        below, upto = F.col("x") < F.col("q")[0], F.col("x") <= F.col("q")[1]
+        counts = rows.groupBy(cluster, *by).agg(F.count(F.lit(1)).alias("n"), F.sum(below.cast("long")).alias("below"), F.sum(upto.cast("long")).alias("upto"))
+        sums = counts.join(taken, cluster).groupBy("rep", *by).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "below", "upto")))
+        sums = sums.withColumn("p1", F.floor((F.col("n") - 1) / 2)).withColumn("p2", F.ceil((F.col("n") - 1) / 2))
+        if half == 0.5 or not sums.where((F.col("below") > F.col("p1")) | (F.col("p2") >= F.col("upto"))).limit(1).count():
+            break
+    band = rows.where(~below & upto).join(taken, cluster).groupBy("rep", *by, "x").agg(F.sum("times").alias("times"))
+    reached = F.sum("times").over(Window.partitionBy("rep", *by).orderBy("x")) + F.col("below")
+    placed = band.join(sums, ["rep", *by]).withColumn("reached", reached)
+    middle = [F.min(F.when(F.col("reached") > F.col(p), F.col("x"))) for p in ("p1", "p2")]
+    return placed.groupBy("rep", *by).agg(((middle[0] + middle[1]) / 2).alias("median"))
 
 
 def interval(reps: DataFrame, value: str, level: float = 0.95, by=()) -> DataFrame:
@@ -97,27 +154,27 @@ def interval(reps: DataFrame, value: str, level: float = 0.95, by=()) -> DataFra
     return reps.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(1 - low)).alias("high"), F.count(value).alias("n_reps"))
 
 
-def bootstrap_median(df: DataFrame, value: str, cluster: str, *, n: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+def bootstrap_median(df: DataFrame, value: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     point = df.agg(F.median(value).alias("point"))
     return point.crossJoin(interval(weighted_medians(df, draw_table(df, cluster, n, seed), cluster, value), "median", level))  # one row each
 
 
-def bootstrap_delta(df: DataFrame, a: str, b: str, cluster: str, *, n: int = 200, seed: int = 0, level: float = 0.95, subset: str | None = None) -> DataFrame:
+def bootstrap_delta(df: DataFrame, a: str, b: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95, subset: str | None = None) -> DataFrame:
     """median(b) - median(a) with shared draws; with subsets, medians of the subsets' medians."""
     taken = draw_table(df, cluster, n, seed)
     by = [subset] if subset else []
 
-    def of(rows: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
-        med = lambda c: F.percentile(c, F.lit(0.5), F.col("times")) if weighted else F.median(c)
-        out = rows.groupBy(*keys, *by).agg(med(a).alias("a"), med(b).alias("b"))
-        out = out.groupBy(*keys).agg(F.median("a").alias("a"), F.median("b").alias("b")) if by else out
+    def over(meds: DataFrame, keys: list[str]) -> DataFrame:
+        out = meds.groupBy(*keys).agg(F.median("a").alias("a"), F.median("b").alias("b")) if by else meds
         return out.select(*keys, (F.col("b") - F.col("a")).alias("delta"))
 
-    reps = of(df.join(taken, cluster), ["rep"], True)
-    return of(df, [], False).withColumnRenamed("delta", "point").crossJoin(interval(reps, "delta", level))  # one row each
+    x, y = (weighted_medians(df, taken, cluster, c, by).withColumnRenamed("median", n) for c, n in ((a, "a"), (b, "b")))
+    reps = over(x.join(y, ["rep", *by]), ["rep"])
+    point = over(df.groupBy(*by).agg(F.median(a).alias("a"), F.median(b).alias("b")), [])
+    return point.withColumnRenamed("delta", "point").crossJoin(interval(reps, "delta", level))  # one row each
 
 
-def rank_stability(df: DataFrame, model: str, value: str, cluster: str, *, n: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def rank_stability(df: DataFrame, model: str, value: str, cluster: str, *, n: int = 2000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Per model its mean rank and 95 % ranks over replicates with shared draws; per ordered pair how often the first has the larger median."""
     order = df.select(model).distinct()
     meds = weighted_medians(df, draw_table(df, cluster, n, seed), cluster, value, (model,))
@@ -130,7 +187,7 @@ def rank_stability(df: DataFrame, model: str, value: str, cluster: str, *, n: in
     return summary, pairs
 
 
-def bootstrap_spearman(pairs: list[tuple[float, float]], *, n: int = 1000, seed: int = 0, level: float = 0.95) -> tuple[float, float, float]:
+def bootstrap_spearman(pairs: list[tuple[float, float]], *, n: int = 2000, seed: int = 0, level: float = 0.95) -> tuple[float, float, float]:
     """Resamples the few (x, y) points of a panel; NaN below three points."""
     if len(pairs) < 3:
         return math.nan, math.nan, math.nan
@@ -166,3 +223,48 @@ def stratified_quota(df: DataFrame, n: int, by) -> DataFrame:
     left = F.lit(n) - F.sum("seats").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("seats"), 12)), *by))
     return rows.withColumn("left", left).withColumn("place", place).select(*by, "size", (F.col("seats") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).alias("quota"))
+
+
+def placed(df: DataFrame, key: str, by) -> DataFrame:
+    """Rows with their place, from 0, in each cell in order of a key."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
+
+
+def _picked(df: DataFrame, key: str, by: list[str], picks: list[tuple]) -> DataFrame:
+    """picks: the cell's values and a place. A bounded table: places that a study draws."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    chosen = df.sparkSession.createDataFrame(picks, f"{fields}, place int")
+    return placed(df, key, by).join(F.broadcast(chosen), [*by, "place"]).drop("place")
+
+
+def seeded_draw(df: DataFrame, key: str, cells: list[tuple], by: list[str], seed: int) -> DataFrame:
+    """For each (cell values, n) in turn n rows: the first of a permutation of the cell in order of the key. One generator serves all cells, so their order counts. Only
+    the cells' sizes come to the driver."""
+    sizes = {tuple(r[c] for c in by): r["n"] for r in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+    rng, picks = np.random.default_rng(seed), []
+    for *cell, n in cells:
+        size = sizes.get(tuple(cell), 0)
+        if size < n:
+            raise ValueError(f"cell {tuple(cell)} has {size} rows, fewer than {n}")
+        picks += [(*cell, int(i)) for i in rng.permutation(size)[:n]]
+    return _picked(df, key, by, picks)
+
+
+def stratified_keep(df: DataFrame, key: str, n: int, by: str, seed: int) -> DataFrame:
+    """n rows in proportion to the strata (largest remainder), drawn without replacement in order of the strata with one generator."""
+    rng, picks = np.random.default_rng(seed), []
+    for r in sorted(stratified_quota(df, n, by).collect(), key=lambda r: r[by]):  # one row a stratum
+        picks += [(r[by], int(i)) for i in rng.choice(r["size"], size=int(r["quota"]), replace=False)]
+    return _picked(df, key, [by], picks)
+
+
+def cell_pick(df: DataFrame, key: str, seed: int, by: list[str]) -> DataFrame:
+    """One distinct key of each cell, drawn by a generator of the cell's own: it is seeded with the first 8 bytes of the SHA-256 of seed and cell."""
+    import hashlib
+
+    rows = df.select(*by, key).distinct()
+    picks = []
+    for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect():  # one row a cell
+        digest = hashlib.sha256("|".join([str(seed), *(str(r[c]) for c in by)]).encode()).digest()
+        picks.append((*(r[c] for c in by), int(np.random.default_rng(int.from_bytes(digest[:8], "big")).integers(r["n"]))))
+    return _picked(rows, key, by, picks)

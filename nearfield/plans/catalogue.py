@@ -70,6 +70,13 @@ s AS (SELECT k, q, count(*) FILTER (type = 'SS') AS n_ss, count(*) FILTER (type
   coalesce(sum(w) FILTER (type = 'SO'), 0) AS w_so, coalesce(sum(w) FILTER (type = 'OS'), 0) AS w_os FROM w, {GRID} WHERE rank <= k GROUP BY k, q)"""
 )
 COUNTED = SCORED.replace("exp(-(dist - min(dist) FILTER (type IN ('SO', 'OS')) OVER ()) / {tau})", "1.0::DOUBLE")
+
+
+def counted_to(k_max: int) -> str:
+    """Counts at every k up to k_max."""
+    return COUNTED.replace(f"rank <= {max(KS)}", f"rank <= {k_max}").replace(GRID, f"range(1, {k_max + 1}) g(k)")
+
+
 POOLED = """SELECT CAST(k AS BIGINT) AS k, round(sum(w_so) / sum(w_so + w_os), 9) AS value, round(avg((n_so + n_os > 0)::INT::DOUBLE), 9) AS support,
   round(avg((n_so + n_os = 0 AND n_ss > n_oo)::INT::DOUBLE), 9) AS undefined_ss, round(avg((n_so + n_os = 0 AND n_oo > n_ss)::INT::DOUBLE), 9) AS undefined_oo,
   round(avg((n_so + n_os = 0 AND n_ss = n_oo)::INT::DOUBLE), 9) AS undefined_tie, count(*) AS n_units FROM s GROUP BY k"""
@@ -237,14 +244,14 @@ def valid_counts(spark, sf_dir):
     return m.join(groups, "group_id").crossJoin(F.broadcast(total)).select(F.col("row_id").alias("q"), (F.col("n") - F.col("g")).alias("n_valid"))
 
 
-@query(f"""WITH {COUNTED}, f AS (SELECT k, n_ss / (n_ss + n_so + n_os + n_oo) AS ss, n_so / (n_ss + n_so + n_os + n_oo) AS so, n_os / (n_ss + n_so + n_os + n_oo) AS os, n_oo / (n_ss + n_so + n_os + n_oo) AS oo FROM s)
+@query(f"""WITH {counted_to(200)}, f AS (SELECT k, n_ss / (n_ss + n_so + n_os + n_oo) AS ss, n_so / (n_ss + n_so + n_os + n_oo) AS so, n_os / (n_ss + n_so + n_os + n_oo) AS os, n_oo / (n_ss + n_so + n_os + n_oo) AS oo FROM s)
 SELECT CAST(k AS BIGINT) AS k, round(avg(ss), 9) AS mean_ss, round(avg(so), 9) AS mean_so, round(avg(os), 9) AS mean_os, round(avg(oo), 9) AS mean_oo,
   round(quantile_cont(oo, 0.25), 9) AS oo_q25, round(quantile_cont(oo, 0.75), 9) AS oo_q75, round(quantile_cont(oo, 0.9), 9) AS oo_q90 FROM f GROUP BY k""")
 def composition_by_k(spark, sf_dir):
-    return rounded(scoring.composition(near(spark, sf_dir, max(KS)), KS))
+    return rounded(scoring.composition(near(spark, sf_dir, 200), range(1, 201)))
 
 
-@query(f"""WITH {NEAR.replace('{k}', str(K_MAX))}, d AS (SELECT q, min(rank) FILTER (type = 'SO') AS first_so, min(rank) FILTER (type = 'OS') AS first_os,
+@query(f"""WITH {NEAR.replace('{k}', '1000000000')}, d AS (SELECT q, min(rank) FILTER (type = 'SO') AS first_so, min(rank) FILTER (type = 'OS') AS first_os,
   avg((type = 'SS')::INT::DOUBLE) FILTER (rank <= 10) AS s10, avg((type = 'SS')::INT::DOUBLE) FILTER (rank <= 25) AS s25, avg((type = 'SS')::INT::DOUBLE) FILTER (rank <= 50) AS s50 FROM n GROUP BY q)
 SELECT q, coalesce(first_so, -1) AS first_so, coalesce(first_os, -1) AS first_os, round(s10, 9) AS ss_at_10, round(s25, 9) AS ss_at_25, round(s50, 9) AS ss_at_50,
   coalesce(CASE WHEN first_so IS NOT NULL AND first_os IS NOT NULL THEN greatest(first_so, first_os) END, -1) AS first_both, coalesce(least(first_so, first_os), -1) AS first_typed FROM d""")
@@ -281,9 +288,9 @@ def undefined_breakdown(spark, sf_dir):
     return rounded(rows.groupBy("cause").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query(f"WITH {COUNTED} SELECT CAST(k AS BIGINT) AS k, round(avg((n_so + n_os > 0)::INT::DOUBLE), 9) AS support FROM s GROUP BY k")
+@query(f"WITH {counted_to(100)} SELECT CAST(k AS BIGINT) AS k, round(avg((n_so + n_os > 0)::INT::DOUBLE), 9) AS support FROM s GROUP BY k")
 def support_by_k(spark, sf_dir):
-    return rounded(scoring.robustness_index(near(spark, sf_dir, max(KS)), KS).select("k", "support"))
+    return rounded(scoring.robustness_index(near(spark, sf_dir, 100), range(1, 101)).select("k", "support"))
 
 
 SCORED_TAU = SCORED.replace("{tau}", str(TAU))

@@ -199,7 +199,7 @@ def probe_sweep(spark, sf_dir):
     """Probes of the label's parity from the vectors, languages en and not en as confounders."""
     m = base(spark, sf_dir)
     rows = m.select("row_id", (F.col("confounder") == "en").cast("int").alias("i"), (F.col("label").cast("int") % 2).alias("j"), F.col("embedding").alias("features"))
-    return downstream.probe_sweep(rows, downstream.schedule(spark, "camelyon", n_splits=4), iterations=3, validation=0.2)
+    return downstream.probe_sweep(rows, downstream.schedule(spark, "camelyon"), iterations=20, validation=0.2)
 
 
 # --- resampling ------------------------------------------------------------------------------------------------------------------------------------------
@@ -225,36 +225,36 @@ def customers(spark, sf_dir):
     return c.select(F.col("c_nationkey").cast("string").alias("cluster"), F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") + F.col("c_custkey") % 7).alias("y"))
 
 
-@query(f"""WITH {NATIONS}, {_draw_sql(25, 50, 0)}, r AS (SELECT rep, median(x) AS med FROM ({COPIES}) GROUP BY rep)
+@query(f"""WITH {NATIONS}, {_draw_sql(25, 2000, 0)}, r AS (SELECT rep, median(x) AS med FROM ({COPIES}) GROUP BY rep)
 SELECT (SELECT round(median(x), 6) FROM c) AS point, round(quantile_cont(med, 0.025), 6) AS low, round(quantile_cont(med, 0.975), 6) AS high, count(*) AS n_reps FROM r""")
 def bootstrap_median(spark, sf_dir):
-    b = stats.bootstrap_median(customers(spark, sf_dir), "x", "cluster", n=50)
+    b = stats.bootstrap_median(customers(spark, sf_dir), "x", "cluster", n=2000)
     return b.select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "n_reps")
 
 
-@query(f"""WITH {NATIONS}, {_draw_sql(25, 50, 1)}, r AS (SELECT rep, median(x + c_custkey % 7) - median(x) AS delta FROM ({COPIES}) GROUP BY rep)
+@query(f"""WITH {NATIONS}, {_draw_sql(25, 2000, 1)}, r AS (SELECT rep, median(x + c_custkey % 7) - median(x) AS delta FROM ({COPIES}) GROUP BY rep)
 SELECT (SELECT round(median(x + c_custkey % 7) - median(x), 6) FROM c) AS point, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high, count(*) AS n_reps FROM r""")
 def bootstrap_delta(spark, sf_dir):
-    b = stats.bootstrap_delta(customers(spark, sf_dir), "x", "y", "cluster", n=50, seed=1)
+    b = stats.bootstrap_delta(customers(spark, sf_dir), "x", "y", "cluster", n=2000, seed=1)
     return b.select(*(F.round(c, 6).alias(c) for c in ("point", "low", "high")), "n_reps")
 
 
-@query(f"""WITH {NATIONS}, {_draw_sql(25, 50, 2)}, r AS (SELECT rep, seg, median(x) AS med FROM ({COPIES}) GROUP BY rep, seg), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY med DESC, seg) AS rank FROM r)
+@query(f"""WITH {NATIONS}, {_draw_sql(25, 2000, 2)}, r AS (SELECT rep, seg, median(x) AS med FROM ({COPIES}) GROUP BY rep, seg), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY med DESC, seg) AS rank FROM r)
 SELECT seg AS segment, round(avg(rank), 9) AS mean_rank, trunc(quantile_cont(rank, 0.025))::BIGINT AS low_rank, trunc(quantile_cont(rank, 0.975))::BIGINT AS high_rank FROM k GROUP BY seg""")
 def rank_stability(spark, sf_dir):
-    return rounded(stats.rank_stability(customers(spark, sf_dir), "segment", "x", "cluster", n=50, seed=2)[0])
+    return rounded(stats.rank_stability(customers(spark, sf_dir), "segment", "x", "cluster", n=2000, seed=2)[0])
 
 
-@query(f"""WITH {NATIONS}, {_draw_sql(25, 50, 2)}, r AS (SELECT rep, seg, median(x) AS med FROM ({COPIES}) GROUP BY rep, seg)
+@query(f"""WITH {NATIONS}, {_draw_sql(25, 2000, 2)}, r AS (SELECT rep, seg, median(x) AS med FROM ({COPIES}) GROUP BY rep, seg)
 SELECT a.seg AS model_a, b.seg AS model_b, round(avg((a.med > b.med)::INT::DOUBLE), 9) AS p_win FROM r a JOIN r b ON a.rep = b.rep AND a.seg <> b.seg GROUP BY ALL""")
 def pairwise_wins(spark, sf_dir):
-    return rounded(stats.rank_stability(customers(spark, sf_dir), "segment", "x", "cluster", n=50, seed=2)[1])
+    return rounded(stats.rank_stability(customers(spark, sf_dir), "segment", "x", "cluster", n=2000, seed=2)[1])
 
 
 @query()
 def bootstrap_spearman(spark, sf_dir):
     points = [(r["a"], r["b"]) for r in panel(spark, sf_dir).groupBy("model").agg(F.avg("margin").alias("a"), F.avg("ltm").alias("b")).orderBy("model").collect()]  # one row a model
-    return spark.createDataFrame([stats.bootstrap_spearman(points, n=200)], "rho double, low double, high double")
+    return spark.createDataFrame([stats.bootstrap_spearman(points, n=2000)], "rho double, low double, high double")
 
 
 @query("""WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY source), e AS (SELECT *, size * 137 / sum(size) OVER () AS exact FROM s), f AS (SELECT *, floor(exact) AS seats FROM e),

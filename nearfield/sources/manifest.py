@@ -39,10 +39,38 @@ def read_csv(spark: SparkSession, path: str, confounder: str) -> DataFrame:
     """All columns are strings; row_id follows the file's order; `dataset` is the file's stem."""
     stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    # one file, read in order: numbers follow partition and place
-    numbered = raw.withColumn("_at", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("row_id", (F.row_number().over(Window.orderBy("_at")) - 1).cast("long")).drop("_at")
-    return normalise(numbered, confounder).withColumn("dataset", F.lit(stem))
+    return normalise(in_file_order(raw), confounder).withColumn("dataset", F.lit(stem))
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds row_id from 0 in the order of the files' partitions. Only the partitions' counts meet in one task."""
+    rows = df.withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_part", before.alias("_start")))  # one row a partition
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "_part").withColumn("row_id", (F.col("_start") + place).cast("long")).drop("_at", "_part", "_start")
+
+
+def read_typed(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A CSV relation with the given types and row_id in the file's order; values that don't fit raise."""
+    return in_file_order(spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema, mode="FAILFAST"))
+
+
+def resolve(df: DataFrame, candidates) -> str:
+    """The first of the candidate columns that is there."""
+    found = next((c for c in candidates if c in df.columns), None)
+    if found is None:
+        raise ValueError(f"none of the columns {list(candidates)} is there: {df.columns}")
+    return found
+
+
+def in_subset(df: DataFrame, wanted: str, allowed=("ID", "OOD")) -> DataFrame:
+    """Rows of one subset; subsets that aren't allowed raise."""
+    if bad := df.where(F.col("subset").isNull() | ~F.col("subset").isin(*allowed)).select("subset").limit(1).collect():
+        raise ValueError(f"unknown subset {bad[0]['subset']}")
+    return df.where(F.col("subset") == wanted)
 
 
 def factor_codes(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:

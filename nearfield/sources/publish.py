@@ -1,0 +1,122 @@
+"""Publishing results: complete or not at all, with a sidecar that says what they were made from. Files go through Hadoop's file systems, so any store works."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.vectors import finite
+from .tables import canonical
+
+SIDECAR = "sidecar.json"
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, under another name first; the rename publishes it."""
+    fs, at = _path(spark, path)
+    _, draft = _path(spark, f"{path}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(draft, at):
+        raise OSError(f"{path} can't be published")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _path(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Writes beside the place and renames; readers see the whole table or none. An existing table is never replaced."""
+    spark = df.sparkSession
+    if exists(spark, path):
+        raise ValueError(f"{path} exists")
+    draft = f"{path.rstrip('/')}.draft"
+    df.write.mode("overwrite").parquet(draft)
+    fs, at = _path(spark, path)
+    if not fs.rename(_path(spark, draft)[1], at):
+        raise OSError(f"{path} can't be published")
+
+
+def write_artifact(df: DataFrame, path: str, **made_from) -> None:
+    """A table and its sidecar, which comes last and so marks completeness. Rows are sorted within files by all columns, so equal inputs give equal tables."""
+    publish(df.sortWithinPartitions(*df.columns), f"{path}/values")
+    columns = {f.name: f.dataType.simpleString() for f in df.schema}
+    write_text(df.sparkSession, f"{path}/{SIDECAR}", canonical({"made_from": made_from, "columns": columns}))
+
+
+def reusable(spark: SparkSession, path: str, **made_from) -> bool:
+    """Whether a complete artifact of the same origin is there. One half alone, another origin and another schema are errors, never a silent miss."""
+    values, sidecar = exists(spark, f"{path}/values"), exists(spark, f"{path}/{SIDECAR}")
+    if not values and not sidecar:
+        return False
+    if values != sidecar:
+        raise ValueError(f"incomplete artifact at {path}")
+    found = json.loads(read_text(spark, f"{path}/{SIDECAR}"))
+    wanted = json.loads(canonical(made_from))
+    if differ := sorted(k for k in wanted.keys() | found["made_from"].keys() if wanted.get(k) != found["made_from"].get(k)):
+        raise ValueError(f"artifact at {path} was made from other inputs: {differ}")
+    if {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{path}/values").schema} != found["columns"]:
+        raise ValueError(f"artifact at {path} has another schema than its sidecar says")
+    return True
+
+
+def write_distribution(df: DataFrame, path: str, value: str, alpha: float = 0.1, **meta) -> None:
+    """The defined values of a measure, and a sidecar with their summary."""
+    good = df.where(finite(F.col(value)).isNotNull()).select(value)
+    publish(good, f"{path}/values")
+    row = good.agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(alpha)).alias("q")).first()
+    ltm = good.where(F.col(value) <= F.lit(row["q"])).agg(F.avg(value).alias("m")).first()["m"]
+    write_text(df.sparkSession, f"{path}/{SIDECAR}", json.dumps({"measure": value, "alpha": alpha, "n": row["n"], "median": row["median"], "quantile": row["q"], "ltm": ltm} | meta, sort_keys=True))
+
+
+def write_run_config(spark: SparkSession, path: str, resolved: dict) -> None:
+    write_text(spark, f"{path}/run_config.json", json.dumps(resolved, sort_keys=True, indent=2))
+
+
+def read_run_config(spark: SparkSession, path: str) -> dict:
+    """What a run was called with, to call it again."""
+    return json.loads(read_text(spark, f"{path}/run_config.json"))
+
+
+def _csv(df: DataFrame) -> str:
+    """A small table as text."""
+    cell = lambda x: "" if x is None else f'"{x}"' if isinstance(x, str) and any(c in x for c in ',"\n') else repr(x) if isinstance(x, float) else str(x)
+    quoted = lambda x: cell(x.replace('"', '""') if isinstance(x, str) else x)
+    return "".join(",".join(map(quoted, row)) + "\n" for row in [tuple(df.columns), *map(tuple, df.collect())])
+
+
+def export(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """Small published tables as CSV files in the order of the given columns, and their SHA-256 in PROVENANCE.json."""
+    record = {}
+    for name, (df, order) in sorted(tables.items()):
+        text = _csv(df.orderBy(*order))
+        write_text(spark, f"{path}/{name}.csv", text)
+        record[f"{name}.csv"] = hashlib.sha256(text.encode()).hexdigest()
+    write_text(spark, f"{path}/PROVENANCE.json", json.dumps(record, sort_keys=True, indent=2))
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """The first rows of an ordered report as a Markdown table."""
+    rows = [df.columns, ["---"] * len(df.columns), *([("" if x is None else str(x)) for x in r] for r in df.limit(most).collect())]
+    return "".join("|---" * len(r) + "|\n" if i == 1 else "| " + " | ".join(r) + " |\n" for i, r in enumerate(rows))

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
+from ..sources.shared import stash
 
-BLOCK = 2048
+#: Rows of a block at most, and rows below which a table isn't cut further; up to SPREAD blocks a side are made for parallel work.
+BLOCK, LEAST, SPREAD = 8192, 512, 4
 KEY = ("subset", "q")
 
 
@@ -39,7 +41,8 @@ def pairs(df: DataFrame) -> DataFrame:
 
 
 def _blocked(u: DataFrame, block: int) -> DataFrame:
-    sizes = u.groupBy("subset").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    sizes = u.groupBy("subset").agg(F.greatest(F.ceil(n / block), F.least(F.lit(SPREAD), F.ceil(n / LEAST))).cast("int").alias("blocks"))
     return u.join(sizes, "subset").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
 
 
@@ -92,13 +95,13 @@ def ranked(found: DataFrame) -> DataFrame:
 
 
 def nearest(df: DataFrame, k: int, **options) -> DataFrame:
-    """The k nearest of each row: subset, q, c, rank, dist, same_label, same_conf, type. The search is kept, as several measures read it."""
-    return ranked(candidates(df, k=k, **options).persist()).where(F.col("rank") <= k)
+    """The k nearest of each row: subset, q, c, rank, dist, same_label, same_conf, type. The search is written, as several measures read it and none should repeat it."""
+    return ranked(stash(candidates(df, k=k, **options), "neighbors")).where(F.col("rank") <= k)
 
 
 def nearest_typed(df: DataFrame, m: int, **options) -> DataFrame:
     """The m nearest of each row that share only the label (SO) and only the confounder (OS), with their rank within the type."""
-    found = candidates(df, m=m, **options).persist().withColumn("type", kind(F.col("same_label"), F.col("same_conf"))).where("type in ('SO', 'OS')")
+    found = stash(candidates(df, m=m, **options), "typed").withColumn("type", kind(F.col("same_label"), F.col("same_conf"))).where("type in ('SO', 'OS')")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY, "type").orderBy("dist", "c"))).where(F.col("rank") <= m)
 
 

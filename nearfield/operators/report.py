@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import rank_first
+from ..sources.shared import stash
+from .stats import quantile, rank_first
 
 #: Fewest samples for a headline, and the thresholds of the tiers.
 FEWEST = 2
@@ -18,11 +19,10 @@ SUPPORT_FLOOR, OO_HIGH, LTM_GAP = 0.75, 0.10, 0.20
 def subgroups(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     """rows: sample_id, label, confounder, margin. For every stratum, label and confounder: its own and the rest's statistics and its part in the tail
     (the first ceil(alpha n) rows by margin, then sample_id)."""
-    good = rows.where(F.col("margin").isNotNull()).select("sample_id", "label", "confounder", "margin").persist()
+    good = stash(rows.where(F.col("margin").isNotNull()).select("sample_id", "label", "confounder", "margin"), "margins")
     n = good.count()
     tail_size = max(1, -(-int(round(alpha * n * 1e9)) // 10**9))
-    cut = good.orderBy("margin", "sample_id").limit(tail_size).agg(F.max(F.struct("margin", "sample_id")).alias("cut"))
-    good = good.crossJoin(F.broadcast(cut)).withColumn("tail", F.struct("margin", "sample_id") <= F.col("cut"))  # one row
+    good = good.withColumn("tail", _in_tail(good, n, tail_size))
     scopes = F.explode(F.array(
         F.struct(F.lit("stratum").alias("scope"), F.col("label").alias("l"), F.col("confounder").alias("c")),
         F.struct(F.lit("label").alias("scope"), F.col("label").alias("l"), F.lit("").alias("c")),
@@ -52,6 +52,22 @@ def subgroups(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     )
 
 
+def _in_tail(good: DataFrame, n: int, size: int) -> Column:
+    """Whether a row is among the first `size` by margin, then sample_id. The margin at that place is an exact quantile; only rows that have just that margin are put
+    in order."""
+    at = quantile(good, "margin", (size - 1) / max(1, n - 1))
+    if at is None:
+        return F.lit(True)
+    # the quantile is computed with rounding: the value itself is the greatest one not above it
+    at = good.where(F.col("margin") <= at + 1e-12 * (1 + abs(at))).agg(F.max("margin").alias("m")).first()["m"]
+    before = good.where(F.col("margin") < at).count()
+    if before >= size:  # rounding led one value too far
+        at = good.where(F.col("margin") < at).agg(F.max("margin").alias("m")).first()["m"]
+        before = good.where(F.col("margin") < at).count()
+    last = good.where(F.col("margin") == at).orderBy("sample_id").limit(size - before).agg(F.max("sample_id").alias("s")).first()["s"]
+    return (F.col("margin") < at) | ((F.col("margin") == at) & (F.col("sample_id") <= last))
+
+
 def tiers(groups: DataFrame) -> DataFrame:
     """Adds tier1 (against the rest), tier2 (within), severity and tier3 (in the tail)."""
     c = F.col

@@ -12,6 +12,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import quantile
+
 KEY = ("subset", "q")
 TAU = 0.2
 CAUSES = ("defined", "same-label-and-confounder", "other-label-and-confounder", "balanced-or-empty")
@@ -99,8 +101,8 @@ def typed_distances(found: DataFrame, k: int) -> DataFrame:
 
 def recommend_tau(found: DataFrame, k: int, default: float = TAU) -> float:
     """Median typed distance among the k nearest; the default where there is none or it isn't positive."""
-    tau = typed_distances(found, k).agg(F.median("dist").alias("tau")).first()["tau"]
-    if tau is None or tau != tau:
+    tau = quantile(typed_distances(found, k), "dist", 0.5)
+    if tau is None:
         warnings.warn("no typed neighbours: tau falls back to the default", stacklevel=2)
         return default
     if tau <= 0:
@@ -111,7 +113,8 @@ def recommend_tau(found: DataFrame, k: int, default: float = TAU) -> float:
 
 def assess_tau(distances: DataFrame, tau: float) -> DataFrame:
     """Whether tau lies within a factor of four of the median typed distance."""
-    med = distances.agg(F.median("dist").alias("median_distance"), F.count("dist").alias("n_typed"))
+    middle = quantile(distances, "dist", 0.5)
+    med = distances.agg(F.lit(middle).cast("double").alias("median_distance"), F.count("dist").alias("n_typed"))
     regime = (
         F.when(F.col("median_distance").isNull() | (F.col("median_distance") <= 0), "undetermined")
         .when(F.lit(tau) < F.col("median_distance") / 4, "too_sharp")

@@ -52,10 +52,12 @@ y AS (SELECT *, CASE WHEN n_tail = 0 THEN 'no_tail_samples' WHEN gap IS NULL THE
 SELECT scope, label, confounder, severity,
   CASE WHEN n < 2 THEN 'insufficient_support' WHEN weak AND median < 0 AND rest_median >= 0 THEN 'broad_weakness' WHEN weak AND median >= 0 AND rest_median >= 0 THEN 'relative_weakness'
     WHEN weak AND median < 0 AND rest_median < 0 THEN 'aggravated_weakness' ELSE 'neutral' END AS tier1,
+  CASE WHEN n < 10 THEN 'insufficient_support' WHEN ltm <= -0.05 AND internal_drop >= 0.1 AND negative >= 0.15 AND n_negative >= 3 AND median < 0 THEN 'aggravated_weakness'
+    WHEN ltm <= -0.05 AND internal_drop >= 0.1 AND negative >= 0.15 AND n_negative >= 3 AND median >= 0.07 THEN 'hidden_pocket' WHEN median >= 0.07 AND ltm >= 0 AND internal_drop >= 0.1 THEN 'internal_spread' ELSE 'neutral' END AS tier2,
   CASE WHEN n < 2 THEN 'insufficient_support' WHEN tail_ratio >= 2 AND severity = 'more severe' THEN 'tail_enriched_and_severe' WHEN tail_ratio >= 2 THEN 'tail_enriched' WHEN severity = 'more severe' THEN 'tail_severe' ELSE 'neutral' END AS tier3
 FROM y""")
 def tier_status(spark, sf_dir):
-    return report.tiers(report.subgroups(samples(spark, sf_dir), ALPHA)).select("scope", "label", "confounder", "severity", "tier1", "tier3")
+    return report.tiers(report.subgroups(samples(spark, sf_dir), ALPHA)).select("scope", "label", "confounder", "severity", "tier1", "tier2", "tier3")
 
 
 @query(f"""WITH {PANEL}, p AS (SELECT model || '/' || cohort AS model, n / 20 AS support, 1 - n / 20 AS oo, margin, ltm FROM panel)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, downstream, neighbors, scoring, stats, studies
-from .catalogue import COUNTED, K, KS, NEAR, base, near, query, rounded
+from ..operators import align, downstream, knn, margin, neighbors, scoring, stats, studies
+from ..sources import manifest, tables
+from .catalogue import COUNTED, K, KS, NEAR, PAIRED, base, near, query, rounded
 from .reports import COPIES, NATIONS, PANEL, _draw_sql, customers, panel
 
 # --- indices -------------------------------------------------------------------------------------------------------------------------------------------------
@@ -300,3 +301,50 @@ def stratified_draw(spark, sf_dir):
 def cell_picks(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
     return stats.cell_pick(d.select("doc_id", "lang", "source"), "doc_id", 42, ["lang", "source"])
+
+
+# --- designs and tails of shares -----------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PAIRED}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subset, q ORDER BY dist, c) AS rank FROM p) WHERE rank <= 5), g(k) AS (VALUES (1), (3), (5)),
+f AS (SELECT subset, label AS value, min(row_id) AS code FROM x GROUP BY ALL), c AS (SELECT n.subset, k, q, x.label AS value, f.code, count(*) AS n FROM n, g, x, f WHERE rank <= k AND x.subset = n.subset AND x.row_id = n.c AND f.subset = n.subset AND f.value = x.label GROUP BY ALL),
+v AS (SELECT subset, k, q, value AS vote FROM (SELECT *, row_number() OVER (PARTITION BY subset, k, q ORDER BY n DESC, code) AS place FROM c) WHERE place = 1),
+r AS (SELECT v.subset, k, x.label AS truth, avg((vote = x.label)::INT::DOUBLE) AS recall FROM v JOIN x ON x.subset = v.subset AND x.row_id = v.q GROUP BY ALL), b AS (SELECT subset, k, avg(recall) AS acc FROM r GROUP BY ALL),
+z AS (SELECT subset, count(*) AS size FROM x GROUP BY subset) SELECT k::BIGINT AS k, round(avg(acc), 9) AS balanced_accuracy FROM b JOIN z USING (subset) WHERE k < size AND size > 1 GROUP BY k""")
+def paired_bacc_curve(spark, sf_dir):
+    """Unweighted mean over the 2x2 subsets."""
+    x = manifest.expand_2x2(base(spark, sf_dir).drop("subset"))
+    return rounded(knn.curve(knn.votes(neighbors.nearest(x, 5), x, (1, 3, 5)), x))
+
+
+@query(f"""WITH {COUNTED}, shares AS (SELECT n_so / (n_so + n_os) AS x FROM s WHERE k = {K} AND n_so + n_os > 0), t AS (SELECT quantile_cont(x, 0.1) AS q FROM shares)
+SELECT round(median(x), 9) AS median, round(max(q), 9) AS quantile, round(avg(x) FILTER (x <= q), 9) AS lower_tail_mean, count(*) FILTER (x <= q) AS n_tail FROM shares, t""")
+def share_tail(spark, sf_dir):
+    """Median and tail of the units' own shares, over the defined ones."""
+    rows = scoring.per_unit(scoring.at_k(scoring.evidence(near(spark, sf_dir)), [K]))
+    middle = rows.agg(F.median("share").alias("median"))
+    return rounded(middle.crossJoin(F.broadcast(margin.tail(rows, "share"))))  # one row each
+
+
+@query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source")
+def contingency(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count().na.fill(0)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 's3://x/' || c_name WHEN c_custkey % 3 = 1 THEN '/abs/' || c_name ELSE '/root/of/mapping/' || c_name END AS path FROM customer")
+def resolved_paths(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = F.concat(F.when(F.col("c_custkey") % 3 == 0, "s3://x/").when(F.col("c_custkey") % 3 == 1, "/abs/").otherwise(""), "c_name")
+    return c.select("c_custkey", tables.absolute(raw, "/root/of/mapping").alias("path"))
+
+
+@query(f"""WITH {PANEL}, r AS (SELECT model, cohort, rank() OVER (PARTITION BY cohort ORDER BY margin) AS r FROM panel),
+c AS (SELECT a.cohort AS one, b.cohort AS other, corr(a.r, b.r) AS rho, count(*) AS n FROM r a JOIN r b ON a.model = b.model AND a.cohort < b.cohort GROUP BY ALL) SELECT one, other, round(rho, 9) AS rho, n FROM c""")
+def ordering_agreement(spark, sf_dir):
+    """Rank correlation of the models' orders between all pairs of cohorts."""
+    p = panel(spark, sf_dir)
+    a, b = p.alias("a"), p.alias("b")
+    both = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.cohort") < F.col("b.cohort")))  # models times pairs of cohorts
+    both = both.select(F.col("a.cohort").alias("one"), F.col("b.cohort").alias("other"), F.col("a.margin").alias("x"), F.col("b.margin").alias("y"))
+    return rounded(stats.spearman(both, "x", "y", ("one", "other")).select("one", "other", F.col("spearman").alias("rho"), "n"))

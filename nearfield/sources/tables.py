@@ -7,7 +7,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Vector files that can be read; torch files need a library that isn't here.
@@ -73,8 +73,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(rows, "path string, embedding array<double>")
 
 
+def absolute(path: Column, root: str) -> Column:
+    """Relative paths get a root; absolute ones and those with a scheme stay."""
+    return F.when(path.startswith("/") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """image_path, model, embedding_path: no blanks, each pair of the first two once."""
+    """image_path, model, embedding_path: no blanks, each pair of the first two once; relative embedding paths start at the mapping's folder."""
     df = spark.read.csv(path, header=True)
     blank = F.lit(False)
     for c in ("image_path", "model", "embedding_path"):
@@ -83,7 +88,7 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("blank values in the embedding mapping")
     if df.groupBy("image_path", "model").count().where("count > 1").limit(1).count():
         raise ValueError("repeated images in the embedding mapping")
-    return df
+    return df.withColumn("embedding_path", absolute(F.col("embedding_path"), path.rstrip("/").rpartition("/")[0]))
 
 
 def numbered_ids(df: DataFrame, key: str, order: str) -> DataFrame:

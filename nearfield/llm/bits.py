@@ -22,12 +22,15 @@ def segment(keys: np.ndarray) -> np.ndarray:
 
 
 def size_for(keys: int, per_key: int, most: int) -> int:
-    """Bits: a power of two, at least `per_key` a key, but never over `most`."""
-    return 1 << max(18, min((per_key * keys).bit_length(), most.bit_length() - 1))
+    """Bits: whole words in each segment, at least `per_key` a key, but not over `most`."""
+    unit = SEGMENTS * 64
+    return unit * max(1, min(-(-per_key * keys // unit), most // unit))
 
 
 def places(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
-    return mix(keys + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(segment_bits - 1)
+    """Bits of a segment, of under 2^32."""
+    spread = mix(keys + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return (spread >> np.uint64(32)) * np.uint64(segment_bits) >> np.uint64(32)
 
 
 class Bits:

@@ -2,11 +2,15 @@
 
 Counts of words and word pairs are quantised on a log scale (level 1 + floor(log2 count)) and only their levels are stored: an n-gram of level q puts
 (n-gram, 1) to (n-gram, q) into a Bloom filter. A count is read back by probing levels upwards until one is missing; the mean count of the
-last level stands for it. The filter is cut into segments by the n-gram's hash, so each task builds whole segments from the n-grams shuffled to
-it. It has PER_ENTRY bits at least for each stored (n-gram, level), however many there are, which holds the rate of wrong probes under 5 %. A filter
-of up to MAX_BITS bits (32 MB) is broadcast. A larger one stays a table of segments: each batch of texts sends its distinct n-grams to their
-segments, packed by bucket, and gets their levels back. Both ways give the same scores. Probabilities of pairs are smoothed with the word's own
-(Dirichlet prior of weight PRIOR), and those of words with add-half counts.
+last level stands for it. All words are stored, and all pairs that occur at least MIN_PAIR times: pairs seen once are most of all pairs and tell little, so
+they are left to the smoothing, at every size of the corpus alike. Probabilities of pairs are smoothed with the word's own (Dirichlet prior of weight
+PRIOR), and those of words with add-half counts: (pair + PRIOR p(word)) / (share * before + PRIOR). The share is how much of a first word's occurrences
+are in stored pairs, measured on the corpus for each level of that word, so that what unstored pairs had goes to the smoothing.
+
+The filter has PER_ENTRY bits for each stored (n-gram, level), however many there are, which holds the rate of wrong probes under 5 %. It is cut into
+segments by the n-gram's hash, so each task builds whole segments from the n-grams shuffled to it. A filter of up to MAX_BITS bits (64 MB) is broadcast.
+A larger one stays a table of segments: each batch of texts sends its distinct n-grams to their segments, packed by bucket, and gets their levels back.
+Both ways give the same scores.
 
 The base score needs exact word counts: the TOP_WORDS most frequent words are broadcast as two arrays, all other words of the texts are joined with
 the whole count table. All training rows are counted and all rows are scored, whole.
@@ -19,7 +23,6 @@ rows every count is 0, N is 0, and base scores are log10(0.5 / 0.5) = 0 for each
 
 from __future__ import annotations
 
-import gc
 from functools import reduce
 from itertools import count
 
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import crc_mod, hashed, map_rows, smaller_batches, stash, unstash, words
+from .common import collect_shuffles, crc_mod, hashed, let_go, map_rows, smaller_batches, stash, unstash, words
 
 #: Bits of a stored entry at least: with two probes the fill is at most 1 - exp(-1/4), and its square 0.049.
 PER_ENTRY = 8
 #: Filters of up to so many bits are broadcast, larger ones probed by segment.
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 29
+#: Pairs with fewer occurrences are not stored.
+MIN_PAIR = 2
 #: Runs of neighbouring segments that requests are packed for, at least.
 BUCKETS = 512
 #: Requests are on disk twice, so texts go through in so many parts, one after the other.
@@ -63,7 +68,7 @@ def word_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, keys, schema: str) -> DataFrame:
-    """Distinct keys of each task's buffer with their counts; keys(text) gives an array."""
+    """Distinct keys of each task's buffer with their counts; keys(text) gives an array, or an array and a class of each key (a small number)."""
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,43 +77,53 @@ def _counted(docs: DataFrame, keys, schema: str) -> DataFrame:
 
     def run(batches):
         def emit(held):
-            key, n = np.unique(np.concatenate(held), return_counts=True)
+            key, first, n = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
             segment = bits.segment(key)
+            if held[0][1] is not None:
+                segment |= np.concatenate([c for _, c in held])[first].astype(np.int32) << 12
             for at in range(0, len(key), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(segment[part]), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int64))], schema=arrow)
 
         held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                got = keys(text.as_py())
-                held.append(got)
-                size += len(got)
-                if size > BUFFER:
-                    yield from emit(held)
-                    held, size = [], 0
-        if held:
-            yield from emit(held)
+        try:
+            for batch in batches:
+                for text in batch.column(0):
+                    got = keys(text.as_py())
+                    held.append(got if isinstance(got, tuple) else (got, None))
+                    size += len(held[-1][0])
+                    if size > BUFFER:
+                        yield from emit(held)
+                        held, size = [], 0
+            if held:
+                yield from emit(held)
+        finally:
+            del held
+            let_go()
 
     smaller_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, schema)
 
 
-def counts_of(held: bits.Bits, keys: np.ndarray) -> np.ndarray:
-    """The mean count of each key's level: of 2^(q-1) to 2^q - 1."""
-    return means(held.levels(keys))
-
-
 def means(q: np.ndarray) -> np.ndarray:
+    """The mean count of each level: of 2^(q-1) to 2^q - 1."""
     q = q.astype(np.int64)
     return np.where(q > 0, (3 * 2.0 ** (q - 1) - 1) / 2, 0.0)
 
 
-def _levels(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """segment, key, levels of each word and pair; written, as the filter's size comes from the number of entries."""
+def level_of(n: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 count)."""
+    return (np.floor(np.log2(np.maximum(n, 1))) + 1).astype(np.uint8)
+
+
+def _levels(docs: DataFrame, counts: DataFrame, top: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, np.ndarray]:
+    """segment, key, levels of each stored word and pair (written, as the filter's size comes from the number of entries); and for each level of a first word
+    the share of its occurrences that are in stored pairs. The level is exact for the most frequent words, and one class holds all others."""
+    spark = docs.sparkSession
     schema = "segment int, key long, n long"
+    texts = docs.count()
     # words enter the filter under their own kind of key; the beginning counts once for each text
-    begin = docs.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)), docs.count())], "key long, n long").where("n > 0")
+    begin = spark.createDataFrame([(int(BEGIN.view(np.int64)), texts)], "key long, n long").where("n > 0")
 
     def make():
         def run(batch):
@@ -118,17 +133,29 @@ def _levels(docs: DataFrame, counts: DataFrame) -> DataFrame:
         return run
 
     singles = map_rows(counts.unionByName(begin).select("key", "n"), make, schema)
-    pairs = _counted(docs, lambda text: pair_keys(tokens(text)), schema)
-    # one shuffle by segment, then each task sums and stores its own keys
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = pairs.unionByName(singles).repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
-    return stash(summed.withColumn("levels", (F.floor(F.log2("n")) + 1).cast("int")).drop("n"), "ngrams")
-
-
-def _let_go(spark) -> None:
-    """Spark keeps a shuffle's files until its JVM has collected the plan; here they would add up to several times the input."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    shared = spark.sparkContext.broadcast((top[0], level_of(top[1]), level_of(np.array([texts]))[0]))
+
+    def pairs_of(text):
+        keys, levels, first = shared.value
+        found = tokens(text)
+        at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
+        kind = np.roll(np.where(keys[at] == found, levels[at], 0) if len(keys) else np.zeros(len(found), np.uint8), 1)
+        kind[0] = first
+        return pair_keys(found), kind
+
+    # one shuffle by segment and class, then each task sums its own keys
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _counted(docs, pairs_of, schema).repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
+    stored = stash(pairs.withColumn("kind", F.shiftright("segment", 12)).unionByName(singles.withColumn("kind", F.lit(-1))), "ngrams")
+    kept = {r["kind"]: r["n"] for r in stored.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a level
+    least = int(top[1].min(initial=1 << 62))
+    level = F.length(F.bin("n"))  # the number of binary digits
+    own_level = F.when(F.col("n") >= least, level).otherwise(0)
+    before = counts.where(F.col("key") != int(END.view(np.int64))).unionByName(begin.select(*counts.columns))
+    every = {r["kind"]: r["n"] for r in before.groupBy(own_level.alias("kind")).agg(F.sum("n").alias("n")).collect()}  # one row a level
+    share = np.array([kept.get(q, 0) / every[q] if q in every else 1.0 for q in range(64)])
+    share[1 : int(level_of(np.array([least]))[0]) if len(top[1]) else 64] = share[0]
+    return stored.select(F.col("segment").bitwiseAND(bits.SEGMENTS - 1).alias("segment"), "key", level.alias("levels")), share
 
 
 def train(docs: DataFrame) -> dict:
@@ -138,8 +165,16 @@ def train(docs: DataFrame) -> dict:
     counts = stash(raw.groupBy("key").agg(F.sum("n").alias("n")), "words")
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = row["n"], row["v"]
-    summed = _levels(docs, counts)
-    _let_go(docs.sparkSession)
+    # the most frequent words: all with a count that at most TOP_WORDS words reach; no sort of words, and columns instead of rows to the driver
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    reached = sizes.withColumn("reached", F.sum("words").over(Window.orderBy(F.desc("n"))))  # distinct counts: few
+    least = reached.where(F.col("reached") <= TOP_WORDS).agg(F.min("n").alias("n")).first()["n"]
+    top = counts.where(F.col("n") >= (least or 1 << 62)).select("key", "n").toArrow()
+    keys = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    top = keys[order], top.column("n").to_numpy()[order]
+    summed, share = _levels(docs, counts, top)
+    collect_shuffles(docs.sparkSession)
     size = bits.size_for(summed.agg(F.coalesce(F.sum("levels"), F.lit(0)).alias("n")).first()["n"], PER_ENTRY, 1 << 62)
     dealt = summed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "segment")
     if size <= MAX_BITS:
@@ -149,17 +184,8 @@ def train(docs: DataFrame) -> dict:
         found = stash(bits.segments(dealt, size), "filter")
         fill = found.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("n")).first()["n"] / size
     del dealt
-    unstash(summed)
-    _let_go(docs.sparkSession)
-    # the most frequent words: all with a count that at most TOP_WORDS words reach; no sort of words, and columns instead of rows to the driver
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    reached = sizes.withColumn("reached", F.sum("words").over(Window.orderBy(F.desc("n"))))  # distinct counts: few
-    least = reached.where(F.col("reached") <= TOP_WORDS).agg(F.min("n").alias("n")).first()["n"]
-    top = counts.where(F.col("n") >= (least or 1 << 62)).select("key", "n").toArrow()
-    keys = top.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    times = top.column("n").to_numpy()[order]
-    return {"counts": counts, "n": total, "v": distinct, "filter": found, "bits": size, "top": (keys[order], times), "false_rate": fill**bits.PROBES}
+    collect_shuffles(docs.sparkSession)
+    return {"counts": counts, "n": total, "v": distinct, "filter": found, "bits": size, "top": top, "share": share, "false_rate": fill**bits.PROBES}
 
 
 def _log_p(own: np.ndarray, before: np.ndarray, both: np.ndarray, below: float) -> np.ndarray:
@@ -219,7 +245,7 @@ def _finished(asked: DataFrame, model: dict, buckets: int, below: float, schema:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    arrow, share = to_arrow_schema(T.StructType.fromDDL(schema)), model["share"]
 
     def run(batches):
         levels, scores = [], None
@@ -229,12 +255,13 @@ def _finished(asked: DataFrame, model: dict, buckets: int, below: float, schema:
                 if o < buckets:
                     levels.append(data[i].as_py())
                 elif o == buckets:
-                    counts, levels = means(np.frombuffer(b"".join(levels), np.uint8)), []
+                    found_levels, levels = np.frombuffer(b"".join(levels), np.uint8), []
+                    counts = means(found_levels)
+                    first = counts * share[found_levels]
                     begin, starts, own, pair = _unpacked(data[i].as_py())
-                    own = counts[own]
-                    before = np.roll(own, 1)
-                    before[starts] = counts[begin]
-                    scores = np.add.reduceat(_log_p(own, before, counts[pair], below), starts)
+                    before = np.roll(first[own], 1)
+                    before[starts] = first[begin]
+                    scores = np.add.reduceat(_log_p(counts[own], before, counts[pair], below), starts)
                 else:
                     found.append(scores[o - buckets - 1])
             texts = batch.take(pa.array(rows))
@@ -250,10 +277,10 @@ def _finished(asked: DataFrame, model: dict, buckets: int, below: float, schema:
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_tokens, n_known, train_tokens, base_score, score."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    total, distinct = model["n"], model["v"]
+    total, distinct, share = model["n"], model["v"], model["share"]
     below = total + 0.5 * (distinct + 1)
     whole = isinstance(model["filter"], bits.Bits)
-    buckets = min(bits.SEGMENTS, max(BUCKETS, model["bits"] >> 23))  # powers of two; from 4 GB of filter on, a bucket is a segment
+    buckets = min(bits.SEGMENTS, max(BUCKETS, 1 << (model["bits"] >> 23).bit_length()))  # powers of two; from 2 GB of filter on, a bucket is a segment
     shared = docs.sparkSession.sparkContext.broadcast((model["filter"] if whole else None, *model["top"]))  # bounded by MAX_BITS and TOP_WORDS
 
     def make():
@@ -284,11 +311,12 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
             }
             if held is None:
                 return asks(out, distinct, which, found, starts)
-            own = counts_of(held, word_keys(distinct))[which]
-            before = np.roll(own, 1)
-            before[starts] = counts_of(held, word_keys(np.array([BEGIN])))[0]
+            levels = held.levels(word_keys(np.append(distinct, BEGIN)))
+            own, first = means(levels)[:-1][which], means(levels) * share[levels]
+            before = np.roll(first[:-1][which], 1)
+            before[starts] = first[-1]
             pair, pairs_at = np.unique(pair_keys(found, starts), return_inverse=True)
-            both = counts_of(held, pair)[pairs_at]
+            both = means(held.levels(pair))[pairs_at]
             return out | {"score": np.add.reduceat(_log_p(own, before, both, below), starts)}
 
         def asks(out, distinct, which, found, starts):
@@ -319,7 +347,7 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
             done.append(stash(found, "scored"))
             del found
             unstash(asked)
-            _let_go(docs.sparkSession)
+            collect_shuffles(docs.sparkSession)
         parts = reduce(DataFrame.unionByName, done)
     rest = parts.select("tag", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("tag", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     rest = rest.join(model["counts"], "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -9,7 +9,10 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ("manifest_normalized", "occurrence_table", "knn_topk", "ri_curve", "mari_pooled", "margin_m_sweep", "aggregate_ranks", "schedule_tables", "bootstrap_median", "stratified_quota")
+NAMES = (
+    "manifest_normalized", "occurrence_table", "knn_topk", "ri_curve", "mari_pooled", "margin_m_sweep", "aggregate_ranks", "schedule_tables", "bootstrap_median", "stratified_quota",
+    "mari_per_sample_sharp", "share_tail", "probe_reductions", "t_interval_of_fifty", "tier_status", "downside_moments", "m_sweep_stability", "panel_scalars", "bijective_slice", "typed_rank_depth",
+)
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,11 @@
 """Self-join of documents by the Jaccard similarity of their word shingles, through a MinHash LSH forest.
 
 Signatures. A text is the set of its 5-word shingles; texts with equal sets are one representative with a number of copies from here on.
-Forest. A representative has TREES sorted tries; its path in a trie is a row of min-hashes. Two texts meet in a trie where their paths share a prefix. The
-prefix is shortened level by level until texts at the threshold meet somewhere with the target recall, 1 - (1 - threshold^depth)^TREES. Trie nodes
-with one text are dropped by a Bloom filter of bounded size before anything is shuffled.
+Forest. A representative has TREES sorted tries; its path in a trie is a row of min-hashes, kept as one number whose leading bits are the shorter prefixes,
+so numbers sort as paths do. Two texts meet in a trie where their paths share a prefix. The longest prefix in use is shortened level by level until texts at
+the threshold meet somewhere with the target recall, 1 - (1 - threshold^depth)^TREES. From there each matched prefix is shortened on, up to SHORTER levels,
+as long as the texts below it fit a block: sparse parts of a trie are searched with short prefixes, dense ones with longer ones, and none misses the target.
+Prefixes with one text are dropped by a Bloom filter of bounded size before anything is shuffled.
 Candidates. The texts of a node are compared by 2-bit signatures, in blocks and pairs of blocks, and each block gives stars that span its likely
 links (4.5 standard errors below the threshold), never all pairs. Connected components of these stars are the candidate groups.
 Verification. Shingle sets, read once for texts in groups, are intersected exactly, again in blocks and pairs of blocks: every pair of different texts in a
@@ -25,17 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import hashed, keyed, map_rows, row_key, smaller_batches, stash, unstash, words
+from .common import attach, hashed, keyed, let_go, map_rows, row_key, smaller_batches, stash, unstash, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 10
+#: Levels by which a matched prefix may be shorter than the longest one; each takes 8 bits of a path's number.
+SHORTER = 2
 RECALL = 0.999
 #: Texts of a block: of a trie node, of a candidate group.
 NODE_BLOCK = 512
 GROUP_BLOCK = 192
-HOT_SHARE = 1 / 256
 MAX_BITS = 1 << 27
 SLACK = 4.5
 
@@ -75,11 +78,24 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_keys(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
+def tree_paths(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """A number for each tree: a hash of the shortest prefix, then 8 bits for each of the `levels` below it."""
+    levels = min(SHORTER, depth - 1)
     keys = np.arange(1, trees + 1, dtype=np.uint64)
-    for level in sig.reshape(trees, depth).T.astype(np.uint64):
+    out = np.zeros(trees, np.uint64)
+    for n, level in enumerate(sig.reshape(trees, depth).T.astype(np.uint64), 1):
         keys = bits.mix(keys * np.uint64(0x9E3779B97F4A7C15) + level)
-    return keys
+        left = 8 * (depth - n)
+        if n == depth - levels:
+            out = keys >> np.uint64(left) << np.uint64(left)
+        elif n > depth - levels:
+            out |= keys >> np.uint64(56) << np.uint64(left)
+    return out
+
+
+def mask(levels: int) -> int:
+    """For a path's number: clears so many of the last levels (as a signed number)."""
+    return -(1 << 8 * levels)
 
 
 def two_bits(sig: np.ndarray) -> bytes:
@@ -136,13 +152,17 @@ def _by_group(df: DataFrame, key: list[str], fn, schema: str) -> DataFrame:
 
     def run(batches):
         out: dict[str, list] = {f.name: [] for f in arrow}
-        for k, rows in _sorted_groups(batches, key):
-            for n, values in fn(k, rows).items():
-                out[n].extend(values)
-            if len(out[arrow[0].name]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-                out = {f.name: [] for f in arrow}
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for k, rows in _sorted_groups(batches, key):
+                for n, values in fn(k, rows).items():
+                    out[n].extend(values)
+                if len(out[arrow[0].name]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                    out = {f.name: [] for f in arrow}
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            del out
+            let_go()
 
     smaller_batches(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -178,14 +198,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("node", "root")
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows and groups by key. groups has one row a key and its number of rows in `size`; keys with more than HOT_SHARE of all rows, of which
-    there are 1 / HOT_SHARE at most, go by broadcast."""
-    hot = F.col(size) > max(rows.count() * HOT_SHARE, 1)
-    one = F.broadcast(groups.where(hot))
-    return rows.join(one, key).unionByName(rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").join(groups.where(~hot), key))
-
-
 class Join:
     """The steps' results: `rows` (_key, id, g), `groups` (g, copies, first, root, class fields)."""
 
@@ -204,7 +216,7 @@ class Join:
             a, b = _functions(trees * depth)
 
             def run(batch):
-                out = {c: [] for c in ("_key", "id", "g", "keys", "sig")}
+                out = {c: [] for c in ("_key", "id", "g", "paths", "sig")}
                 for key, i, text in zip(batch["_key"], batch["_id"], batch["_text"], strict=True):
                     found = shingles(text)
                     out["_key"].append(key)
@@ -212,45 +224,58 @@ class Join:
                     # sets are compared by 128 bits; a text without shingles is a group for itself
                     out["g"].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else b"\x00" + key)
                     sig = signature(found, a, b) if len(found) else None
-                    out["keys"].append(None if sig is None else tree_keys(sig, trees, depth).view(np.int64))
+                    out["paths"].append(None if sig is None else tree_paths(sig, trees, depth).view(np.int64))
                     out["sig"].append(None if sig is None else two_bits(sig))
                 return out
 
             return run
 
-        return stash(map_rows(self.keyed, make, f"_key binary, id {self.id_type}, g binary, keys array<long>, sig binary"), "features")
+        return stash(map_rows(self.keyed, make, f"_key binary, id {self.id_type}, g binary, paths array<long>, sig binary"), "features")
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
         """Edges u, v of stars that span the likely links."""
         spark = reps.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+        levels = min(SHORTER, self.depth - 1)
+        top = np.uint64(mask(levels) & 0xFFFFFFFFFFFFFFFF)
+
         def make_keys():
             def run(batch):
-                keys = np.array([k for ks in batch["keys"] for k in ks], np.int64).view(np.uint64)
+                keys = np.array([k for ks in batch["paths"] for k in ks], np.int64).view(np.uint64) & top
                 return {"segment": bits.segment(keys), "key": keys.view(np.int64)}
 
             return run
 
-        nodes = map_rows(reps.select("keys"), make_keys, "segment int, key long").groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        nodes = stash(nodes.select("segment", "key", "n", F.lit(1).alias("levels")), "nodes")
+        nodes = map_rows(reps.select("paths"), make_keys, "segment int, key long").groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        nodes = stash(nodes.select("segment", "key", F.lit(1).alias("levels")), "nodes")
         may = spark.sparkContext.broadcast(bits.build(nodes.repartition(parts, "segment"), bits.size_for(nodes.count(), 12, MAX_BITS)))
 
         def make_members():
             def run(batch):
-                out = {c: [] for c in ("key", "g", "sig")}
-                for g, sig, keys in zip(batch["g"], batch["sig"], batch["keys"], strict=True):
-                    keys = np.array(keys, np.int64)
-                    for k in keys[may.value.has(keys.view(np.uint64))].tolist():
-                        out["key"].append(k)
+                out = {c: [] for c in ("path", "g", "sig")}
+                for g, sig, paths in zip(batch["g"], batch["sig"], batch["paths"], strict=True):
+                    paths = np.array(paths, np.int64)
+                    for k in paths[may.value.has(paths.view(np.uint64) & top)].tolist():
+                        out["path"].append(k)
                         out["g"].append(g)
                         out["sig"].append(sig)
                 return out
 
             return run
 
-        members = map_rows(reps.select("g", "sig", "keys"), make_members, "key long, g binary, sig binary")
-        placed = _in_blocks(members.join(nodes.select("key", "n"), "key"), F.col("n"), "g", NODE_BLOCK)
+        members = stash(map_rows(reps.select("g", "sig", "paths"), make_members, "path long, g binary, sig binary"), "paths")
+        # texts below each prefix; a path's node is the shortest prefix that fits a block, or else the whole path
+        own = members.groupBy("path").agg(F.count(F.lit(1)).alias("copies"))
+        chosen, size, node = own, F.col("copies"), F.col("path")
+        for level in range(1, levels + 1):
+            prefix = F.col("path").bitwiseAND(F.lit(mask(level)))
+            found = own.groupBy(prefix.alias(f"p{level}")).agg(F.sum("copies").alias(f"n{level}"))
+            chosen = chosen.withColumn(f"p{level}", prefix).join(found, f"p{level}")
+            fits = F.col(f"n{level}") <= NODE_BLOCK
+            size, node = F.when(fits, F.col(f"n{level}")).otherwise(size), F.when(fits, F.col(f"p{level}")).otherwise(node)
+        chosen = stash(chosen.select("path", "copies", node.alias("node"), size.alias("size")).where("size > 1"), "chosen")
+        placed = _in_blocks(attach(members, chosen, "path", "copies"), F.col("size"), "g", NODE_BLOCK)
         count = self.trees * self.depth
         p = self.threshold + (1 - self.threshold) / 4
         least = count * p - SLACK * math.sqrt(count * p * (1 - p))
@@ -268,7 +293,7 @@ class Join:
             edges = stars_of(linked, rows["g"])
             return {"u": [u for u, _ in edges], "v": [v for _, v in edges]}
 
-        return _by_group(placed.select("key", "x", "y", "g", "sig"), ["key", "x", "y"], link, "u binary, v binary").distinct()
+        return _by_group(placed.select("node", "x", "y", "g", "sig"), ["node", "x", "y"], link, "u binary, v binary").distinct()
 
     def _verified(self, members: DataFrame) -> DataFrame:
         """members: g, _key, copies, root, size. Rows u, v, links: edges of stars (links null), and each text's links in a block."""
@@ -312,9 +337,9 @@ class Join:
     def _grouped(self) -> DataFrame:
         # null ids sort last
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key"))
-        reps = stash(self.rows.groupBy("g").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "reps")
+        reps = stash(self.rows.groupBy("g").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("paths").alias("paths"), F.first("sig").alias("sig")), "reps")
         base = reps.select("g", "copies", F.col("first.id").alias("id"), F.col("first._key").alias("_key"))
-        roots = components(self._candidates(reps.where("keys is not null")))
+        roots = components(self._candidates(reps.where("paths is not null")))
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         members = stash(base.join(roots.withColumnRenamed("node", "g"), "g").join(sizes, "root"), "members")
         found = stash(self._verified(members), "links")
@@ -339,10 +364,12 @@ class Join:
         return rows.select(F.col("id").alias(self.id_col), "class_id", "class_size", "n_links")
 
     def filter(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-        """docs, one row of each class: that with the smallest id. docs must be the table that was joined."""
-        held = "_nearfield_key"
-        leaders = self.groups.select(F.col("leader").alias(held)).distinct()
-        return docs.withColumn(held, row_key(self.id_col, text_col)).join(leaders, held, "left_semi").dropDuplicates([held]).drop(held)
+        """docs, one row of each class: that with the smallest id; of repeated rows with that id and text, the one whose columns hash least. docs must be
+        the table that was joined."""
+        leaders = self.groups.select(F.col("leader").alias("key")).distinct()
+        whole = [F.col(f"`{c}`") for c in docs.columns]
+        rows = docs.select(row_key(self.id_col, text_col).alias("key"), F.xxhash64(*whole).alias("tie"), F.struct(*whole).alias("row"))
+        return rows.join(leaders, "key", "left_semi").groupBy("key").agg(F.min_by("row", "tie").alias("row")).select("row.*")
 
 
 def _first_words(keys: list[bytes]) -> dict[str, list]:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -18,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import stash, unstash
+
 # A word is a maximal run of characters other than space and the controls 9 to 13.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: For str.translate: lower-cases A-Z only.
 TO_LOWER = {ord(u): ord(low) for u, low in zip(UPPER, LOWER, strict=True)}
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def words(text: str | None) -> list[str]:
     """The words of a text, unchanged."""
@@ -38,7 +35,8 @@ def words(text: str | None) -> list[str]:
 class Memo(dict):
     """A worker's memo of of(key), with a bound on its entries; a full memo is emptied, and all are when a task ends. Results do not depend on it."""
 
-    held: list[Memo] = []
+    #: What a worker empties at a task's end; each has a method `clear`.
+    held: list = []
 
     def __init__(self, most: int):
         super().__init__()
@@ -85,52 +83,6 @@ def hashed(found: list[str], lower: bool) -> np.ndarray:
     return np.fromiter(map(word_hashes(lower).__getitem__, found), np.uint64, len(found))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="nearfield-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{work_dir(spark).rstrip('/')}/nearfield/{uuid.uuid4().hex}-{name}"
-    _written.append((spark, path))
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns a reader of it: lineage ends there and lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def unstash(df: DataFrame) -> None:
-    """Deletes a stashed table that nothing reads any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may have gone
-            return
-
-
 def collect_shuffles(spark: SparkSession) -> None:
     """Spark keeps a shuffle's files until its JVM has collected the plan; between the steps of one operator they would add up."""
     gc.collect()

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import Memo, crc_mod, map_rows
 
 DIMENSIONS = 512
 UNDETERMINED = "und"
@@ -33,9 +33,10 @@ class Space:
         self.dimensions = dimensions
         self._letters: dict[int, np.ndarray] = {}
         self._is_letter = np.array([chr(c).isalpha() for c in range(0x10000)])
-        self._forget()
+        self.clear()
+        Memo.held.append(self)
 
-    def _forget(self) -> None:
+    def clear(self) -> None:
         self._keys = np.empty(0, np.uint64)
         self._rows = np.empty(0, np.int64)
         self._vectors = np.empty((STORE, self.dimensions), np.float32)
@@ -87,7 +88,7 @@ class Space:
         if not known.all():
             new = keys[~known]
             if self._used + len(new) > STORE:
-                self._forget()
+                self.clear()
                 new = keys
             for i, key in enumerate(new.tolist()):
                 self._vectors[self._used + i] = self.trigram(key)

@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import Memo, crc_mod, map_rows
 
 BITS = 18
 SCALE = 30.0
 MAX_ROWS = 8_000
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-3
-MEMO_TOKENS = 300_000
+MEMO_TOKENS = 120_000
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -35,17 +35,14 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 AGAIN = np.uint64(0xA0761D6478BD642F)
 
 
-class _Hashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO_TOKENS:
-            self.clear()
-        got = self[token] = xxhash.xxh64_intdigest(token)
-        return got
+class _Hashes(Memo):
+    def of(self, token: str) -> int:
+        return xxhash.xxh64_intdigest(token)
 
 
 @cache
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return _Hashes(MEMO_TOKENS)
 
 
 def features(text: str | None) -> np.ndarray:

@@ -2,13 +2,14 @@
 
 The index is a table of text digests, bucketed and sorted by digest. A batch is reduced to one keeper for each digest (partial sums
 before the shuffle, so a text that a third of the rows share costs one row a task), the digests already in the index are taken out by
-a sort-merge anti-join that reads the buckets as they lie, and the rest is appended. Only digests and ids move, never texts.
+a sort-merge anti-join that reads the buckets as they lie, and the rest is appended. A large table may come in several batches, one after the other.
+`dedup` moves digests and ids only; `filter` also moves one row for each digest and task, as it returns whole rows.
 
 Texts are equal when identical after lower-casing A-Z. The row with the largest id of its batch stays; of repeated rows with that id, one.
 Texts that the index had before keep the row of the earlier batch.
 
 Defined results: a null text counts as empty, and all empty texts are equal. A null id is smaller than any other. An empty batch leaves
-the index as it is. All columns of the input pass through untouched; the added ones replace input columns of the same names.
+the index as it is. `dedup` ignores other columns, `filter` returns all columns untouched.
 
 Everything here is DataFrame operations; no Python runs on the executors.
 """
@@ -16,14 +17,12 @@ Everything here is DataFrame operations; no Python runs on the executors.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stash
-
-#: A digest with more than this share of a batch's rows is attached by broadcast: there can be 1 / HOT_SHARE such digests at most.
-HOT_SHARE = 1 / 256
+from .common import LOWER, UPPER, attach, stash, unstash
 
 
 def normalised(column: F.Column) -> F.Column:
@@ -35,15 +34,23 @@ def digest(column: F.Column) -> F.Column:
 
 
 class DigestIndex:
-    """A digest index in the session's warehouse: columns digest (32 bytes) and keep_id."""
+    """A digest index in the session's warehouse: columns digest (32 bytes) and keep_id. Without a name it is a new one, which the end of a `with`
+    block drops; results that were returned stay readable."""
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
         self.spark = spark
+        self.temporary = table is None
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not spark.catalog.tableExists(self.table):
+            self._append(spark.createDataFrame([], "digest binary, keep_id long"))
+
+    def __enter__(self) -> DigestIndex:
+        return self
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def __exit__(self, *_) -> None:
+        if self.temporary:
+            self.drop()
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -53,48 +60,44 @@ class DigestIndex:
 
     def _append(self, keepers: DataFrame) -> None:
         # as many tasks as buckets, each writing one sorted file: the deal is the bucketing's own hash
-        dealt = keepers.select("digest", "keep_id").repartition(self.buckets, "digest")
+        dealt = keepers.select("digest", F.col("keep_id").cast("long").alias("keep_id")).repartition(self.buckets, "digest")
         dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
-    def dedup(self, batch: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Appends the batch's new digests and returns a row for each input row: the id, keep_id, group_size (rows of the batch with this
-        text), kept, digest."""
-        id_type = batch.schema[id_col].dataType.simpleString()
-        rows = stash(
-            batch.select(F.col(f"`{id_col}`").alias("id"), F.unhex(digest(F.col(f"`{text_col}`"))).alias("digest"), F.monotonically_increasing_id().alias("tag")),
-            "digests",
-        )
-        first = F.max(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag")))
-        groups = rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-        groups = groups.select("digest", F.col("first.id").alias("keep_id"), F.col("first.tag").alias("keep_tag"), "group_size")
-        if self.exists():
-            old = self.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("had"))
-            groups = groups.hint("merge").join(old.hint("merge"), "digest", "left")
-            groups = groups.select("digest", F.when(F.col("had"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(F.col("had").isNull(), F.col("keep_tag")).alias("keep_tag"), "group_size")
-        groups = stash(groups, "groups")
-        new = groups.where("keep_tag is not null")
-        if self.exists():
-            new = new.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+    def _new(self, keepers: DataFrame) -> DataFrame:
+        """Those that the index doesn't have, in a written table; appended to the index."""
+        new = stash(keepers.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti"), "new")
         self._append(new)
-
-        total = rows.count()
-        hot = F.col("group_size") > F.lit(max(total * HOT_SHARE, 1))
-        some = F.broadcast(groups.where(hot))  # 1 / HOT_SHARE rows at most
-        placed = rows.join(some, "digest", "left")
-        own = placed.where("group_size is not null")
-        rest = placed.where("group_size is null").select("id", "digest", "tag").hint("merge").join(groups.where(~hot), "digest")
+        return new
+
+    def dedup(self, *batches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Takes the batches in turn and returns a row for each input row: the id, keep_id, group_size (rows of all these batches with this text), kept,
+        digest."""
+        id_type = batches[0].schema[id_col].dataType.simpleString()
+        rows, groups, new = [], [], []
+        for n, batch in enumerate(batches):
+            tag = F.monotonically_increasing_id() + F.lit(n << 58)
+            own = stash(batch.select(F.col(f"`{id_col}`").alias("id"), F.unhex(digest(F.col(f"`{text_col}`"))).alias("digest"), tag.alias("tag")), "digests")
+            first = F.max(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tag")))
+            found = own.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+            found = stash(found.select("digest", F.col("first.id").alias("keep_id"), F.col("first.tag").alias("keep_tag"), "n"), "groups")
+            rows.append(own)
+            groups.append(found)
+            new.append(self._new(found))
+        both = reduce(DataFrame.unionByName, groups).groupBy("digest").agg(F.sum("n").alias("group_size")).hint("merge")
+        both = both.join(self.read().hint("merge"), "digest").hint("merge")
+        both = stash(both.join(reduce(DataFrame.unionByName, new).select("digest", "keep_tag").hint("merge"), "digest", "left"), "groups")
+
+        placed = attach(reduce(DataFrame.unionByName, rows), both, "digest", "group_size")
         columns = [F.col("id").cast(id_type).alias(id_col), F.col("keep_id").cast(id_type).alias("keep_id"), "group_size", F.coalesce(F.col("tag") == F.col("keep_tag"), F.lit(False)).alias("kept"), "digest"]
-        return own.select(*columns).unionByName(rest.select(*columns))
+        return placed.select(*columns)
 
     def filter(self, batch: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of a batch that stay, with all their columns: one whole row for each digest, then the anti-join, then the append."""
-        row = F.struct(*(F.col(f"`{c}`") for c in batch.columns))
-        order = F.struct(F.col(f"`{id_col}`").isNotNull().alias("known"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in batch.columns)).alias("tie"))
-        keyed = batch.select(F.unhex(digest(F.col(f"`{text_col}`"))).alias("digest"), order.alias("o"), row.alias("r"))
-        kept = keyed.groupBy("digest").agg(F.max_by("r", "o").alias("r"))
-        if self.exists():
-            kept = kept.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        kept = stash(kept, "kept")
-        self._append(kept.select("digest", F.col(f"r.`{id_col}`").cast("long").alias("keep_id")))
-        return kept.select("r.*")
-
+        whole = [F.col(f"`{c}`") for c in batch.columns]
+        order = F.struct(F.col(f"`{id_col}`").isNotNull().alias("known"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*whole).alias("tie"))
+        keyed = batch.select(F.unhex(digest(F.col(f"`{text_col}`"))).alias("digest"), order.alias("o"), F.struct(*whole).alias("r"))
+        # written, as the optimizer would move an anti-join below the aggregation, before any partial sums
+        kept = stash(keyed.groupBy("digest").agg(F.max_by("r", "o").alias("r"), F.max("o.id").alias("keep_id")), "kept")
+        new = self._new(kept)
+        unstash(kept)
+        return new.select("r.*")

@@ -1,12 +1,13 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
-Vectors are cut in two halves, each quantised by its own centroids (k-means on a bounded sample); a cell is a pair of centroids. A query walks the
-pairs in order of summed nearness with a heap until it has seen a given share of all rows, and its cells' rows are ranked by their exact inner
-product. The share is set on the sample, so that the sample's own neighbours are found with TARGET recall: easy data need few cells, data
-without structure need many.
+Vectors are cut in two halves, each quantised by its own centroids (k-means on a bounded sample; their number grows with the square root of the
+table's rows, so cells grow with the table); a cell is a pair of centroids. A query walks the pairs in order of summed nearness with a heap until it has
+seen a given share of all rows, and its cells' rows are ranked by their exact inner product. The share is set on the sample, so that the sample's own
+neighbours are found with TARGET recall: easy data need few cells, data without structure need many.
 
-Rows lie by their first centroid, in blocks of at most BLOCK; queries go to the blocks of the first centroids that they probe, with the list of
-second ones, in chunks of at most CHUNK, so no group outgrows a task however many rows share one vector. Each block returns 20 rows for a query.
+Rows lie by units of neighbouring first centroids, of about BLOCK rows each; a first centroid with more rows is a unit of several blocks. A query goes
+once to each unit that it probes, with the bits of its cells there, in chunks of at most CHUNK queries, so no group outgrows a task however many rows share
+one vector. Each block returns 20 rows for a query.
 
 Nearness is the inner product in double precision; ties go to the smaller id. Rows whose vector is null, all zero, holds nulls or
 non-finite numbers, or has another length than most of the sample take no part. Repeated rows (one id twice) are rows of their own, but
@@ -19,17 +20,18 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, stash
 
-CENTROIDS = 64
+#: Rows of the table for each cell at least, and centroids of a half at most.
+PER_CELL, CENTROIDS = 36, 256
 SAMPLE = 12_000
 CALIBRATION = 200
 TARGET = 0.95
 BLOCK = 8192
-CHUNK = 8192
+CHUNK = 32_768
 TOP = 20
 
 
@@ -73,9 +75,9 @@ def walk(left: np.ndarray, right: np.ndarray, counts: np.ndarray, least: float)
 
 
 class MultiIndex:
-    def __init__(self, sample: np.ndarray, top: int):
+    def __init__(self, sample: np.ndarray, top: int, rows: int):
         self.half = max(1, sample.shape[1] // 2)
-        k = max(1, min(CENTROIDS, int(len(sample) ** 0.5)))
+        k = max(1, min(CENTROIDS, int((rows / PER_CELL) ** 0.5), int(len(sample) ** 0.5)))
         self.centroids = (_kmeans(sample[:, : self.half], k), _kmeans(sample[:, self.half :], k) if sample.shape[1] > 1 else np.zeros((1, 0)))
         self.share = self._calibrate(sample, top)
 
@@ -103,12 +105,13 @@ class MultiIndex:
 
 def fit(vectors: DataFrame, *, vector_col: str, top: int, id_col: str) -> MultiIndex | None:
     """From at most SAMPLE rows, those with the smallest hashes of their ids; a documented bound."""
+    total = vectors.count()
     rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector_col).collect()
     if not rows:
         return None
     sizes = pd.Series([len(r[0]) for r in rows]).value_counts().sort_index()
     size = int(sizes.idxmax())
-    return MultiIndex(np.array([r[0] for r in rows if len(r[0]) == size], float), top)
+    return MultiIndex(np.array([r[0] for r in rows if len(r[0]) == size], float), top, total)
 
 
 def search(table: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP) -> DataFrame:
@@ -140,60 +143,78 @@ def search(table: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vecto
         asked += r["nq"]
     total = int(counts.sum())
     least = max(index.share * total, min(total, 20 * top))
-    blocks = [max(1, -(-int(n) // BLOCK)) for n in counts.sum(1)]
     chunks = max(1, -(-asked // CHUNK))
+    # units of neighbouring first centroids
+    unit_of, first, blocks, held = [], [], [], 0
+    for a, n in enumerate(counts.sum(1).tolist()):
+        if not unit_of or held + n > BLOCK:
+            first.append(a)
+            blocks.append(max(1, -(-n // BLOCK)))
+            held = 0
+        held += n
+        unit_of.append(len(first) - 1)
+    seconds = counts.shape[1]
+    widths = [(end - start) * seconds for start, end in zip(first, [*first[1:], len(unit_of)], strict=True)]
 
     def make_probes():
         def run(batch):
-            out = {c: [] for c in ("id", "v", "a", "bs")}
+            out = {c: [] for c in ("id", "v", "unit", "cells")}
             for i, v in zip(batch["id"], batch["v"], strict=True):
                 found: dict[int, list[int]] = {}
                 for a, b in walk(*shared.value.scores(np.array(v)), counts, least):
-                    found.setdefault(a, []).append(b)
-                for a, bs in found.items():
+                    unit = unit_of[a]
+                    found.setdefault(unit, []).append((a - first[unit]) * seconds + b)
+                for unit, cells in found.items():
+                    allowed = np.zeros(widths[unit], bool)
+                    allowed[cells] = True
                     out["id"].append(i)
                     out["v"].append(v)
-                    out["a"].append(a)
-                    out["bs"].append(bs)
+                    out["unit"].append(unit)
+                    out["cells"].append(np.packbits(allowed).tobytes())
             return out
 
         return run
 
-    # the walk is the costly part here, so queries are dealt evenly first
+    # the walk is costly, so queries are dealt evenly first
     asking = placed.where("q").select("id", "v").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probes = map_rows(asking, make_probes, "id long, v array<double>, a int, bs array<int>")
-    many = F.get(F.array(*map(F.lit, blocks)), F.col("a"))
+    probes = map_rows(asking, make_probes, "id long, v array<double>, unit int, cells binary")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at)
+    many = pick(blocks, F.col("unit"))
     probes = probes.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
-    entries = placed.select("id", "v", "a", "b", F.pmod(F.xxhash64("tag"), many).cast("int").alias("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def rank(asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(asks) or not len(has):
-            return empty
-        e, ids, b = np.stack(has["v"].to_numpy()), has["id"].to_numpy(), has["b"].to_numpy()
-        out = []
-        for at in range(0, len(asks), 256):
-            some = asks.iloc[at : at + 256]
-            q = np.stack(some["v"].to_numpy())
-            rough = q @ e.T
-            for row, (qid, bs) in enumerate(zip(some["id"].to_numpy(), some["bs"], strict=True)):
-                allowed = np.zeros(counts.shape[1], bool)
-                allowed[np.asarray(bs, int)] = True
-                ok = np.flatnonzero(allowed[b] & (ids != qid))
-                if not len(ok):
-                    continue
-                near = rough[row, ok]
-                if len(ok) > top:  # equal scores may differ by rounding here: everything that may belong is scored anew, row by row alike
-                    bar = np.partition(near, -top)[-top]
-                    ok = ok[near >= bar - 1e-9 * (1 + abs(bar))]
-                exact = (e[ok] * q[row]).sum(1)
-                best = np.lexsort((ids[ok], -exact))[:top]
-                out.append(pd.DataFrame({"query_id": qid, "id": ids[ok][best], "score": exact[best]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    key = ["a", "block", "chunk"]
-    found = probes.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(rank, "query_id long, id long, score double")
-    from pyspark.sql import Window
-
+    entries = placed.withColumn("unit", pick(unit_of, F.col("a"))).withColumn("cell", (F.col("a") - pick(first, F.col("unit"))) * seconds + F.col("b"))
+    entries = entries.select("id", "v", "unit", "cell", F.pmod(F.xxhash64("tag"), many).cast("int").alias("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def matrix(table, column: str) -> np.ndarray:
+        return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+    def rank(key, asks, has):
+        import pyarrow as pa
+
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asks.num_rows and has.num_rows:
+            e, ids, cell = matrix(has, "v"), has.column("id").to_numpy(), has.column("cell").to_numpy()
+            q, names = matrix(asks, "v"), asks.column("id").to_numpy()
+            width = widths[key[0].as_py()]
+            packed = np.stack([np.frombuffer(x, np.uint8) for x in asks.column("cells").to_pylist()])
+            for at in range(0, len(q), 128):
+                some, own = q[at : at + 128], names[at : at + 128]
+                allowed = np.unpackbits(packed[at : at + 128], axis=1, count=width).astype(bool)[:, cell] & (own[:, None] != ids[None, :])
+                near = np.where(allowed, some @ e.T, -np.inf)
+                bar = np.partition(near, -top, axis=1)[:, [-top]] if near.shape[1] > top else np.full((len(some), 1), -np.inf)
+                # equal scores may differ by rounding here: everything that may belong is scored anew, row by row alike
+                slack = np.where(np.isfinite(bar), 1e-9 * (1 + np.abs(bar)), 0.0)
+                row, found = np.nonzero((near >= bar - slack) & allowed)
+                exact = np.empty(len(row))
+                for part in range(0, len(row), 65_536):  # many, where a vector is common
+                    few = slice(part, part + 65_536)
+                    exact[few] = (e[found[few]] * some[row[few]]).sum(1)
+                order = np.lexsort((ids[found], -exact, row))
+                row, found, exact = row[order], found[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < top
+                out.append((own[row[best]], ids[found[best]], exact[best]))
+        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "id", "score"), zip(*out, strict=True), strict=True)})
+
+    key = ["unit", "block", "chunk"]
+    found = probes.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(rank, "query_id long, id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
     return ranked.where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

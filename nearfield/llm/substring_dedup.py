@@ -5,10 +5,12 @@ places. Consecutive windows with one anchor form a run; a run is the anchor exte
 First only anchors are counted, and a Bloom filter of bounded size tells the second pass which runs may match at all; what it lets through wrongly
 is sorted out by exact counts.
 Extend: where the whole extended runs are equal (the inside of long repeats), one count settles all their windows. Where an anchor has different
-surroundings (the ends of repeats, edits), its windows are counted one by one, each different run once. Overlapping windows merge to maximal repeats.
+surroundings (the ends of repeats, edits), a third pass writes the windows of its runs, and they are counted one by one, each different run once. Overlapping
+windows merge to maximal repeats.
 
 Words are compared by 64-bit hashes, and always by two independent ones: the anchor's and the run's or window's. No pairs of documents are made: counts are
-partial sums before every shuffle, so a passage that a third of all rows share costs a few rows a task.
+partial sums before every shuffle, and what is common (an anchor, run or window with more than 1/256 of all runs) is joined by broadcast, so a passage that
+a third of all rows share doesn't meet in one task.
 
 Windows are judged on the input. Defined results: null texts have no words; texts under 35 words lose none. Repeated rows are
 occurrences of their own, so their windows count as repeated. Null ids are ids like others.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import hashed, keyed, map_rows, stash, unstash, words
+from .common import attach, collect_shuffles, hashed, keyed, map_rows, stash, unstash, words
 
 WINDOW = 35
 ANCHOR = 12
@@ -61,8 +63,8 @@ class Runs:
             grams = (grams ^ self.found[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
             grams ^= grams >> np.uint64(29)
         grams = bits.mix(grams)
-        # place of the smallest hash (its top 36 bits, then the leftmost) of each window, by doubling
-        reach, low = window - anchor + 1, np.uint64((1 << 28) - 1)
+        # place of the smallest hash (its top 36 bits, fewer only in lists of over 2^28 words; then the leftmost) of each window, by doubling
+        reach, low = window - anchor + 1, np.uint64((1 << max(28, n.bit_length())) - 1)
         least = (grams & ~low) | np.arange(n, dtype=np.uint64)
         width = 1
         while 2 * width <= reach:
@@ -105,35 +107,54 @@ def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     total = repeated.count()
     may = spark.sparkContext.broadcast(bits.build(repeated.repartition(parts, "segment"), bits.size_for(total, 12, MAX_BITS)))
 
-    def make_runs():
-        def run(batch):
-            own = Runs(batch["_text"], window, anchor)
-            some = np.flatnonzero(may.value.has(own.anchors))
-            if not len(some):
-                return {c: [] for c in ("_key", "a", "c", "s1", "s2", "w")}
-            context, whole = own.hashes()
-            first, last = own.first[some], own.last[some]
-            text = own.text[first]
-            data = whole.tobytes()
-            return {
-                "_key": [batch["_key"][t] for t in text.tolist()],
-                "a": own.anchors[some].view(np.int64),
-                "c": context[some].view(np.int64),
-                "s1": own.at[first] - own.begin[text],
-                "s2": own.at[last] - own.begin[text],
-                "w": [data[8 * f : 8 * e + 8] for f, e in zip(first.tolist(), last.tolist(), strict=True)],
-            }
-
-        return run
-
-    held = stash(map_rows(rows.select("_key", "_text"), make_runs, "_key binary, a long, c long, s1 int, s2 int, w binary"), "runs")
+    def make_runs(filter_of, with_windows: bool):
+        """Runs whose anchor is in a filter, and on request the hashes of their windows."""
+
+        def make():
+            columns = ("_key", "a", "c", *(("s1", "w") if with_windows else ("s1", "s2")))
+
+            def run(batch):
+                own = Runs(batch["_text"], window, anchor)
+                some = np.flatnonzero(filter_of.value.has(own.anchors))
+                if not len(some):
+                    return {c: [] for c in columns}
+                context, whole = own.hashes()
+                first, last = own.first[some], own.last[some]
+                text = own.text[first]
+                data = whole.tobytes()
+                out = {
+                    "_key": [batch["_key"][t] for t in text.tolist()],
+                    "a": own.anchors[some].view(np.int64),
+                    "c": context[some].view(np.int64),
+                    "s1": own.at[first] - own.begin[text],
+                }
+                if with_windows:
+                    return out | {"w": [data[8 * f : 8 * e + 8] for f, e in zip(first.tolist(), last.tolist(), strict=True)]}
+                return out | {"s2": own.at[last] - own.begin[text]}
+
+            return run
+
+        return make
+
+    held = stash(map_rows(rows.select("_key", "_text"), make_runs(may, False), "_key binary, a long, c long, s1 int, s2 int"), "runs")
     counted = stash(held.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")), "counts")
     # whole runs that occur again
-    full = held.select("_key", "a", "c", "s1", "s2").join(counted.where("n > 1").select("a", "c"), ["a", "c"]).select("_key", "s1", "s2")
-    # anchors with several surroundings, one of them single: window by window, each different run once
-    mixed = stash(counted.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("a"), "mixed")
-    wide = held.join(mixed, "a").join(counted, ["a", "c"])
-    wide = stash(wide.select("_key", "a", "c", "s1", "s2", "w", "n"), "mixed-runs")
+    every = held.count()
+    full = attach(held, counted.where("n > 1"), ["a", "c"], "n", every).select("_key", "s1", "s2")
+    # anchors with several surroundings, one of them single: window by window, each different run once; only their windows are written, from a third pass
+    mixed = stash(counted.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("a", "m"), "mixed")
+    settled = stash(attach(counted, mixed, "a", "m").select("a", "c", "n"), "mixed-counts")
+
+    def make_mixed_keys():
+        return lambda batch: {"segment": bits.segment(np.array(batch["a"], np.int64).view(np.uint64)), "key": batch["a"], "levels": np.ones(len(batch["a"]), np.int32)}
+
+    keys = map_rows(mixed.select("a"), make_mixed_keys, "segment int, key long, levels int").repartition(parts, "segment")
+    among = spark.sparkContext.broadcast(bits.build(keys, bits.size_for(mixed.count(), 12, MAX_BITS)))
+    collect_shuffles(spark)
+    windows = map_rows(rows.select("_key", "_text"), make_runs(among, True), "_key binary, a long, c long, s1 int, w binary")
+    wide = stash(attach(windows, settled, ["a", "c"], "n", every), "mixed-runs")
+    del windows
+    collect_shuffles(spark)
 
     def make_windows():
         def run(batch):
@@ -151,13 +172,15 @@ def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
     schema = "_key binary, a long, s int, w long, n long"
     once = wide.groupBy("a", "c").agg(F.first("w").alias("w"), F.first("n").alias("n")).select(F.lit(b"").alias("_key"), "a", F.lit(0).alias("s1"), "w", "n")
-    again = map_rows(once, make_windows, schema).groupBy("a", "w").agg(F.sum("n").alias("n")).where("n > 1").select("a", "w")
-    single = map_rows(wide.where("n = 1").select("_key", "a", "s1", "w", "n"), make_windows, schema)
-    ends = single.join(again, ["a", "w"]).select("_key", F.col("s").alias("s1"), F.col("s").alias("s2"))
+    again = stash(map_rows(once, make_windows, schema).groupBy("a", "w").agg(F.sum("n").alias("n")).where("n > 1"), "again")
+    single = map_rows(wide.where("n = 1").select("_key", "a", "s1", "w", "n"), make_windows, schema).drop("n")
+    # a run has few windows, so that hot ones are at most a few times as many as hot runs
+    ends = attach(single, again, ["a", "w"], "n", every).select("_key", F.col("s").alias("s1"), F.col("s").alias("s2"))
     # a set of ranges of one text: bounded by the text; equal rows give equal ranges, which collapse before the shuffle
     found = stash(full.unionByName(ends).groupBy("_key").agg(F.collect_set(F.struct("s1", "s2")).alias("ranges")), "ranges")
-    for done in (repeated, held, counted, mixed, wide):
+    for done in (repeated, held, counted, mixed, settled, wide, again):
         unstash(done)
+    collect_shuffles(spark)
     return found
 
 

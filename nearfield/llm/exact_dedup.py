@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, attach, stash, unstash
+from .common import LOWER, UPPER, attach, stash
 
 
 def normalised(column: F.Column) -> F.Column:
@@ -96,8 +96,9 @@ class DigestIndex:
         whole = [F.col(f"`{c}`") for c in batch.columns]
         order = F.struct(F.col(f"`{id_col}`").isNotNull().alias("known"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*whole).alias("tie"))
         keyed = batch.select(F.unhex(digest(F.col(f"`{text_col}`"))).alias("digest"), order.alias("o"), F.struct(*whole).alias("r"))
-        # written, as the optimizer would move an anti-join below the aggregation, before any partial sums
-        kept = stash(keyed.groupBy("digest").agg(F.max_by("r", "o").alias("r"), F.max("o.id").alias("keep_id")), "kept")
-        new = self._new(kept)
-        unstash(kept)
+        kept = keyed.groupBy("digest").agg(F.max_by("r", "o").alias("r"), F.max("o.id").alias("keep_id"))
+        # the anti-join as a left join and its missing partners: the optimizer moves a plain one below the aggregation, before any partial sums
+        old = self.read().select("digest", F.lit(True).alias("had"))
+        new = stash(kept.hint("merge").join(old.hint("merge"), "digest", "left").where("had is null").drop("had"), "new")
+        self._append(new)
         return new.select("r.*")

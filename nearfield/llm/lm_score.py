@@ -48,6 +48,8 @@ PRIOR = 30.0
 TOP_WORDS = 1_000_000
 #: Tokens that a task holds before it emits their counts.
 BUFFER = 3_000_000
+#: Low bits of a pair's key, for its class while it is counted.
+CLASSES = np.uint64(63)
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B03738712FAD5C9)
 
 
@@ -57,18 +59,18 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def pair_keys(found: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
-    """Keys of (previous token, token); the first token of each text comes after the beginning."""
+    """Keys of (previous token, token), 58 bits; the first token of each text comes after the beginning."""
     before = np.roll(found, 1)
     before[starts] = BEGIN
-    return bits.mix(before * np.uint64(0x9E3779B97F4A7C15) + found)
+    return bits.mix(before * np.uint64(0x9E3779B97F4A7C15) + found) & ~CLASSES
 
 
 def word_keys(found: np.ndarray) -> np.ndarray:
     return bits.mix(found ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _counted(docs: DataFrame, keys, schema: str) -> DataFrame:
-    """Distinct keys of each task's buffer with their counts; keys(text) gives an array, or an array and a class of each key (a small number)."""
+def _counted(docs: DataFrame, keys, schema: str, classes: bool = False) -> DataFrame:
+    """Distinct keys of each task's buffer with their counts; keys(text) gives an array. Classes in the low bits go above the segment."""
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,10 +79,11 @@ def _counted(docs: DataFrame, keys, schema: str) -> DataFrame:
 
     def run(batches):
         def emit(held):
-            key, first, n = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
+            key, n = np.unique(np.concatenate(held), return_counts=True)
             segment = bits.segment(key)
-            if held[0][1] is not None:
-                segment |= np.concatenate([c for _, c in held])[first].astype(np.int32) << 12
+            if classes:
+                segment |= (key & CLASSES).astype(np.int32) << 12
+                key &= ~CLASSES
             for at in range(0, len(key), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(segment[part]), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int64))], schema=arrow)
@@ -89,9 +92,8 @@ def _counted(docs: DataFrame, keys, schema: str) -> DataFrame:
         try:
             for batch in batches:
                 for text in batch.column(0):
-                    got = keys(text.as_py())
-                    held.append(got if isinstance(got, tuple) else (got, None))
-                    size += len(held[-1][0])
+                    held.append(keys(text.as_py()))
+                    size += len(held[-1])
                     if size > BUFFER:
                         yield from emit(held)
                         held, size = [], 0
@@ -141,11 +143,11 @@ def _levels(docs: DataFrame, counts: DataFrame, top: tuple[np.ndarray, np.ndarra
         at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
         kind = np.roll(np.where(keys[at] == found, levels[at], 0) if len(keys) else np.zeros(len(found), np.uint8), 1)
         kind[0] = first
-        return pair_keys(found), kind
+        return pair_keys(found) | kind.astype(np.uint64)
 
     # one shuffle by segment and class, then each task sums its own keys
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = _counted(docs, pairs_of, schema).repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
+    pairs = _counted(docs, pairs_of, schema, classes=True).repartition(parts, "segment").groupBy("segment", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
     stored = stash(pairs.withColumn("kind", F.shiftright("segment", 12)).unionByName(singles.withColumn("kind", F.lit(-1))), "ngrams")
     kept = {r["kind"]: r["n"] for r in stored.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a level
     least = int(top[1].min(initial=1 << 62))

@@ -69,7 +69,9 @@ class Space:
 
     @staticmethod
     def trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:], return_counts=True)
+        """Of one text or several one after the other: two gaps in a row are where one ends and the next begins, and no trigram goes across."""
+        whole = (codes[1:-1] != 0) | ((codes[:-2] != 0) & (codes[2:] != 0))
+        return np.unique((codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])[whole], return_counts=True)
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """keys: distinct trigrams. In double precision sums of counts are exact, so their order doesn't matter."""

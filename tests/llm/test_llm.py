@@ -18,7 +18,8 @@ from nearfield.llm.common import words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PIECES, VOCAB = queries.tokenizer("piece_bpe_32k.model"), queries.tokenizer("word_bpe_49k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, _text string, g string, tag string"
+EXTRA = "_key _text g tag _lang _score found_lang found_score pii_candidates pii_candidates_strict _nearfield_key key tie row digest o r id candidates".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
 def prose(seed, n, syllables="the an er ing on re th".split()):
@@ -29,7 +30,7 @@ def prose(seed, n, syllables="the an er ing on re th".split()):
 def table(spark, texts, ids=None):
     """Documents, with extra columns whose names the operators use themselves."""
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", "d") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"mine {c}" for c in EXTRA)) for i, t in zip(ids, texts, strict=True)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +67,10 @@ def test_encoding_equals_the_library(spark, odd):
     assert back.count() == 12
 
 
+def test_encoding_of_nothing(spark, none):
+    assert sentencepiece_bpe.round_trip_digests(none, PIECES).count() == 0 and sentencepiece_bpe.encode(none, PIECES).count() == 0
+
+
 # --- 2 ---
 
 
@@ -87,6 +92,23 @@ def test_index_persists(spark):
     assert later == {9: (8, False), 10: (10, True)} and index.read().count() == 4
 
 
+def test_batches_go_through_the_index(spark):
+    texts = ["a", "b", "A", "c", "b", None, "", "a"]
+    docs = table(spark, texts)
+    upper = F.col("doc_id") > 3
+    with exact_dedup.DigestIndex(spark) as index:
+        found = index.dedup(docs.where(upper), docs.where(~upper))
+        assert index.read().count() == 4
+        again = {r["doc_id"]: r["kept"] for r in index.dedup(table(spark, ["C", "d"], [20, 21])).collect()}
+    assert again == {20: False, 21: True}
+    for r in found.collect():
+        same = [i for i, t in enumerate(texts) if (t or "").lower() == (texts[r["doc_id"]] or "").lower()]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(same), len(same), r["doc_id"] == max(same))
+    before = {t.name for t in spark.catalog.listTables()}
+    queries.op2_exact_dedup(spark, "/root/testdata/sf0.001").count()
+    assert {t.name for t in spark.catalog.listTables()} == before and index.table not in before
+
+
 def test_exact_dedup_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
@@ -118,19 +140,83 @@ def test_packing(spark, odd, none):
     assert packing.pack(odd[0], VOCAB).count() > 12 and packing.pack(none, VOCAB).count() == 0
 
 
+def test_token_ids_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(VOCAB)
+    r = random.Random(3)
+    parts = "a E th İ é É ́ ̇ - ... 's 'LL ' _ 1 23 ² क़ שׁ གྷ ß ẞ ǅ ſ ﬁ 中 😀 <| <|endoftext|> |> Σ ʼn $$$ # ! Ÿ ŉ × ÷ ª µ".split() + [" ", "  ", "\n", "\t", "\xa0", "\u2003", "\x00", "\x85"]
+    texts = ["İ-", "İ...", "İ, x", "क़-@", "क़, x", "שׁ...", "གྷ-", "ΣΑΣ, ΣΑΣ", "<|startoftext|>a <|x é<|endoftext|>", None, ""]
+    texts += ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(6000)]
+    for text, got in zip(texts, packing.token_bytes(texts, VOCAB), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*lib.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_packing_keeps_ids(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    rows = packing.pack(table(spark, ["a b", "c", "d e f"], ids), VOCAB, with_ids=True).collect()
+    assert {r["doc_id"] for r in rows} == set(ids) and {len(r["ids"]) for r in rows} == {2, 3, 4}
+
+
+def _fills(lengths, bins):
+    fill = defaultdict(int)
+    for b, n in zip(bins, lengths, strict=True):
+        fill[b] += n
+    return [*fill.values()]
+
+
 def test_packing_search():
     r = random.Random(4)
-    for lengths in ([r.randint(1, 2047) for _ in range(800)], [r.randint(500, 900) for _ in range(300)], [1024] * 9, [2047] * 3, []):
-        bins = packing.pack_lengths(lengths)
-        fill = defaultdict(int)
-        for b, n in zip(bins, lengths, strict=True):
-            fill[b] += n
-        assert max(fill.values(), default=0) <= 2048
-    bins, fill = [[0, 1], [2, 3], [4]], [1500, 1500, 1000]
-    sizes = [900, 600, 900, 600, 1000]
-    before = sum(f * f for f in fill)
-    packing._search(bins, fill, sizes, 2048)
-    assert sum(f * f for f in fill) >= before and sum(fill) == 4000 and sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4]
+    for low, high, n, most in ((600, 800, 8000, 3000), (500, 900, 2000, 730), (650, 720, 2000, 720), (1, 2047, 800, 9999)):
+        lengths = [r.randint(low, high) for _ in range(n)]
+        fill = _fills(lengths, packing.pack_lengths(lengths))
+        assert max(fill) <= 2048 and sum(fill) == sum(lengths) and len(fill) <= min(most, len(packing._best_fit(lengths, 2048)))
+    for lengths, least in (([1024] * 9, 5), ([2047] * 3, 3), ([], 0), ([2048], 1)):
+        assert len(set(packing.pack_lengths(lengths))) == least
+
+
+def test_packing_steps_raise_the_squares():
+    r = random.Random(5)
+    lengths = [r.randint(5, 60) for _ in range(60)]
+    own = packing._Bins(packing._best_fit(lengths, 100), lengths, 100)
+    squares = sum(f * f for f in own.fill)
+    for a in range(len(own.fill)):
+        own.leave(a)
+        while own.pieces[a] and own.step(a):
+            now = sum(f * f for f in own.fill)
+            assert now > squares and max(own.fill) <= 100
+            squares = now
+        own.enter(a)
+    assert sorted(lengths[i] for by in own.pieces for x in by.values() for i in x) == sorted(lengths)
+
+
+def _least_bins(lengths, capacity):
+    best, order = len(lengths), sorted(lengths, reverse=True)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(order):
+            best = len(bins)
+            return
+        for k in {f: k for k, f in enumerate(bins)}.values():
+            if bins[k] + order[i] <= capacity:
+                place(i + 1, [*bins[:k], bins[k] + order[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, order[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_all_layouts():
+    r, missed = random.Random(1), 0
+    for _ in range(150):
+        lengths = [r.randint(5, 60) for _ in range(r.randint(3, 11))]
+        found, best = len(set(packing.pack_lengths(lengths, 100))), _least_bins(lengths, 100)
+        assert best <= found <= best + 1
+        missed += found > best
+    assert missed <= 2
 
 
 # --- 4 ---
@@ -147,6 +233,42 @@ def test_quality(spark, odd, none):
     assert quality.score(odd[0], quality.train(none, labels)).first()["score"] == 0.5
 
 
+def test_quality_against_plain_python(spark):
+    """Training and scores against dictionaries and loops; then accuracy on held-out rows of a given table."""
+    texts = [prose(i, 12) + " $$$ $$$" * (i % 2) for i in range(24)]
+    model = quality.fit([(*(np.unique(quality.features(t), return_counts=True)), i % 2) for i, t in enumerate(texts)])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        rate = (quality.BETA + math.sqrt(n[k])) / quality.ALPHA
+        if k == "b":
+            return -z[k] / rate
+        return 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / (rate + quality.L2)
+
+    for _ in range(quality.PASSES):
+        for i, t in enumerate(texts):
+            x = Counter(quality.features(t).tolist()) | Counter({"b": 1})
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[k] * v for k, v in x.items())))))
+            for k, v in x.items():
+                g = (p - i % 2) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                n[k] += g * g
+    assert model[1] == pytest.approx(weight("b")) and all(model[0][k] == pytest.approx(weight(k), abs=1e-9) for k in [*z] if k != "b")
+    got = {r["doc_id"]: r["score"] for r in quality.score(table(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        found = quality.features(t)
+        margin = model[1] + quality.SCALE * sum(model[0][k] for k in found) / len(found)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)))
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op4_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out and quality is not null").collect()
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.95 * len(rows) > 0
+
+
+def test_quality_of_nothing(spark, none):
+    assert quality.score(none, (np.zeros(1 << 18, np.float32), 0.0)).count() == 0
+
+
 # --- 5 ---
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -178,6 +300,40 @@ def test_pii(spark, odd, none):
     assert pii.redact(odd[0]).count() == 12 and pii.find(none).count() == 0
 
 
+def test_estimation_equals_plain_python(spark):
+    """Expectation-maximisation over candidates, one by one, and naive Bayes with its posteriors."""
+    r = random.Random(5)
+    pieces = ["mail a@b.com", "x@y.zz", "joe [at] foo [dot] com", "call +1 499 555 6503", "(212) 555-1234", "212-555-1234", "id 4111 1111 1111 1111", "5500-0000-0000-0005", "1.2.3.4", "host 300.1.1.1", "a:b", "fe80:0:0:0:1:2:3:4", "word"]
+    found = pii.with_candidates(table(spark, [" ".join(r.choices(pieces, k=6)) for _ in range(80)]), out="c_").select("c_")
+    model = pii.estimate(found, column="c_")
+    rows = [c.asDict() for x in found.collect() for c in x["c_"]]
+    for kind in range(4):
+        own = [c for c in rows if c["kind"] == kind]
+        prior, rates = 0.5, {v: (0.7, 0.3) for v in pii.VOTES}
+
+        def posterior(c):
+            logit = math.log(prior / (1 - prior))
+            for v, (yes, no) in rates.items():
+                logit += {1: math.log(yes / no), 0: math.log((1 - yes) / (1 - no)), 2: 0.0}[c[v]]
+            return 1 / (1 + math.exp(-logit))
+
+        for _ in range(pii.ROUNDS):
+            p = [posterior(c) for c in own]
+            new = {}
+            for v in pii.VOTES:
+                rate = lambda w, base, v=v: (sum(x for x, c in zip(w, own, strict=True) if c[v] == 1) + 4 * base) / (sum(x for x, c in zip(w, own, strict=True) if c[v] < 2) + 4)
+                new[v] = (rate(p, 0.7), rate([1 - x for x in p], 0.3))
+            prior, rates = (sum(p) + 2) / (len(p) + 4), new
+        got = model["reliability"][kind]
+        assert got[0] == pytest.approx(prior) and all(got[1][v] == pytest.approx(rates[v]) for v in pii.VOTES)
+        p = [posterior(c) for c in own]
+        assert model["prior"][kind] == pytest.approx(math.log((1 + sum(p)) / (1 + len(p) - sum(p))))
+        for (k, f, x), odds in model["odds"].items():
+            if k == kind:
+                yes, no = sum(q for q, c in zip(p, own, strict=True) if c[f] == x), sum(1 - q for q, c in zip(p, own, strict=True) if c[f] == x)
+                assert odds == pytest.approx(math.log((yes + 1) / (1 + sum(p) + 8) / ((no + 1) / (1 + len(p) - sum(p) + 8))))
+
+
 # --- 6 ---
 
 
@@ -218,6 +374,31 @@ def test_join_equals_brute_force(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(root.values())) and kept.columns == docs.columns
 
 
+def test_join_recall_on_many_near_pairs(spark):
+    """Over a thousand pairs just above the threshold, each in a class of its own, so that only the forest can find them."""
+    r, texts = random.Random(11), []
+    for i in range(1300):
+        w = prose(10_000 + i, 100).split()
+        texts.append(" ".join(w))
+        for at in r.sample(range(8, 92), 2):  # two edits far from the ends: 10 of 96 shingles change at most, similarity 86 / 106 = 0.811
+            w[at] = "edit"
+        texts.append(" ".join(w))
+    sets = shingle_sets(texts)
+    near = [i for i in range(0, 2600, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    assert len(near) > 1000
+    got = {x["doc_id"]: x["class_id"] for x in ngram_join.Join(table(spark, texts)).classes().collect()}
+    assert sum(got[i] == got[i + 1] for i in near) >= 0.999 * len(near)
+
+
+def test_paths_sort_as_tries():
+    a, b = ngram_join._functions(32 * 7)
+    one, other = (ngram_join.signature(ngram_join.shingles(t), a, b) for t in (prose(1, 200), prose(1, 200) + " and some more words"))
+    x, y = (ngram_join.tree_paths(s, 32, 7) for s in (one, other))
+    for tree, (p, q, m, n) in enumerate(zip(x.tolist(), y.tolist(), one.reshape(32, 7), other.reshape(32, 7), strict=True)):
+        for cut, depth in ((16, 5), (8, 6), (0, 7)):
+            assert (p >> cut == q >> cut) == (m[:depth] == n[:depth]).all(), (tree, depth)
+
+
 def test_join_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "NODE_BLOCK", 8)
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 8)
@@ -230,6 +411,7 @@ def test_join_odd_rows(spark, odd, none):
     got = {r["doc_id"]: r for r in join.classes().collect()}
     assert got[4]["class_id"] == got[5]["class_id"] == 4 and got[6]["n_links"] == 1 and got[10]["n_links"] == 1 and got[1]["n_links"] == 0
     assert join.filter(odd[0]).count() == 9 and ngram_join.Join(none).classes().count() == 0
+    assert join.filter(odd[0].drop("id")).columns == odd[0].drop("id").columns
     assert ngram_join.depth_for() == 7 and 1 - (1 - 0.8**7) ** 32 >= 0.999
 
 
@@ -283,6 +465,19 @@ def test_neighbours(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
 
 
+def test_neighbours_at_ties(spark):
+    """Equal vectors: ids decide, and repeated rows are rows of their own."""
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(i, [0.0, 1.0]) for i in range(60, 100)] + [(7, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    ones = sorted([*range(60), 7])
+    for q in range(0, 100, 20):
+        assert got[q] == [i for i in (ones if q < 60 else range(60, 100)) if i != q][:20]
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(1)
     a, b, n = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 3, (9, 7))
@@ -311,6 +506,38 @@ def test_language_model(spark, odd, none):
     assert lm_score.score(odd[0], lm_score.train(none)).first()["train_tokens"] == 0
 
 
+def test_model_score_equals_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PER_ENTRY", 8192)  # no wrong probes to speak of
+    texts = [prose(i, 30, ["a", "b", "ab", "c"]) for i in range(60)] + [None, ""]
+    docs = table(spark, texts)
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    model = lm_score.train(docs.where(~lm_score.held_out_split()))
+    own = [["<", *words(t), "\n"] for t in texts]
+    single, pair = Counter(w for i in learned for w in own[i]), Counter(p for i in learned for p in zip(own[i], own[i][1:], strict=False))
+    mean = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    below = sum(single.values()) - single["<"] + 0.5 * (len(single) - 1 + 1)
+    level, kept, every = lambda c: c.bit_length(), Counter(), Counter()
+    for (before, _), n in pair.items():
+        every[level(single[before])] += n
+        kept[level(single[before])] += n * (n >= lm_score.MIN_PAIR)
+    share = {q: kept[q] / every[q] for q in every} | {0: 1.0}
+    for r in lm_score.score(docs, model).collect():
+        want = 0.0
+        for before, w in zip(own[r["doc_id"]], own[r["doc_id"]][1:], strict=False):
+            both = mean(pair[before, w]) if pair[before, w] >= lm_score.MIN_PAIR else 0.0
+            p = (both + lm_score.PRIOR * (mean(single[w]) + 0.5) / below) / (max(share[level(single[before])] * mean(single[before]), both) + lm_score.PRIOR)
+            want += math.log10(min(p, 1.0))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_wrong_probes_stay_rare(spark):
+    for n in (60, 240):
+        docs = table(spark, [prose(i, 1500, [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]) for i in range(n)] * 2)
+        model = lm_score.train(docs)
+        absent = lm_score.bits.mix(np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert model["filter"].has(absent).mean() == pytest.approx(model["false_rate"], abs=0.01) and model["false_rate"] < 0.05
+
+
 def test_rare_words_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "TOP_WORDS", 3)
     docs = table(spark, ["a a a b b c", "a b d e", "a z"])
@@ -345,6 +572,30 @@ def test_languages(spark, odd, none):
     assert all(got[i]["lang_pred"] == k for i, _, k in rows) and got[902]["lang_pred"] == "en"
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and set(prototypes) == set(kinds)
     assert language_id.learn(none) == {} and {r["lang_pred"] for r in language_id.identify(odd[0], {}).collect()} == {"und"}
+    assert language_id.identify(none, prototypes).count() == 0
+    # plain Python: bundles as sums over trigrams of the padded letters, cosines
+    small = language_id.Space(64)
+
+    def bundle(texts):
+        out = np.zeros(64)
+        for t in texts:
+            codes = [0, *(ord(x) for x in re.sub(r"[\W\d_]+", "\0", t.lower())), 0]
+            codes = [c for i, c in enumerate(codes) if c or i == 0 or codes[i - 1]]
+            for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+                out += np.roll(small.letter(a), 2) * np.roll(small.letter(b), 1) * small.letter(c)
+        return out
+
+    learned = language_id.learn(docs.where("doc_id % 2 = 0"), dimensions=64)
+    plain = {k: bundle([t for i, t, x in rows if x == k and i % 2 == 0]) for k in kinds}
+    assert all(np.allclose(learned[k], plain[k]) for k in kinds if k != "en")  # "en" also has the row 900 without a text, and 902 has no language
+    for r in language_id.identify(docs.where("doc_id < 20"), learned).collect():
+        v = bundle([rows[r["doc_id"]][1]])
+        cosines = {k: float(np.dot(v, learned[k]) / np.linalg.norm(v) / np.linalg.norm(learned[k])) for k in kinds}
+        assert r["lang_score"] == pytest.approx(max(cosines.values())) and cosines[r["lang_pred"]] == max(cosines.values())
+    # ties go to the smaller name, repeated rows count as often as they come
+    same = spark.createDataFrame([("abc", "x"), ("abc", "a"), ("abc", "a")], "text string, lang string")
+    both = language_id.learn(same)
+    assert np.allclose(both["a"], 2 * np.array(both["x"])) and language_id.identify(same.select("text"), both).first()["lang_pred"] == "a"
     own = language_id.Space(64)
     v = own.trigram(ord("a") << 42 | ord("b") << 21 | ord("c"))
     assert (v == np.roll(own.letter(97), 2) * np.roll(own.letter(98), 1) * own.letter(99)).all()
@@ -364,7 +615,9 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in docs.collect()) == [0, 1, 2, *range(4, 20), 22, 23, 24]
     docs = stage["near_copies"](spark, docs, "")
     assert sorted(r["doc_id"] for r in docs.collect()) == [0, 1, 2, *range(4, 20), 22, 24]
+    assert docs.columns == table(spark, []).columns and docs.where("_lang = 'mine _lang' and pii_candidates = 'mine pii_candidates' and key = 'mine key'").count() == docs.count()
     docs = stage["personal_data"](spark, docs, "")
+    assert docs.columns == table(spark, []).columns and docs.where("pii_candidates = 'mine pii_candidates'").count() == docs.count()
     row = docs.where("doc_id = 24").first()
     assert row["text"].startswith("mail [EMAIL] ") and row["n_chars"] == len(row["text"])
     out = stage["packed"](spark, docs, "")

@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import exact_dedup, language_id, ngram_join, packing, pii
-from nearfield.llm.common import stash
+from nearfield.llm.common import free_name, stash
 from nearfield.llm.queries import tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language. Those without a letter go, and all if nothing tells what a language looks like."""
     prototypes = language_id.learn(docs.where(~language_id.held_out_split(docs)).select("text", "lang"))
-    found = language_id.identify(docs, prototypes, lang_col="_lang", score_col="_score")
-    return found.where(F.col("_lang") != language_id.UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lang, score = (free_name(docs.columns, name) for name in ("found_lang", "found_score"))
+    found = language_id.identify(docs, prototypes, lang_col=lang, score_col=score)
+    return found.where(F.col(lang) != language_id.UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text (lower-cased A-Z), that with the largest doc_id."""
-    return exact_dedup.DigestIndex(spark).filter(docs)
+    with exact_dedup.DigestIndex(spark) as index:
+        return index.filter(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,7 +152,8 @@ def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     among = spark.sparkContext.broadcast(bits.build(keys, bits.size_for(mixed.count(), 12, MAX_BITS)))
     collect_shuffles(spark)
     windows = map_rows(rows.select("_key", "_text"), make_runs(among, True), "_key binary, a long, c long, s1 int, w binary")
-    wide = stash(attach(windows, settled, ["a", "c"], "n", every), "mixed-runs")
+    # one pass only: two branches would read the texts twice, and Spark splits hot partitions of an inner join while it runs
+    wide = stash(windows.join(settled, ["a", "c"]), "mixed-runs")
     del windows
     collect_shuffles(spark)
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, lm_score, ngram_join, packing, pii, quality, sentencepiece_bpe, substring_dedup
-from .common import documents
+from . import ann, exact_dedup, language_id, lm_score, merkle, ngram_join, packing, pii, quality, sentencepiece_bpe, substring_dedup
+from .common import crc_mod, documents
 
 
 def tokenizer(name: str) -> str:
@@ -95,5 +95,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out_split(docs).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op6_ngram_jaccard, op7_substring_dedup, op8_ann, op9_lm_score, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, sf_dir), tampered=crc_mod("doc_id", 3) == 0)
+    folded = found.withColumn("proof_sha256", merkle.proof(F.col("path"))).withColumn("folded_root", merkle.fold(F.coalesce("alt", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE said AS (SELECT *, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+  || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS crc FROM documents),
+leaves AS (SELECT doc_id, g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) AS alt, crc % 3 = 0 AS tampered FROM said),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+tree AS (SELECT 0 AS lv, g, i, n, leaf AS h FROM placed UNION ALL SELECT lv + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lv, g, i // 8, n),
+subroots AS (SELECT g, h AS subroot, max(lv) OVER () AS most, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS lv, i, n, subroot AS h FROM subroots UNION ALL SELECT lv + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY lv, i // 8, n),
+low_runs AS (SELECT a.g, a.lv, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM tree a JOIN tree b ON a.g = b.g AND a.lv = b.lv AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.g, a.lv, a.i),
+high_runs AS (SELECT a.lv, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM crown a JOIN crown b ON a.lv = b.lv AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.lv, a.i),
+steps AS (SELECT p.doc_id, p.g, r.lv, r.lft, r.rgt FROM placed p JOIN low_runs r ON p.g = r.g AND r.i = p.i >> (3 * r.lv)
+  UNION ALL SELECT p.doc_id, p.g, 1000 + r.lv, r.lft, r.rgt FROM placed p JOIN subroots s ON p.g = s.g JOIN high_runs r ON r.i = s.i >> (3 * r.lv)),
+paths AS (SELECT doc_id, g, list({'lft': lft, 'rgt': rgt} ORDER BY lv) AS path FROM steps GROUP BY doc_id, g),
+one AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM crown WHERE n = 1) AS root, coalesce(path, []) AS path, CASE WHEN tampered THEN alt ELSE leaf END AS start
+  FROM placed p JOIN subroots s ON p.g = s.g LEFT JOIN paths q ON p.doc_id = q.doc_id AND p.g = q.g),
+folds AS (SELECT doc_id, path, 0 AS lv, start AS h FROM one UNION ALL SELECT doc_id, path, lv + 1, sha256(path[lv + 1].lft || h || path[lv + 1].rgt) FROM folds WHERE lv < len(path))
+SELECT one.doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(one.path, lambda s: s.lft || s.rgt), ''), '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM one JOIN folds f ON one.doc_id = f.doc_id AND f.lv = len(one.path)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op6_ngram_jaccard, op7_substring_dedup, op8_ann, op9_lm_score, op10_language_id, op11_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL}

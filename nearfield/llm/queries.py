@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, lm_score, merkle, ngram_join, packing, pii, quality, sentencepiece_bpe, substring_dedup
+from . import ann, exact_dedup, language_id, lm_score, merkle, ngram_join, packing, pii, quality, resampling, secret_scan, sentencepiece_bpe, substring_dedup
 from .common import crc_mod, documents
 
 
@@ -127,5 +127,20 @@ FROM one JOIN folds f ON one.doc_id = f.doc_id AND f.lv = len(one.path)
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op6_ngram_jaccard, op7_substring_dedup, op8_ann, op9_lm_score, op10_language_id, op11_merkle_manifest)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < len(secret_scan.BASE))
+    count = {f"n_{k}": F.size(F.filter(spans, secret_scan.of_kind(k))).cast("long") for k in secret_scan.BASE}
+    more = {"n_copied": F.size(F.filter(spans, lambda s: s["copied"])).cast("long"), "live": secret_scan.listed(F.filter(spans, lambda s: s["live"]))}
+    digest = F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256")
+    found = secret_scan.find(documents(spark, sf_dir))
+    return found.select("doc_id", *(c.alias(n) for n, c in count.items()), digest, secret_scan.listed(spans).alias("spans"), *(c.alias(n) for n, c in more.items()))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_best_fit_packing, op4_quality, op5_pii, op6_ngram_jaccard, op7_substring_dedup, op8_ann, op9_lm_score, op10_language_id, op11_merkle_manifest, op12_secret_scan, op13_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op11_merkle_manifest": OP11_SQL}

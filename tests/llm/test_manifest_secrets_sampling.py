@@ -261,7 +261,7 @@ def test_equal_scores(spark):
 
 def test_gains_are_floors():
     gain = resampling.gains(np.array([0, 3, 9]), np.array([5, 0, 9]))
-    assert gain.tolist() == [math.floor(1000 * math.log((t + 1) * 15 / ((s + 1) * 17))) for s, t in ((0, 5), (3, 0), (9, 9))]
+    assert gain.tolist() == [math.floor(1000 * math.log((t + 1) * 17 / ((s + 1) * 15))) for s, t in ((5, 0), (0, 3), (9, 9))]
 
 
 def test_queries_are_registered():

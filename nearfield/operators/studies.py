@@ -13,28 +13,31 @@ from . import knn, scoring, stats
 
 # --- names, scales and publication ---
 
-UNITS = {"k": 1e3, "m": 1e6, "b": 1e9}
+#: Titles that no rule gives, factors of unit letters.
+TITLES = {"medical_center": "Medical Center", "confounder": "Confounder"}
+FACTORS = {"k": 1e3, "m": 1e6, "b": 1e9}
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
 def display_name(column: Column) -> Column:
-    """A confounder's title: words between underscores or white space, each with a capital first letter; `Confounder` for nothing."""
-    parts = F.filter(F.split(F.trim(column), r"[_\s]+"), lambda w: w != "")
-    if_special = F.lower(F.trim(column))
-    title = F.concat_ws(" ", F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))))
-    return F.when(if_special == "medical_center", "Medical Center").when((if_special == "confounder") | (F.size(parts) == 0), "Confounder").otherwise(title)
+    """A confounder's title: its words, each with a capital first letter; `Confounder` for nothing."""
+    words = F.regexp_extract_all(column, F.lit(r"[^_\s]+"), F.lit(0))
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.char_length(w)))), " ")
+    return F.coalesce(_looked_up(TITLES, F.lower(F.trim(column))), F.nullif(title, F.lit("")), F.lit(TITLES["confounder"]))
 
 
 def scale(column: Column) -> Column:
-    """A decorated count ($3.1$M, ${>}1$B, 6{,}093) as a number; null where none is given."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(column), r"\\[a-zA-Z]+", ""), r"[${}~<>\\ ,]", "")
-    number, unit = F.regexp_extract(plain, r"^([0-9]*\.?[0-9]+)([kKmMbB]?)", 1), F.lower(F.regexp_extract(plain, r"^([0-9]*\.?[0-9]+)([kKmMbB]?)", 2))
-    times = reduce(lambda out, u: F.when(unit == u, F.lit(UNITS[u])).otherwise(out), UNITS, F.lit(1.0))
-    return F.when(number != "", number.try_cast("double") * times)
+    """The first number in a decorated count ($3.1$M, ${>}1$B, 6{,}093), times the factor of the letter after it; null where there is none."""
+    digits, letter = (F.regexp_extract(column, r"(\d[\d{},]*(?:\.\d+)?|\.\d+)\W*([A-Za-z]?)", i) for i in (1, 2))
+    return F.translate(digits, "{},", "").try_cast("double") * F.coalesce(_looked_up(FACTORS, F.lower(letter)), F.lit(1.0))
 
 
 def regime(column: Column) -> Column:
-    key = F.lower(F.trim(column))
-    return F.when((key == "vlfm") | F.contains(key, F.lit("language")), "VLFM").otherwise("vision-only")
+    """VLFM where the cell says so or names language, else vision-only."""
+    return _looked_up({True: "VLFM", False: "vision-only"}, F.coalesce(F.rlike(column, F.lit(r"(?i)^\s*vlfm\s*$|language")), F.lit(False)))
 
 
 def restyled(df: DataFrame, names: dict[str, str], column: str = "model") -> DataFrame:

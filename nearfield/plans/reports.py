@@ -149,32 +149,22 @@ def provenance_tags(spark, sf_dir):
 
 # --- probes ----------------------------------------------------------------------------------------------------------------------------------------------
 
-ACC = [(s, i, round(0.9 - 0.05 * s - 0.01 * ((s * 7 + i * 3) % 5), 4)) for s in range(5) for i in range(4)]
-ACC_SQL = "a(split, iter, acc) AS (VALUES " + ", ".join(f"({s}, {i}, {v}::DOUBLE)" for s, i, v in ACC) + ")"
-
-
-@query(f"WITH {ACC_SQL}, d AS (SELECT x.iter, avg(x.acc / b.acc) - 1 AS d FROM a x JOIN a b ON b.iter = x.iter AND b.split = 0 WHERE x.split > 0 GROUP BY x.iter) SELECT round(avg(d), 9) AS apd FROM d")
-def apd(spark, sf_dir):
-    return rounded(downstream.average_performance_drop(downstream.check_accuracies(spark.createDataFrame(ACC, "split int, iter int, acc double"))))
-
-
-@query(f"""WITH {ACC_SQL}, m AS (SELECT split, avg(acc) AS a, split / 4 AS v FROM a GROUP BY split), g AS (SELECT v, (a - (SELECT a FROM m WHERE split = 0)) / ((SELECT a FROM m WHERE split = 0) - 0.5) AS g FROM m),
-t AS (SELECT (v - lag(v) OVER (ORDER BY v)) * (g + lag(g) OVER (ORDER BY v)) / 2 AS area FROM g) SELECT round(sum(area), 9) AS nipd FROM t""")
-def nipd(spark, sf_dir):
-    bias = spark.createDataFrame([(s, s / 4) for s in range(5)], "split int, v double")
-    return rounded(downstream.integrated_degradation(spark.createDataFrame(ACC, "split int, iter int, acc double"), bias, 0.5))
-
-
 @query("""WITH two AS (SELECT * FROM (VALUES ('camelyon', 8, 2, 7, 1, 14), ('tolkach_esca', 4, 6, 3, 1, 6), ('prostate', 9, 2, 16, 2, 32), ('pcabiop', 11, 2, 100, 10, 200)) t(name, splits, classes, load, step, top)),
 a AS (SELECT name, split, i, j, CASE WHEN (i = 0) = (j < classes // 2) THEN load - step * split ELSE load + step * split END AS take, top FROM two, range(11) s(split), range(2) x(i), range(6) y(j) WHERE split < splits AND j < classes),
-b AS (SELECT 'tcga' AS name, split, i, j, CASE WHEN i = j THEN split + 2 WHEN i + j = 3 THEN (CASE WHEN split % 2 = 1 THEN 1 WHEN split < 3 THEN 2 ELSE 0 END) ELSE (CASE WHEN split < 2 THEN 2 WHEN split < 5 THEN 1 ELSE 0 END) END AS take, 8 AS top FROM range(7) s(split), range(4) x(i), range(4) y(j))
-SELECT name, split::BIGINT AS split, i::BIGINT AS i, j::BIGINT AS j, take::BIGINT AS take, top::BIGINT AS max_train_slides FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+b AS (SELECT 'tcga' AS name, split, i, j, CASE WHEN i = j THEN split + 2 WHEN i + j = 3 THEN (CASE WHEN split % 2 = 1 THEN 1 WHEN split < 3 THEN 2 ELSE 0 END) ELSE (CASE WHEN split < 2 THEN 2 WHEN split < 5 THEN 1 ELSE 0 END) END AS take, 8 AS top FROM range(7) s(split), range(4) x(i), range(4) y(j)),
+cells AS (SELECT c_nationkey % 4 AS i, c_custkey % 6 AS j, count(*) AS n FROM customer GROUP BY ALL)
+SELECT name, split::BIGINT AS split, s.i::BIGINT AS i, s.j::BIGINT AS j, take::BIGINT AS take, top::BIGINT AS max_train_slides, coalesce(n, 0) AS available, coalesce(n, 0) >= take AS enough
+FROM (SELECT * FROM a UNION ALL SELECT * FROM b) s LEFT JOIN cells c ON s.i = c.i AND s.j = c.j""")
 def schedule_tables(spark, sf_dir):
+    """Every schedule against the customers that its cells could take rows from."""
     parts = [downstream.schedule(spark, n).withColumn("name", F.lit(n)) for n in (*downstream.TWO_SIDED, "tcga")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return rounded(out.select("name", "split", "i", "j", "take", "max_train_slides"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    cells = customers.groupBy((F.col("c_nationkey") % 4).cast("int").alias("i"), (F.col("c_custkey") % 6).cast("int").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    found = out.join(cells, ["i", "j"], "left").withColumn("available", F.coalesce("n", F.lit(0).cast("long")))
+    return rounded(found.select("name", "split", "i", "j", "take", "max_train_slides", "available", (F.col("available") >= F.col("take")).alias("enough")))
 
 
 @query("""WITH o AS (SELECT c_custkey AS row_id, c_nationkey % 2 AS i, ascii(c_mktsegment) % 2 AS j FROM customer), p AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY row_id) - 1 AS pos FROM o),
@@ -190,12 +180,6 @@ def probe_slices(spark, sf_dir):
     return rounded(downstream.slices(order, downstream.schedule(spark, "camelyon", 3), 3).select("split", "row_id", "role"))
 
 
-@query(f"""WITH {ACC_SQL} SELECT split::BIGINT AS split, round(avg(acc), 6) AS mean, round(avg(acc) - 3.1824 * stddev_samp(acc) / 2, 6) AS low, round(avg(acc) + 3.1824 * stddev_samp(acc) / 2, 6) AS high, count(*) AS n FROM a GROUP BY split""")
-def t_interval(spark, sf_dir):
-    t = stats.t_interval(spark.createDataFrame(ACC, "split int, iter int, acc double"), "acc", ("split",))
-    return t.select(F.col("split").cast("long").alias("split"), *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), "n")
-
-
 @query()
 def probe_sweep(spark, sf_dir):
     """Probes of the label's parity from the vectors, languages en and not en as confounders."""

@@ -11,12 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import dot, unit
 from ..sources.shared import stash
 
 #: Rows of a block at most, and rows below which a table isn't cut further; up to SPREAD blocks a side are made for parallel work.
 BLOCK, LEAST, SPREAD = 8192, 512, 4
+#: Rows from which pivots are worth their passes, how many of them at most (of all subsets), and what an angle may be off by rounding.
+PRUNE_FROM, PIVOTS, SLACK = 50_000, 4096, 1e-6
 KEY = ("subset", "q")
 
 
@@ -46,15 +49,8 @@ def _blocked(u: DataFrame, block: int) -> DataFrame:
     return u.join(sizes, "subset").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
 
 
-def candidates(df: DataFrame, *, k: int = 0, m: int = 0, block: int = BLOCK, against: DataFrame | None = None) -> DataFrame:
-    """Of each row the k nearest, and the m nearest that share only the label and only the confounder; from each block, so a superset.
-    Neighbours come from `against`, by default from df itself."""
-    left = _blocked(units(df), block)
-    right = left if against is None else _blocked(units(against), block)
-    n_left, n_right = (x.groupBy("subset").agg(F.max("blocks").alias("n")) for x in (left, right))
-    asks = left.join(n_right, "subset").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("own", "qb")
-    has = right.join(n_left, "subset").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("own", "cb")
-    has = has.select(*(F.col(c).alias(c) for c in has.columns))  # both sides may come from one table: fresh columns
+def _search(k: int, m: int):
+    """A task's work: the nearest few of each query row among one block of candidates."""
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = {"subset": object, "q": "int64", "c": "int64", "dist": "float64", "same_label": bool, "same_conf": bool}
@@ -80,8 +76,121 @@ def candidates(df: DataFrame, *, k: int = 0, m: int = 0, block: int = BLOCK, aga
             out.append(pd.DataFrame({"subset": some["subset"].iloc[0], "q": some["row_id"].to_numpy()[q], "c": ids[c], "dist": dist[q, c], "same_label": label[q, c], "same_conf": conf[q, c]}))
         return pd.concat(out, ignore_index=True)
 
+    return near
+
+
+def _meet(asks: DataFrame, has: DataFrame, k: int, m: int) -> DataFrame:
+    """Searches the block pairs that both sides name."""
     key = ["subset", "qb", "cb"]
-    return asks.groupBy(*key).cogroup(has.groupBy(*key)).applyInPandas(near, "subset string, q long, c long, dist double, same_label boolean, same_conf boolean")
+    return asks.groupBy(*key).cogroup(has.groupBy(*key)).applyInPandas(_search(k, m), "subset string, q long, c long, dist double, same_label boolean, same_conf boolean")
+
+
+def candidates(df: DataFrame, *, k: int = 0, m: int = 0, block: int = BLOCK, against: DataFrame | None = None, pivots: int | None = None) -> DataFrame:
+    """Of each row the k nearest, and the m nearest that share only the label and only the confounder; from each block, so a superset.
+    Neighbours come from `against`, by default from df itself. Tables of more than PRUNE_FROM rows are searched around pivots, as are all if `pivots` is given."""
+    if pivots is None and (df if against is None else against).limit(PRUNE_FROM + 1).count() > PRUNE_FROM:
+        pivots = PIVOTS
+    if pivots:
+        return around_pivots(df, k=k, m=m, block=block, against=against, pivots=pivots)[0]
+    left = _blocked(units(df), block)
+    right = left if against is None else _blocked(units(against), block)
+    n_left, n_right = (x.groupBy("subset").agg(F.max("blocks").alias("n")) for x in (left, right))
+    asks = left.join(n_right, "subset").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("own", "qb")
+    has = right.join(n_left, "subset").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("own", "cb")
+    return _meet(asks, has.select(*(F.col(c).alias(c) for c in has.columns)), k, m)  # both sides may come from one table: fresh columns
+
+
+# --- pruned by pivots ---
+
+
+def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _pivots(rows: DataFrame, most: int) -> dict[str, np.ndarray]:
+    """At most `most` rows of all (a bounded number, so they may be broadcast): each subset has as many as its share of the rows, taken by a hash of row_id. A subset too
+    small for two has none."""
+    sizes = rows.groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    share = sizes.withColumn("n", F.floor(F.col("n") * most / F.lit(max(total, 1)))).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("subset").orderBy(F.xxhash64("row_id"), "row_id"))
+    found = rows.select("subset", "row_id", "v").withColumn("place", place).where(F.col("place") <= most).join(share, "subset").where("place <= n").collect()
+    out: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r["subset"], r["place"])):
+        out.setdefault(r["subset"], []).append(r["v"])
+    return {s: np.array(v) for s, v in out.items()}
+
+
+def _near_pivot(rows: DataFrame, shared, block: int) -> DataFrame:
+    """Adds pivot (the nearest one's number; 0 where a subset has none), angle to it, and own: the row's block, a part of its pivot's rows."""
+
+    def run(batches):
+        for batch in batches:
+            pivot, angle = np.zeros(len(batch), "int32"), np.full(len(batch), np.pi)
+            for subset, at in batch.groupby("subset").indices.items():
+                if subset in shared.value:
+                    a = _angle(np.stack(batch["v"].to_numpy()[at]), shared.value[subset])
+                    pivot[at], angle[at] = a.argmin(axis=1), a.min(axis=1)
+            yield batch.assign(pivot=pivot, angle=angle)
+
+    dealt = stash(rows.mapInPandas(run, T.StructType([*rows.schema, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])), "pivots")
+    parts = dealt.groupBy("subset", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    return dealt.join(parts, ["subset", "pivot"]).withColumn("own", F.concat_ws(":", "pivot", F.pmod(F.xxhash64("row_id"), F.col("parts"))))
+
+
+def around_pivots(df: DataFrame, *, k: int = 0, m: int = 0, block: int = BLOCK, against: DataFrame | None = None, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """As candidates, and per subset the block pairs that were run and all there are.
+
+    Rows are dealt to blocks by their nearest pivot. Each query first searches its own pivot's blocks, which gives a distance that its answers do not exceed. Angles
+    between unit vectors are a metric: no row of a block is nearer to a query than the query's angle to the block's pivot less the block's radius. Blocks beyond the
+    distance are dropped for the query, and vectors are only shuffled to pairs of blocks that are left. Nothing is lost, ties included."""
+    own_rows = stash(units(df), "units")
+    other = own_rows if against is None else stash(units(against), "units")
+    shared = df.sparkSession.sparkContext.broadcast(_pivots(other, pivots))
+    right = _near_pivot(other, shared, block)
+    left = right if against is None else _near_pivot(own_rows, shared, block)
+    parts = stash(right.groupBy("subset", "pivot").agg(F.max("parts").alias("n"), F.max("angle").alias("radius")), "blocks")
+    bounds = {(r["subset"], r["pivot"]): r["radius"] for r in parts.select("subset", "pivot", "radius").where(F.col("subset").isin([*shared.value])).collect()}  # `pivots` rows at most
+    radius = df.sparkSession.sparkContext.broadcast({s: np.array([bounds.get((s, i), -np.inf) for i in range(len(p))]) for s, p in shared.value.items()})
+
+    def pairs_of(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """asked: query rows with the number of a pivot to search, `to`."""
+        each = asked.join(parts.select("subset", F.col("pivot").alias("to"), "n"), ["subset", "to"]).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        asks = each.select("subset", "row_id", "label", "confounder", "group_id", "v", F.col("own").alias("qb"), F.concat_ws(":", "to", "p").alias("cb"))
+        met = asks.select("subset", "qb", "cb").distinct()
+        has = right.select("subset", "row_id", "label", "confounder", "group_id", "v", F.col("own").alias("cb")).join(met, ["subset", "cb"])
+        return asks, has.select(*(F.col(c).alias(c) for c in has.columns))
+
+    first = pairs_of(left.withColumn("to", F.col("pivot")))
+    near = stash(_meet(*first, k, m), "near")
+    typed = kind(F.col("same_label"), F.col("same_conf"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*KEY, *by).orderBy("dist", "c"))
+    placed = near.withColumn("type", typed).withColumn("place", nth()).withColumn("typed", nth("type"))
+    last = [F.max(F.when(F.col("place") == k, F.col("dist")))] if k else []
+    last += [F.max(F.when((F.col("type") == t) & (F.col("typed") == m), F.col("dist"))) for t in ("SO", "OS")] if m else []
+    reach = placed.groupBy(F.col("subset"), F.col("q").alias("row_id")).agg(F.greatest(F.lit(-1.0), *(F.coalesce(x, F.lit(2.0)) for x in last)).alias("reach"))
+    known = left.join(reach, ["subset", "row_id"], "left").withColumn("reach", F.coalesce("reach", F.lit(2.0)))
+
+    def survive(batches):
+        for batch in batches:
+            to = np.empty(len(batch), object)
+            to[:] = [np.empty(0, "int32")] * len(batch)
+            for subset, at in batch.groupby("subset").indices.items():
+                if subset in shared.value:
+                    least = _angle(np.stack(batch["v"].to_numpy()[at]), shared.value[subset]) - radius.value[subset]
+                    good = least <= np.arccos(np.clip(1 - batch["reach"].to_numpy()[at], -1, 1))[:, None] + SLACK
+                    good[np.arange(len(at)), batch["pivot"].to_numpy()[at]] = False
+                    for i, row in zip(at, good, strict=True):
+                        to[i] = np.nonzero(row)[0].astype("int32")
+            yield batch.assign(to=to)
+
+    columns = known.select("subset", "row_id", "label", "confounder", "group_id", "v", "pivot", "own", "reach")
+    asked = columns.mapInPandas(survive, T.StructType([*columns.schema, T.StructField("to", T.ArrayType(T.IntegerType()))])).withColumn("to", F.explode("to"))
+    second = pairs_of(stash(asked, "asked"))
+    run = first[0].select("subset", "qb", "cb").unionByName(second[0].select("subset", "qb", "cb")).distinct().groupBy("subset").agg(F.count(F.lit(1)).alias("run"))
+    count = lambda x: x.select("subset", "own").distinct().groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
+    every = count(left).join(count(right).withColumnRenamed("n", "n_right"), "subset").select("subset", (F.col("n") * F.col("n_right")).alias("all_pairs"))
+    return near.unionByName(_meet(*second, k, m)), run.join(every, "subset")
 
 
 def kind(same_label: Column, same_conf: Column) -> Column:

@@ -224,6 +224,11 @@ def knn_topk(spark, sf_dir):
     return rounded(near(spark, sf_dir).select("q", "c", "rank", "dist", "type"))
 
 
+@query(f"WITH {NEAR.replace('{k}', str(K))} SELECT q, c, rank, round(dist, 9) AS dist, type FROM n")
+def knn_pruned(spark, sf_dir):
+    return rounded(neighbors.nearest(base(spark, sf_dir), K, pivots=32).select("q", "c", "rank", "dist", "type"))
+
+
 @query(f"WITH {NEAR.replace('{k}', '3')} SELECT q, string_agg(c, ',' ORDER BY rank) AS nearest FROM n GROUP BY q")
 def knn_group_excluded(spark, sf_dir):
     w = F.array_sort(F.collect_list(F.struct("rank", "c")))  # three a row

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.manifest import factor_codes
-from .scoring import k_list
+from .scoring import at_k, k_list
 
 
 def votes(found: DataFrame, manifest: DataFrame, ks, target: str = "label") -> DataFrame:
@@ -15,10 +15,12 @@ def votes(found: DataFrame, manifest: DataFrame, ks, target: str = "label") -> D
     codes = factor_codes(manifest, target, ("subset",)).select("subset", F.col(target).alias("value"), "code")
     own = manifest.select("subset", F.col("row_id").alias("c"), F.col(target).alias("value")).join(codes, ["subset", "value"])
     labelled = found.join(own, ["subset", "c"]).select("subset", "q", "rank", "value", "code")
-    grid = labelled.withColumn("k", F.explode(F.array(*map(F.lit, k_list(ks))))).where("rank <= k")
-    count = grid.groupBy("subset", "q", "k", "value", "code").agg(F.count(F.lit(1)).alias("n"))
-    best = F.row_number().over(Window.partitionBy("subset", "q", "k").orderBy(F.desc("n"), "code"))
-    return count.withColumn("place", best).where("place = 1").select("subset", "q", "k", F.col("value").alias("vote"), F.col("n").alias("n_votes"))
+    # a value's count at a rank stands in its last row up to there, so the running maximum over all rows is the leader's; one exchange serves both windows
+    unit = labelled.where(F.col("rank") <= max(k_list(ks))).repartition("subset", "q")
+    counted = unit.withColumn("n", F.row_number().over(Window.partitionBy("subset", "q", "value").orderBy("rank")))
+    leader = F.max(F.struct(F.col("n"), (-F.col("code")).alias("first"), F.col("value"))).over(Window.partitionBy("subset", "q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    led = counted.withColumn("l", leader).select("subset", "q", "rank", F.col("l.value").alias("vote"), F.col("l.n").cast("long").alias("n_votes"))
+    return at_k(led, ks).select("subset", "q", "k", "vote", "n_votes")
 
 
 def balanced_accuracy(voted: DataFrame, manifest: DataFrame, target: str = "label") -> DataFrame:

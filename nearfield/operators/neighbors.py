@@ -7,6 +7,9 @@ tables. Distances are rounded to 12 places before ranking; ties go to the smalle
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -215,10 +218,22 @@ def nearest_typed(df: DataFrame, m: int, **options) -> DataFrame:
 
 
 def first_typed(df: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """Of each row with one the rank of its first SO and first OS neighbour among all valid candidates: subset, q, first_so, first_os.
-    The candidates before them are counted block by block, so the depth has no limit."""
-    first = nearest_typed(df, 1, block=block)
-    marks = first.groupBy(*KEY).agg(*(F.max(F.when(F.col("type") == t.upper(), F.col(c))).alias(f"{t}_{c}") for t in ("so", "os") for c in ("dist", "c")))
+    """Of each row with one the rank of its first SO and first OS neighbour among all valid candidates: subset, q, first_so, first_os."""
+    found = typed_ranks(df, 1, block=block)
+    return found.select(*KEY, F.col("so").alias("first_so"), F.col("os").alias("first_os"))
+
+
+def typed_depth(df: DataFrame, m: int, *, block: int = BLOCK) -> DataFrame:
+    """Of each row that has m neighbours of both types the rank at which the later one comes: subset, q, depth."""
+    return typed_ranks(df, m, block=block).where("so is not null and os is not null").select(*KEY, F.greatest("so", "os").alias("depth"))
+
+
+def typed_ranks(df: DataFrame, m: int, *, block: int = BLOCK) -> DataFrame:
+    """The rank of each row's m-th SO and m-th OS neighbour (so, os; null where there are fewer) among all valid candidates. The candidates before them are counted block by
+    block: only counts are shuffled, and the depth has no limit."""
+    nth = nearest_typed(df, m, block=block)
+    marks = nth.groupBy(*KEY).agg(*(F.max(F.when((F.col("type") == t.upper()) & (F.col("rank") == m), F.col(c))).alias(f"{t}_{c}") for t in ("so", "os") for c in ("dist", "c")))
+    marks = stash(marks, "marks")
     all_rows = _blocked(units(df), block)
     left = all_rows.join(marks.withColumnRenamed("q", "row_id"), ["subset", "row_id"])
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -244,7 +259,29 @@ def first_typed(df: DataFrame, *, block: int = BLOCK) -> DataFrame:
     key = ["subset", "qb", "cb"]
     counted = asks.groupBy(*key).cogroup(has.groupBy(*key)).applyInPandas(before, "subset string, q long, so long, os long")
     summed = counted.groupBy(*KEY).agg(F.sum("so").alias("so"), F.sum("os").alias("os"))
-    return marks.join(summed, list(KEY)).select(*KEY, *(F.when(F.col(f"{t}_c").isNotNull(), F.col(t) + 1).alias(f"first_{t}") for t in ("so", "os")))
+    return marks.join(summed, list(KEY)).select(*KEY, *(F.when(F.col(f"{t}_c").isNotNull(), F.col(t) + 1).alias(t) for t in ("so", "os")))
+
+
+def widening_typed(df: DataFrame, m: int, *, start_k: int = 200, growth: float = 2.0, **options) -> tuple[DataFrame, dict[str, int]]:
+    """As nearest_typed by a search that widens: only rows that lack m neighbours of a type among their k nearest are searched again, with a larger k, until all have them or
+    k reaches all other rows. With it k_start, k_final and retries as such a search counts them: it looks once more after the last row is served."""
+    df = stash(df, "rows")
+    most = df.groupBy("subset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    k = start = max(1, min(start_k, most - 1))
+    grown = lambda k: min(most - 1, max(k + 1, math.ceil(k * growth)))
+    left, out, retries = df, [], 0
+    while True:
+        found = nearest(left, k, against=df, **options).where("type in ('SO', 'OS')").withColumn("nth", F.row_number().over(Window.partitionBy(*KEY, "type").orderBy("rank")))
+        found = stash(found.where(F.col("nth") <= m).drop("rank").withColumnRenamed("nth", "rank"), "typed")
+        served = found.where(F.col("rank") == m).groupBy(*KEY).agg(F.count(F.lit(1)).alias("types")).where("types = 2").drop("types")
+        out.append(found if k >= most - 1 else found.join(served, [*KEY], "left_semi"))
+        left = stash(left.join(served.withColumnRenamed("q", "row_id"), ["subset", "row_id"], "left_anti").select(*df.columns), "unserved")
+        if k >= most - 1 or not left.limit(1).count():
+            break
+        k, retries = grown(k), retries + 1
+    if k < most - 1:
+        k, retries = grown(k), retries + 1
+    return reduce(DataFrame.unionByName, out), {"k_start": start, "k_final": k, "retries": retries}
 
 
 def fetch_capped(df: DataFrame, k: int) -> DataFrame:

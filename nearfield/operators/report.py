@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stash
+from .quantiles import quantiles, wide
 from .stats import quantile, rank_first
 
 #: Fewest samples for a headline, and the thresholds of the tiers.
@@ -30,17 +31,15 @@ def subgroups(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     ))
     long = good.withColumn("s", scopes).select("sample_id", "margin", "tail", "s.scope", F.col("s.l").alias("label"), F.col("s.c").alias("confounder"))
     x, key = F.col("margin"), ["scope", "label", "confounder"]
-    q = long.groupBy(*key).agg(F.percentile("margin", F.lit(alpha)).alias("q"))
+    # labels, confounders and their products are not null: the scopes have one row each
+    q = wide(long, "margin", {"q": alpha, "median": 0.5}, by=["scope"], group=key[1:])
     own = long.join(q, key).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.sum((x < 0).cast("long")).alias("n_negative"), F.sum(x).alias("total"),
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.max("median").alias("median"), F.sum((x < 0).cast("long")).alias("n_negative"), F.sum(x).alias("total"),
         F.sum(F.col("tail").cast("long")).alias("n_tail"), F.avg(F.when(F.col("tail"), x)).alias("tail_mean"), F.coalesce(F.sum(F.when(F.col("tail"), x)), F.lit(0.0)).alias("tail_total"),
         F.max("q").alias("quantile"), F.avg(F.when(x <= F.col("q"), x)).alias("ltm"),
     )
     whole = good.agg(F.sum("margin").alias("W"), F.sum((x < 0).cast("long")).alias("WN"), F.sum(F.when(F.col("tail"), x)).alias("WT"))
-    # the rest's median: subgroups are few (labels, confounders and their products), rows of other subgroups in the same scope make the rest
-    a, b = long.alias("a"), own.select(*key).alias("b")
-    rest = a.join(F.broadcast(b), (F.col("a.scope") == F.col("b.scope")) & ((F.col("a.label") != F.col("b.label")) | (F.col("a.confounder") != F.col("b.confounder"))))
-    rest = rest.groupBy(*(F.col(f"b.{k}").alias(k) for k in key)).agg(F.median("a.margin").alias("rest_median"))
+    rest = wide(long, "margin", {"rest_median": 0.5}, by=["scope"], group=key[1:], rest=True)
     out = own.crossJoin(F.broadcast(whole)).join(rest, key, "left")  # whole is one row
     others = F.when(F.lit(n) > F.col("n"), F.lit(n) - F.col("n"))
     rest_tail = F.when(F.lit(tail_size) > F.col("n_tail"), F.lit(tail_size) - F.col("n_tail"))
@@ -124,7 +123,8 @@ def compare_runs(a: DataFrame, b: DataFrame, keys, values) -> DataFrame:
 
 def overlap_odds(rows: DataFrame, inside: str, value: str = "margin") -> DataFrame:
     """Medians inside and outside a set, as odds (1 + c) / (1 - c), and their ratio."""
-    m = rows.agg(F.median(F.when(F.col(inside), F.col(value))).alias("inside"), F.median(F.when(~F.col(inside), F.col(value))).alias("outside"))
+    found = quantiles(rows, value, 0.5, by=[inside])
+    m = found.agg(F.max(F.when(F.col(inside), F.col("x"))).alias("inside"), F.max(F.when(~F.col(inside), F.col("x"))).alias("outside"))
     odds = lambda c: (1 + F.col(c)) / (1 - F.col(c))
     return m.withColumn("odds_inside", odds("inside")).withColumn("odds_outside", odds("outside")).withColumn("boost", odds("inside") / odds("outside"))
 

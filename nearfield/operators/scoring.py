@@ -12,6 +12,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import wide
 from .stats import quantile
 
 KEY = ("subset", "q")
@@ -151,8 +152,8 @@ def composition(found: DataFrame, ks) -> DataFrame:
     """Per k: mean share of each type among a unit's first k neighbours, and the quartile points of the SS-free share."""
     n = F.col("n_ss") + F.col("n_so") + F.col("n_os") + F.col("n_oo")
     rows = at_k(evidence(found), ks).withColumns({t: F.col(f"n_{t}") / n for t in ("ss", "so", "os", "oo")})
-    q = F.percentile("oo", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9)))
-    return rows.groupBy("k").agg(*(F.avg(t).alias(f"mean_{t}") for t in ("ss", "so", "os", "oo")), q.alias("q")).select("k", "mean_ss", "mean_so", "mean_os", "mean_oo", F.col("q")[0].alias("oo_q25"), F.col("q")[1].alias("oo_q75"), F.col("q")[2].alias("oo_q90"))
+    means = rows.groupBy("k").agg(*(F.avg(t).alias(f"mean_{t}") for t in ("ss", "so", "os", "oo")))
+    return means.join(wide(rows, "oo", {"oo_q25": 0.25, "oo_q75": 0.75, "oo_q90": 0.9}, by=["k"]), "k", "left")
 
 
 def contested(units: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import finite
+from .quantiles import quantiles, wide
 
 
 def rank_first(value: str, tie: str, by=()) -> Column:
@@ -88,6 +89,8 @@ def t_quantile(df: int, level: float = 0.95) -> float:
     return high
 
 
+#: Degrees of freedom up to which the beta function is tabled, and steps of the continued fraction.
+TABLED, STEPS = 200, 200
 #: Degrees of freedom up to which quantiles are exact, and the normal quantile that the series beyond starts from.
 EXACT, Z975 = 60, 1.959963984540054
 
@@ -106,6 +109,69 @@ def _t975(df: Column) -> Column:
     return F.when(df <= EXACT, F.get(exact, (df - 1).cast("int"))).otherwise(out)
 
 
+def _beta_half(df: Column) -> Column:
+    """The beta function of df / 2 and 1 / 2: exact values for small df, beyond them the series of the ratio of gamma functions."""
+    exact = F.array(*(F.lit(math.exp(math.lgamma(n / 2) + math.lgamma(0.5) - math.lgamma((n + 1) / 2))) for n in range(1, TABLED + 1)))
+    i = 2 / df
+    series = F.sqrt(F.lit(math.pi) * i) * (1 + i / 8 + i**2 / 128 - 5 * i**3 / 1024 - 21 * i**4 / 32768)
+    return F.when(df <= TABLED, F.get(exact, (df - 1).cast("int"))).otherwise(series)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, STEPS pairs of terms from the front (Lentz)."""
+    one = F.lit(1.0)
+
+    def add(s: Column, term: Column) -> Column:
+        d = one / (1 + term * s["d"])
+        c = 1 + term / s["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        return F.element_at(F.transform(F.array(add(s, even)), lambda t: add(t, odd)), 1)
+
+    first = one / (1 - (a + b) * x / (a + 1))
+    start = F.struct(one.alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda m: m.cast("double")), start, step, lambda s: s["h"])
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t, as a column: the regularised incomplete beta function."""
+    df, square = df.cast("double"), t * t
+    x, y, half = df / (df + square), square / (df + square), F.lit(0.5)
+    front = F.coalesce(F.exp(df / 2 * F.ln(x) + F.ln(y) / 2) / _beta_half(df), F.lit(0.0))  # the logarithm of zero is null
+    near = 1 - 2 * front * _fraction(half, df / 2, y)
+    return F.when(df >= 1, F.when(x < (df + 2) / (df + 5), 2 * front * _fraction(df / 2, half, x) / df).otherwise(near))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n points; null for fewer than three."""
+    bounded = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    t = bounded * F.sqrt((n - 2) / (1 - bounded * bounded))
+    return F.when(n > 2, F.when(F.abs(bounded) >= 1, 0.0).otherwise(t_tail(t, n - 2)))
+
+
+def correlations(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
+    """spearman, pearson and n as `spearman` gives them, with the p-value of each."""
+    rows = spearman(df, a, b, by)
+    return rows.select(*by, "n", "pearson", correlation_p(F.col("pearson"), F.col("n")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("spearman_p"))
+
+
+def density(df: DataFrame, value: str, by=(), points: int = 64) -> DataFrame:
+    """Gaussian kernel density with Scott's bandwidth, n ** (-1 / 5) sample deviations, at equally spaced points from the least to the greatest finite value: by, at, density.
+    One pass adds up the kernels of all points, which are a bounded number; groups without two different values have none."""
+    good = df.select(*by, finite(F.col(value)).alias("x")).where("x is not null")
+    shape = good.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd")).where("low < high")
+    shape = shape.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    rows = good.join(shape, [*by]) if by else good.crossJoin(F.broadcast(shape))  # one row
+    at = lambda i: F.col("low") + (F.col("high") - F.col("low")) * (i / max(1, points - 1))
+    sums = [F.sum(F.exp(-0.5 * F.pow((at(i) - F.col("x")) / F.col("h"), F.lit(2.0)))).alias(f"k{i}") for i in range(points)]
+    found = rows.groupBy(*by).agg(*sums, *(F.max(c).alias(c) for c in ("low", "high", "n", "h")))
+    each = F.explode(F.array(*(F.struct(at(i).alias("at"), (F.col(f"k{i}") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density")) for i in range(points))))
+    return found.where("n is not null").select(*by, each.alias("p")).select(*by, "p.at", "p.density")
+
+
 def t_interval(df: DataFrame, value: str, by=()) -> DataFrame:
     """Mean and 95 % interval; of a single value only the mean."""
     rows = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
@@ -172,7 +238,7 @@ def interval(reps: DataFrame, value: str, level: float = 0.95, by=()) -> DataFra
 
 
 def bootstrap_median(df: DataFrame, value: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    point = df.agg(F.median(value).alias("point"))
+    point = quantiles(df, value, 0.5).agg(F.max("x").alias("point"))
     return point.crossJoin(interval(weighted_medians(df, draw_table(df, cluster, n, seed), cluster, value), "median", level))  # one row each
 
 
@@ -187,7 +253,8 @@ def bootstrap_delta(df: DataFrame, a: str, b: str, cluster: str, *, n: int = 200
 
     x, y = (weighted_medians(df, taken, cluster, c, by).withColumnRenamed("median", n) for c, n in ((a, "a"), (b, "b")))
     reps = over(x.join(y, ["rep", *by]), ["rep"])
-    point = over(df.groupBy(*by).agg(F.median(a).alias("a"), F.median(b).alias("b")), [])
+    own = [wide(df, c, {n: 0.5}, by=by) for c, n in ((a, "a"), (b, "b"))]
+    point = over(own[0].join(own[1], by, "outer") if by else own[0].crossJoin(own[1]), [])  # one row each without subsets
     return point.withColumnRenamed("delta", "point").crossJoin(interval(reps, "delta", level))  # one row each
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import finite
 from . import knn, scoring, stats
+from .quantiles import wide as wide_quantiles
 
 # --- names, scales and publication ---
 
@@ -116,7 +117,7 @@ def moments(df: DataFrame, value: str, by=()) -> DataFrame:
     x = F.col(value)
     good = df.where(finite(x).isNotNull())
     below = F.when(x < 0, x)
-    middle = good.groupBy(*by).agg(F.median(value).alias("median"))
+    middle = wide_quantiles(good, value, {"median": 0.5}, by=by)
     rows = good.join(F.broadcast(middle), [*by]) if by else good.crossJoin(F.broadcast(middle))  # one row a group
     under = F.when(x < F.col("median"), (x - F.col("median")) ** 2)
     return rows.groupBy(*by).agg(

@@ -460,9 +460,12 @@ def margin_auc(spark, sf_dir):
 @query(f"""WITH {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, c) AS rank FROM p), x AS (SELECT q, rank, row_number() OVER (PARTITION BY q, type ORDER BY rank) AS nth FROM n WHERE type IN ('SO', 'OS'))
 SELECT q, max(rank) AS depth FROM x WHERE nth = {M} GROUP BY q HAVING count(*) = 2""")
 def search_depth(spark, sf_dir):
-    m = base(spark, sf_dir)
-    found = neighbors.ranked(neighbors.pairs(m))
-    return rounded(margin.depths(found, M).select("q", "depth"))
+    return rounded(neighbors.typed_depth(base(spark, sf_dir), M).select("q", "depth"))
+
+
+@query(f"WITH {TYPED.replace('{m}', str(M))} SELECT q, c, type, rank, round(dist, 9) AS dist FROM t")
+def typed_widening(spark, sf_dir):
+    return rounded(neighbors.widening_typed(base(spark, sf_dir), M, start_k=20)[0].select("q", "c", "type", "rank", "dist"))
 
 
 @query(f"""WITH {PAIRED}, t AS (SELECT *, row_number() OVER (PARTITION BY subset, q, type ORDER BY dist, c) AS rank FROM p WHERE type IN ('SO', 'OS')),

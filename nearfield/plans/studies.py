@@ -184,6 +184,27 @@ def ecdf_values(spark, sf_dir):
     return rounded(studies.ecdf(c, "value", ("segment",)).select("segment", "value", "ecdf"))
 
 
+@query("""WITH r AS (SELECT c_nationkey AS nation, c_acctbal AS x, c_custkey::DOUBLE AS y, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2 AS rx, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ry FROM customer),
+c AS (SELECT nation, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r GROUP BY nation),
+a AS (SELECT *, n - 2 AS df, atan(abs(pearson) / sqrt(1 - pearson * pearson)) AS a1, atan(abs(spearman) / sqrt(1 - spearman * spearman)) AS a2 FROM c),
+s AS (SELECT *, list_sum(list_transform(range(0, df // 2), lambda k: coalesce(list_product(list_transform(range(0, k), lambda j: CASE WHEN df % 2 = 1 THEN (2 * j + 2) / (2 * j + 3) ELSE (2 * j + 1) / (2 * j + 2) END * cos(a1) ** 2)), 1))) AS s1,
+  list_sum(list_transform(range(0, df // 2), lambda k: coalesce(list_product(list_transform(range(0, k), lambda j: CASE WHEN df % 2 = 1 THEN (2 * j + 2) / (2 * j + 3) ELSE (2 * j + 1) / (2 * j + 2) END * cos(a2) ** 2)), 1))) AS s2 FROM a)
+SELECT nation::BIGINT AS nation, n, round(pearson, 9) AS pearson, round(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (a1 + sin(a1) * cos(a1) * s1) ELSE sin(a1) * s1 END, 8) AS pearson_p,
+  round(spearman, 9) AS spearman, round(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (a2 + sin(a2) * cos(a2) * s2) ELSE sin(a2) * s2 END, 8) AS spearman_p FROM s""")
+def correlation_tests(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
+    found = stats.correlations(c, "x", "y", ("nation",))
+    return rounded(found.withColumns({p: F.round(p, 8) for p in ("pearson_p", "spearman_p")}))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS segment, min(c_acctbal) AS low, max(c_acctbal) AS high, count(*) AS n, stddev_samp(c_acctbal) * count(*) ** (-0.2::DOUBLE) AS h FROM customer GROUP BY c_mktsegment),
+g AS (SELECT *, low + (high - low) * (i / 63) AS place FROM s, range(64) t(i))
+SELECT segment, round(place, 6) AS "at", round(sum(exp(-0.5 * ((place - c_acctbal) / h) ** 2)) / (n * h * sqrt(2 * pi())), 9) AS density FROM g JOIN customer ON c_mktsegment = segment GROUP BY segment, place, n, h""")
+def density_curve(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("x"))
+    return stats.density(c, "x", ("segment",)).select("segment", F.round("at", 6).alias("at"), F.round("density", 9).alias("density"))
+
+
 @query("""WITH x AS (SELECT c_mktsegment AS segment, (c_acctbal - 2000) / 10000 AS x FROM customer), m AS (SELECT segment, avg(x) AS mu, median(x) AS med, avg(x) FILTER (x < 0) AS mb FROM x GROUP BY segment)
 SELECT segment, round(stddev_pop(x), 6) AS std, round(avg((x - mu) ** 3) / stddev_pop(x) ** 3, 6) AS skew, round(avg((x - mu) ** 4) / var_pop(x) ** 2 - 3, 6) AS kurt, round(avg((x < 0)::INT::DOUBLE), 6) AS frac_below_0,
   round(avg(x * x) FILTER (x < 0), 6) AS semivar_0, round(sqrt(avg(x * x) FILTER (x < 0)), 6) AS semidev_0, round(avg(x ** 3) FILTER (x < 0), 6) AS third_0,

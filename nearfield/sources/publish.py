@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import finite
+from ..operators.quantiles import quantiles
 from .tables import canonical
 
 SIDECAR = "sidecar.json"
@@ -85,7 +86,9 @@ def write_distribution(df: DataFrame, path: str, value: str, alpha: float = 0.1,
     """The defined values of a measure, and a sidecar with their summary."""
     good = df.where(finite(F.col(value)).isNotNull()).select(value)
     publish(good, f"{path}/values")
-    row = good.agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(alpha)).alias("q")).first()
+    n = good.count()
+    found = {r["q"]: r["x"] for r in quantiles(good, value, [0.5, alpha]).collect()}  # two rows at most
+    row = {"n": n, "median": found.get(0.5), "q": found.get(alpha)}
     ltm = good.where(F.col(value) <= F.lit(row["q"])).agg(F.avg(value).alias("m")).first()["m"]
     write_text(df.sparkSession, f"{path}/{SIDECAR}", json.dumps({"measure": value, "alpha": alpha, "n": row["n"], "median": row["median"], "quantile": row["q"], "ltm": ltm} | meta, sort_keys=True))
 

@@ -44,3 +44,95 @@ def test_pruned_search_of_subsets_and_others(spark):
     want = found(neighbors.nearest(queries, 3, against=df).select("subset", "q", "c", "rank"))
     assert found(neighbors.nearest(queries, 3, against=df, pivots=9).select("subset", "q", "c", "rank")) == want
     assert neighbors.nearest(df.limit(0), 3, pivots=9).count() == 0
+
+
+# --- quantiles ---
+
+
+@pytest.mark.parametrize(("small", "cuts"), [(20_000, 128), (150, 16)])
+def test_grouped_quantiles(spark, monkeypatch, small, cuts):
+    from nearfield.operators import quantiles as q
+
+    monkeypatch.setattr(q, "SMALL", small)
+    monkeypatch.setattr(q, "CUTS", cuts)
+    monkeypatch.setattr(q, "ONE_BUFFER", 10)
+    rng = np.random.default_rng(1)
+    n = 3000
+    pdf = pd.DataFrame({"scope": rng.choice(["a", "b", None], n, p=[0.7, 0.2, 0.1]), "kind": rng.choice(["x", "y", "z"], n, p=[0.6, 0.3, 0.1]), "v": np.where(rng.random(n) < 0.3, 0.5, rng.normal(size=n) * 10.0 ** rng.integers(-8, 9, n))})
+    pdf.loc[0, "scope"], pdf.loc[0, "kind"] = "alone", "x"
+    rows = [(s, k, float(v)) for s, k, v in pdf.itertuples(index=False)] + [("b", "y", float("nan")), ("b", "y", float("inf")), ("b", "y", None), ("none", "x", None)]
+    df = spark.createDataFrame(rows, "scope string, kind string, v double")
+    pdf["scope"] = pdf["scope"].astype(object).where(pdf["scope"].notna(), None)
+    for rest in (False, True):
+        got = {(r["scope"], r["kind"], r["q"]): r["x"] for r in q.quantiles(df, "v", [0.1, 0.5, 1.0], by=["scope"], group=["kind"], rest=rest).collect()}
+        want = {}
+        for s in ("a", "b", None, "alone"):
+            whole = pdf[pdf["scope"].isna()] if s is None else pdf[pdf["scope"] == s]
+            for k in set(whole["kind"]):
+                v = whole["v"][(whole["kind"] != k) if rest else (whole["kind"] == k)].to_numpy()
+                want |= {(s, k, p): float(np.quantile(v, p)) for p in (0.1, 0.5, 1.0) if len(v)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_quantiles_of_one_large_group(spark):
+    """A million rows in one group: no task holds them."""
+    from nearfield.operators import quantiles as q
+
+    df = spark.range(1_000_003).select((F.col("id") * 7919 % 1_000_003).cast("double").alias("v"), F.lit("g").alias("k"))
+    got = {r["q"]: r["x"] for r in q.quantiles(df, "v", [0.1, 0.5], by=["k"]).collect()}
+    assert got == {0.1: pytest.approx(100_000.2), 0.5: 500_001.0}
+    assert q.quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+# --- votes, widening, tests, densities ---
+
+
+def test_running_votes(spark):
+    from nearfield.operators import knn
+
+    x, labels, confs = blob(40)
+    df = table(spark, x, [f"l{i % 3}" for i in range(40)], confs)
+    near = neighbors.nearest(df, 7)
+    ks = [1, 2, 3, 5, 7, 50]
+    got = {(r["q"], r["k"]): (r["vote"], r["n_votes"]) for r in knn.votes(near, df, ks).collect()}
+    lists = near.orderBy("q", "rank").toPandas().groupby("q")["c"].apply(list)
+    for q, c in lists.items():
+        for k in ks:
+            first = [int(i) % 3 for i in c[:k]]  # codes are in order of first appearance
+            best = max(set(first), key=lambda v: (first.count(v), -v))
+            assert got[q, k] == (f"l{best}", first.count(best))
+
+
+def test_widening_equals_the_exhaustive_search(spark):
+    from nearfield.operators import margin
+
+    x, labels, confs = blob(90, label=3.0)
+    df = table(spark, x, labels, confs)
+    found, said = neighbors.widening_typed(df, 4, start_k=5, growth=1.5)
+    columns = ("q", "c", "type", "rank")
+    assert {tuple(r) for r in found.select(*columns).collect()} == {tuple(r) for r in neighbors.nearest_typed(df, 4).select(*columns).collect()}
+    depths = {r["q"]: r["depth"] for r in neighbors.typed_depth(df, 4).collect()}
+    assert depths == {r["q"]: r["depth"] for r in margin.depths(neighbors.ranked(neighbors.pairs(df)), 4).collect()}
+    assert said == margin.search_schedule(90, max(depths.values()), 5, 1.5) and said["retries"] > 2
+
+
+def test_p_values(spark):
+    from nearfield.operators import stats
+
+    cases = [(t, df) for t in (0.0, 0.001, 0.5, 2.0, 12.706204736, -30.0) for df in (1, 2, 3, 10, 57, 200, 201, 999)]
+    rows = spark.createDataFrame([(float(t), df) for t, df in cases], "t double, df long")
+    for r in rows.withColumn("p", stats.t_tail(F.col("t"), F.col("df"))).collect():
+        assert r["p"] == pytest.approx(1 - stats.t_probability(abs(r["t"]), r["df"]), abs=1e-9)
+    line = spark.createDataFrame([(float(i), 2.0 * i) for i in range(5)], "a double, b double")
+    assert stats.correlations(line, "a", "b").first()["pearson_p"] == pytest.approx(0.0, abs=1e-9) and stats.correlations(line.limit(2), "a", "b").first()["pearson_p"] is None
+
+
+def test_density(spark):
+    from nearfield.operators import stats
+
+    v = np.random.default_rng(2).normal(size=200)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    got = [(r["at"], r["density"]) for r in stats.density(df, "v", points=16).orderBy("at").collect()]
+    h = v.std(ddof=1) * 200**-0.2
+    want = [(g, np.exp(-0.5 * ((g - v) / h) ** 2).sum() / (200 * h * np.sqrt(2 * np.pi))) for g in np.linspace(v.min(), v.max(), 16)]
+    assert np.allclose(got, want) and stats.density(df.limit(0), "v").count() == 0

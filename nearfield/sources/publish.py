@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import finite
 from ..operators.quantiles import quantiles
+from .shared import stash
 from .tables import canonical
 
 SIDECAR = "sidecar.json"
@@ -28,7 +31,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, under another name first; the rename publishes it."""
     fs, at = _path(spark, path)
-    _, draft = _path(spark, f"{path}.draft")
+    _, draft = _path(spark, f"{path}.{uuid.uuid4().hex}.draft")
     out = fs.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -48,22 +51,70 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Writes beside the place and renames; readers see the whole table or none. An existing table is never replaced."""
+    """Writes beside the place, under a name of its own, and renames; readers see the whole table or none. An existing table is never replaced. Of several writers one
+    wins: the rename is made by whoever creates the claim beside the place, the others' drafts go and they get an error."""
     spark = df.sparkSession
     if exists(spark, path):
         raise ValueError(f"{path} exists")
-    draft = f"{path.rstrip('/')}.draft"
-    df.write.mode("overwrite").parquet(draft)
+    draft, claim = (f"{path.rstrip('/')}.{x}" for x in (f"{uuid.uuid4().hex}.draft", "claim"))
     fs, at = _path(spark, path)
-    if not fs.rename(_path(spark, draft)[1], at):
-        raise OSError(f"{path} can't be published")
+    try:
+        df.write.parquet(draft)
+        if not fs.createNewFile(_path(spark, claim)[1]):
+            raise ValueError(f"{path} is being published by another writer (or one that ended left {claim})")
+        try:
+            if fs.exists(at):
+                raise ValueError(f"{path} exists")
+            if not fs.rename(_path(spark, draft)[1], at):
+                raise OSError(f"{path} can't be published")
+        finally:
+            fs.delete(_path(spark, claim)[1], False)
+    finally:
+        fs.delete(_path(spark, draft)[1], True)  # nothing is there after the rename
+
+
+#: Rows of a part that a digest is made for.
+PART_ROWS = 65_536
+
+
+def part_digests(df: DataFrame) -> DataFrame:
+    """part, rows, digest: the rows by the leading bits of their hash, in as many parts as the number of rows asks for. Depends on the rows alone, not on how they are dealt
+    to tasks. Equal rows are counted before anything is gathered, so a part's digest holds distinct hashes only."""
+    # json alone leaves out nulls and calls NaN by a word that a string may also be: the types are fixed by the schema
+    each = df.select(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    each = stash(each, "hashes")
+    bits = max(0, math.ceil(math.log2(max(each.count(), 1) / PART_ROWS)))
+    part = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits)
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string")))), ",")
+    return each.groupBy(part.alias("part")).agg(F.sum("n").alias("rows"), F.sha2(listed, 256).alias("digest"))
+
+
+def table_digest(parts: DataFrame) -> str:
+    """One digest of all parts, in two steps of a thousand and more each."""
+    listed = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ","), 256)
+    runs = parts.groupBy(F.shiftright("part", 10).alias("run")).agg(listed("part", "digest").alias("digest"))
+    return runs.agg(listed("run", "digest").alias("d")).first()["d"]
 
 
 def write_artifact(df: DataFrame, path: str, **made_from) -> None:
-    """A table and its sidecar, which comes last and so marks completeness. Rows are sorted within files by all columns, so equal inputs give equal tables."""
-    publish(df.sortWithinPartitions(*df.columns), f"{path}/values")
+    """A table, the digests of its parts, and a sidecar, which comes last and so marks completeness. Rows are dealt to files by hash and sorted within them, and the digests
+    depend on the rows alone: equal rows give equal artifacts, however they were dealt before."""
+    spark = df.sparkSession
+    df = stash(df, "artifact")
+    parts = stash(part_digests(df), "parts")
+    n = parts.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    files = max(1, math.ceil(n / (16 * PART_ROWS)))
+    publish(df.repartition(files, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))).sortWithinPartitions(*(F.col(f"`{c}`") for c in df.columns)), f"{path}/values")
+    publish(parts, f"{path}/parts")
     columns = {f.name: f.dataType.simpleString() for f in df.schema}
-    write_text(df.sparkSession, f"{path}/{SIDECAR}", canonical({"made_from": made_from, "columns": columns}))
+    write_text(spark, f"{path}/{SIDECAR}", canonical({"made_from": made_from, "columns": columns, "rows": n, "digest": table_digest(parts)}))
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """The parts whose rows or digest differ from what was published; none for a sound artifact."""
+    told = spark.read.parquet(f"{path}/parts")
+    found = part_digests(spark.read.parquet(f"{path}/values")).select("part", F.col("rows").alias("found_rows"), F.col("digest").alias("found"))
+    return told.join(found, "part", "full").where(~F.col("digest").eqNullSafe(F.col("found")) | ~F.col("rows").eqNullSafe(F.col("found_rows")))
 
 
 def reusable(spark: SparkSession, path: str, **made_from) -> bool:
@@ -77,8 +128,11 @@ def reusable(spark: SparkSession, path: str, **made_from) -> bool:
     wanted = json.loads(canonical(made_from))
     if differ := sorted(k for k in wanted.keys() | found["made_from"].keys() if wanted.get(k) != found["made_from"].get(k)):
         raise ValueError(f"artifact at {path} was made from other inputs: {differ}")
-    if {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{path}/values").schema} != found["columns"]:
+    values = spark.read.parquet(f"{path}/values")
+    if {f.name: f.dataType.simpleString() for f in values.schema} != found["columns"]:
         raise ValueError(f"artifact at {path} has another schema than its sidecar says")
+    if values.count() != found["rows"]:
+        raise ValueError(f"artifact at {path} has another number of rows than its sidecar says")
     return True
 
 

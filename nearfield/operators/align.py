@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import strip
 from ..sources.manifest import IDENTITY, require
+from ..sources.shared import stash
 
 TILE = ("sample_id", "image_path")
 
@@ -17,7 +18,7 @@ def _trimmed(df: DataFrame, keys) -> DataFrame:
 
 def dedupe_sources(df: DataFrame, keys=IDENTITY) -> DataFrame:
     """Distinct keys in order of first appearance: the keys, first_row, source_index."""
-    first = _trimmed(df, keys).groupBy(*keys).agg(F.min("row_id").alias("first_row"))
+    first = stash(_trimmed(df, keys).groupBy(*keys).agg(F.min("row_id").alias("first_row")), "sources")  # read by the range, the counts and the numbering
     return numbered(first, "first_row", keys, "source_index")
 
 
@@ -67,6 +68,23 @@ def expand(manifest: DataFrame, embedded: DataFrame, vector: str = "embedding")
     return many_to_one(_trimmed(manifest, IDENTITY), right, IDENTITY, what="embedded manifest")
 
 
+def expand_checked(manifest: DataFrame, embedded: DataFrame, vector: str = "embedding") -> DataFrame:
+    """As expand, for vectors that all have one width; others are an error that names the widths."""
+    widths = [r["w"] for r in embedded.select(F.size(vector).alias("w")).distinct().orderBy("w").limit(6).collect()]
+    if len(widths) > 1:
+        raise ValueError(f"vectors of several widths: {widths}")
+    return expand(manifest, embedded, vector)
+
+
+def left_to_source(left: DataFrame, source: DataFrame, keys) -> DataFrame:
+    """Left join in which every row finds a partner and none becomes two; keys may be repeated on the left."""
+    found = left.join(source.withColumn("_met", F.lit(True)), [*keys], "left")
+    _reject(found.where("_met is null"), "no partner in the source", keys)
+    if (n := left.count()) != (m := found.count()):
+        raise ValueError(f"{n} rows became {m}: keys are repeated in the source")
+    return found.drop("_met")
+
+
 def missing_keys(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(right, [*keys], "left_anti")
 

@@ -57,3 +57,18 @@ def test_a_claim_stops_others(spark, tmp_path):
     with pytest.raises(ValueError, match="another writer"):
         publish.publish(spark.range(3), f"{tmp_path}/t")
     assert not publish.exists(spark, f"{tmp_path}/t")
+
+
+def test_joins_that_keep_rows(spark):
+    from nearfield.operators import align
+
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    source = spark.createDataFrame([("a", 10), ("b", 20)], "k string, w int")
+    assert sorted(tuple(r) for r in align.left_to_source(left, source, ["k"]).collect()) == [("a", 1, 10), ("a", 2, 10), ("b", 3, 20)]
+    with pytest.raises(ValueError, match="became 5"):
+        align.left_to_source(left, source.unionByName(source.where("k = 'a'")), ["k"])
+    with pytest.raises(ValueError, match="no partner"):
+        align.left_to_source(left, source.where("k = 'a'"), ["k"])
+    uneven = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>")
+    with pytest.raises(ValueError, match="several widths"):
+        align.expand_checked(left, uneven)

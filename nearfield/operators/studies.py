@@ -94,6 +94,22 @@ def adjacent(df: DataFrame, value: str, key: str, by=()) -> DataFrame:
     return rows.where(F.col("lower").isNotNull())
 
 
+def closest_pair(df: DataFrame, value: str, key: str, by=()) -> DataFrame:
+    """The two neighbours along the falling order of a value with the smallest gap, the higher pair among equals: higher, lower, gap. None for fewer than two rows."""
+    rows = adjacent(df, value, key, by).join(df.select(*by, F.col(key).alias("higher"), F.col(value).alias("_at")), [*by, "higher"])
+    best = F.row_number().over(Window.partitionBy(*by).orderBy("gap", F.desc("_at"), "higher"))
+    return rows.withColumn("_n", best).where("_n = 1").drop("_n", "_at")
+
+
+#: Fewest models for which a correlation over models is stated.
+LEAST_MODELS = 8
+
+
+def model_correlations(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
+    """Correlations of two measures over models with their p-values, for groups of at least LEAST_MODELS models that have both."""
+    return stats.correlations(df.where(finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull()), a, b, by).where(F.col("n") >= LEAST_MODELS)
+
+
 def evenly_spaced(df: DataFrame, value: str, key: str, count: int) -> DataFrame:
     """`count` rows at equal distances along the rising order of a value, both ends included."""
     n = df.count()
@@ -183,6 +199,26 @@ def k_sweep(models: dict[str, tuple[DataFrame, DataFrame]], ks) -> DataFrame:
     return rows.crossJoin(F.broadcast(middle))  # one row
 
 
+def tau_values(found: DataFrame, taus, k: int) -> DataFrame:
+    """found: neighbours of several models, each a subset. Per model and tau the margin robustness index at k: model, tau, value. The neighbours are read once: every tau
+    adds two sums to one aggregation, with weights relative to the nearest typed row of the model."""
+    typed = found.where((F.col("rank") <= k) & F.col("type").isin("SO", "OS"))
+    least = typed.groupBy("subset").agg(F.min("dist").alias("least"))
+    rows = typed.join(least, "subset")
+    weight = lambda tau: F.exp((F.col("least") - F.col("dist")) / F.lit(float(tau)))
+    sums = [a for i, tau in enumerate(taus) for a in (F.sum(F.when(F.col("type") == "SO", weight(tau)).otherwise(0.0)).alias(f"s{i}"), F.sum(weight(tau)).alias(f"w{i}"))]
+    each = F.explode(F.array(*(F.struct(F.lit(float(tau)).alias("tau"), (F.col(f"s{i}") / F.col(f"w{i}")).alias("value")) for i, tau in enumerate(taus))))
+    return rows.groupBy(F.col("subset").alias("model")).agg(*sums).select("model", each.alias("t")).select("model", "t.*")
+
+
+def tau_agreement(values: DataFrame) -> DataFrame:
+    """Rank correlation of the models' orders between all pairs of tau: tau, other, rho, n."""
+    a, b = values.alias("a"), values.alias("b")
+    both = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.tau") < F.col("b.tau")))  # models times pairs of tau
+    both = both.select(F.col("a.tau").alias("tau"), F.col("b.tau").alias("other"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
+    return stats.spearman(both, "x", "y", ("tau", "other")).select("tau", "other", F.col("spearman").alias("rho"), "n")
+
+
 def sweep_agreement(swept: DataFrame, value: str) -> DataFrame:
     """Over models the value at each one's own k against that at the median k: correlations, mean and largest change."""
     own = swept.where("k = k_star").select("model", F.col(value).alias("own"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, downstream, knn, margin, neighbors, scoring, stats, studies
+from ..operators import align, downstream, knn, margin, neighbors, quantiles, scoring, stats, studies
 from ..sources import manifest, tables
-from .catalogue import COUNTED, K, KS, NEAR, PAIRED, base, near, query, rounded
+from .catalogue import COUNTED, K, KS, NEAR, PAIRED, PAIRS, base, near, query, rounded
 from .reports import COPIES, NATIONS, PANEL, _draw_sql, customers, panel
 
 # --- indices -------------------------------------------------------------------------------------------------------------------------------------------------
@@ -260,6 +260,42 @@ def adjacent_wins(spark, sf_dir):
     return rounded(pairs.join(wins, (F.col("higher") == F.col("model_a")) & (F.col("lower") == F.col("model_b"))).select("higher", "lower", "p_win"))
 
 
+@query("""WITH m AS (SELECT c_mktsegment AS segment, c_nationkey AS nation, median(c_acctbal) AS med FROM customer GROUP BY ALL),
+p AS (SELECT segment, nation AS higher, med, lead(nation) OVER w AS lower, med - lead(med) OVER w AS gap FROM m WINDOW w AS (PARTITION BY segment ORDER BY med DESC, nation)),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY gap, med DESC, higher) AS place FROM p WHERE lower IS NOT NULL)
+SELECT segment, higher::BIGINT AS higher, lower::BIGINT AS lower, round(gap, 6) AS gap FROM r WHERE place = 1""")
+def closest_pairs(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), "c_acctbal")
+    medians = quantiles.wide(c, "c_acctbal", {"med": 0.5}, by=["segment", "nation"])
+    return six(studies.closest_pair(medians, "med", "nation", ("segment",)).select("segment", "higher", "lower", "gap"))
+
+
+@query("""WITH m AS (SELECT c_mktsegment AS segment, c_nationkey % 5 AS fold, c_nationkey AS nation, avg(c_acctbal) AS a, count(*)::DOUBLE AS b FROM customer GROUP BY ALL),
+w AS (SELECT segment AS cohort, nation, a, b FROM m UNION ALL SELECT segment || fold, nation, a, b FROM m),
+r AS (SELECT cohort, a, b, rank() OVER (PARTITION BY cohort ORDER BY a) + (count(*) OVER (PARTITION BY cohort, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY cohort ORDER BY b) + (count(*) OVER (PARTITION BY cohort, b) - 1) / 2 AS rb FROM w)
+SELECT cohort, count(*) AS n, round(corr(a, b), 9) AS pearson, round(corr(ra, rb), 9) AS spearman FROM r GROUP BY cohort HAVING count(*) >= 8""")
+def model_correlations(spark, sf_dir):
+    """Nations as models: cohorts of five nations are too few and left out."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    m = c.groupBy(F.col("c_mktsegment").alias("cohort"), F.col("c_nationkey").alias("nation")).agg(F.avg("c_acctbal").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
+    both = m.unionByName(m.withColumn("cohort", F.concat("cohort", (F.col("nation") % 5).cast("string"))))
+    return rounded(studies.model_correlations(both, "a", "b", ("cohort",)).select("cohort", "n", "pearson", "spearman"))
+
+
+TAUS = (0.01, 0.05, 0.2, 1.0)
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, c) AS rank FROM p WHERE q % 7 = c % 7),
+t AS (SELECT q % 7 AS model, tau, sum(exp(-dist / tau)) FILTER (type = 'SO') / sum(exp(-dist / tau)) AS v FROM n, (VALUES {", ".join(f"({t}::DOUBLE)" for t in TAUS)}) g(tau) WHERE rank <= {K} AND type IN ('SO', 'OS') GROUP BY ALL),
+r AS (SELECT model, tau, rank() OVER (PARTITION BY tau ORDER BY v) + (count(*) OVER (PARTITION BY tau, v) - 1) / 2 AS r FROM t)
+SELECT a.tau AS tau, b.tau AS other, round(corr(a.r, b.r), 9) + 0.0 AS rho, count(*) AS n FROM r a JOIN r b ON a.model = b.model AND a.tau < b.tau GROUP BY ALL""")
+def tau_agreement(spark, sf_dir):
+    """Seven parts of the table as models: how far the choice of tau changes their order."""
+    parts = base(spark, sf_dir).withColumn("subset", (F.col("row_id") % 7).cast("string"))
+    found = rounded(studies.tau_agreement(studies.tau_values(neighbors.nearest(parts, K), TAUS, K)))
+    return found.withColumn("rho", F.col("rho") + F.lit(0.0))  # no negative zero
+
+
 # --- consistency checks --------------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -37,15 +37,17 @@ def require_support(rows: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame) -> DataFrame:
     """Per m: the median of the subsets' medians, the population deviation of these, and the number of subsets."""
-    each = stash(rows.groupBy("m", "subset").agg(F.count(F.lit(1)).alias("n")).join(wide(rows, "margin", {"median": 0.5}, by=["m", "subset"]), ["m", "subset"], "left"), "medians")
+    rows = stash(rows.select("m", "subset", "margin"), "margins")
+    each = rows.groupBy("m", "subset").agg(F.count(F.lit(1)).alias("n")).join(wide(rows, "margin", {"median": 0.5}, by=["m", "subset"], written=True), ["m", "subset"], "left")
+    each = stash(each, "medians")
     over = each.groupBy("m").agg(F.stddev_pop("median").alias("std"), F.count(F.lit(1)).alias("n_pairs"))
-    return over.join(wide(each, "median", {"value": 0.5}, by=["m"]), "m", "left").select("m", "value", "std", "n_pairs")
+    return over.join(wide(each, "median", {"value": 0.5}, by=["m"], written=True), "m", "left").select("m", "value", "std", "n_pairs")
 
 
 def tail(rows: DataFrame, column: str = "margin", alpha: float = 0.1, by=()) -> DataFrame:
     """The alpha quantile (linear) of the finite values, the mean of those not above it, and how many these are."""
     good = stash(rows.select(*by, finite(F.col(column)).alias("x")).where("x is not null"), "finite")
-    q = wide(good, "x", {"quantile": alpha}, by=by)
+    q = wide(good, "x", {"quantile": alpha}, by=by, written=True)
     joined = good.join(q, [*by]) if by else good.crossJoin(F.broadcast(q))  # one row
     return joined.groupBy(*by).agg(F.max("quantile").alias("quantile"), F.avg(F.when(F.col("x") <= F.col("quantile"), F.col("x"))).alias("lower_tail_mean"), F.count(F.when(F.col("x") <= F.col("quantile"), 1)).alias("n_tail"))
 

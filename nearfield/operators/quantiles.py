@@ -20,12 +20,12 @@ from ..sources.shared import stash
 CUTS, ACCURACY, SMALL, ONE_BUFFER, FEW = 128, 10_000, 20_000, 100_000, 4096
 
 
-def quantiles(df: DataFrame, value: str, qs, *, by=(), group=(), rest: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, value: str, qs, *, by=(), group=(), rest: bool = False, written: bool = False) -> DataFrame:
     """Columns by and group, q, and x: the quantile (linear) of the finite values of each group, or with `rest` of the scope (the rows alike in `by`) without the
-    group. Groups whose values are all null or not finite, and rests without a row, have none."""
+    group. Groups whose values are all null or not finite, and rests without a row, have none. The rows are written first, unless df is `written` or cheap to read again."""
     qs, by, group = [qs] if isinstance(qs, float) else [*qs], [*by], [*group]
     rows = df.select(_key(by).alias("s"), _key(group).alias("g"), finite(F.col(value)).alias("x")).where("x is not null")
-    rows = stash(rows, "values")
+    rows = rows if written else stash(rows, "values")
     if not rest and rows.limit(ONE_BUFFER + 1).count() <= ONE_BUFFER:
         points = F.percentile("x", F.array(*map(F.lit, qs)))
         found = rows.groupBy("s", "g").agg(points.alias("x")).select("s", "g", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), "x")).alias("p")).select("s", "g", "p.q", "p.x")
@@ -34,9 +34,9 @@ def quantiles(df: DataFrame, value: str, qs, *, by=(), group=(), rest: bool = Fa
     return found.select(*(F.col(f"s.k{i}").alias(c) for i, c in enumerate(by)), *(F.col(f"g.k{i}").alias(c) for i, c in enumerate(group)), "q", "x")
 
 
-def wide(df: DataFrame, value: str, names: dict[str, float], *, by=(), group=(), rest: bool = False) -> DataFrame:
+def wide(df: DataFrame, value: str, names: dict[str, float], *, by=(), group=(), rest: bool = False, written: bool = False) -> DataFrame:
     """As quantiles, one row for each group with a column for each q."""
-    found = quantiles(df, value, [*dict.fromkeys(names.values())], by=by, group=group, rest=rest)
+    found = quantiles(df, value, [*dict.fromkeys(names.values())], by=by, group=group, rest=rest, written=written)
     return found.groupBy(*by, *group).agg(*(F.max(F.when(F.col("q") == q, F.col("x"))).alias(n) for n, q in names.items()))
 
 

@@ -32,14 +32,14 @@ def subgroups(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     long = good.withColumn("s", scopes).select("sample_id", "margin", "tail", "s.scope", F.col("s.l").alias("label"), F.col("s.c").alias("confounder"))
     x, key = F.col("margin"), ["scope", "label", "confounder"]
     # labels, confounders and their products are not null: the scopes have one row each
-    q = wide(long, "margin", {"q": alpha, "median": 0.5}, by=["scope"], group=key[1:])
+    q = wide(long, "margin", {"q": alpha, "median": 0.5}, by=["scope"], group=key[1:], written=True)
     own = long.join(q, key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.max("median").alias("median"), F.sum((x < 0).cast("long")).alias("n_negative"), F.sum(x).alias("total"),
         F.sum(F.col("tail").cast("long")).alias("n_tail"), F.avg(F.when(F.col("tail"), x)).alias("tail_mean"), F.coalesce(F.sum(F.when(F.col("tail"), x)), F.lit(0.0)).alias("tail_total"),
         F.max("q").alias("quantile"), F.avg(F.when(x <= F.col("q"), x)).alias("ltm"),
     )
     whole = good.agg(F.sum("margin").alias("W"), F.sum((x < 0).cast("long")).alias("WN"), F.sum(F.when(F.col("tail"), x)).alias("WT"))
-    rest = wide(long, "margin", {"rest_median": 0.5}, by=["scope"], group=key[1:], rest=True)
+    rest = wide(long, "margin", {"rest_median": 0.5}, by=["scope"], group=key[1:], rest=True, written=True)
     out = own.crossJoin(F.broadcast(whole)).join(rest, key, "left")  # whole is one row
     others = F.when(F.lit(n) > F.col("n"), F.lit(n) - F.col("n"))
     rest_tail = F.when(F.lit(tail_size) > F.col("n_tail"), F.lit(tail_size) - F.col("n_tail"))

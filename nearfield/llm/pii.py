@@ -1,28 +1,34 @@
 """Personal data by weak supervision, in DataFrame operations alone.
 
-Candidates are the strict matches of four kinds (email, ip, card, phone) and looser ones of the same kinds. Four labelers vote on each
-candidate: the strict pattern with its checks, a gazetteer (top-level domains, address blocks, issuer prefixes, calling codes), keywords in the
+Candidates are the strict matches of four kinds (email, ip, card, phone), what a strict pattern finds but its check turns down (numbers of card length, addresses with parts
+over 255, short phone numbers), looser forms of the same kinds (written-out addresses, IPv6, numbers without a plus sign), and keys: values that something is set to. Four
+labelers vote on each candidate: the shape with its checks, a gazetteer (top-level domains, address blocks, issuer prefixes, calling codes, key formats), keywords in the
 text before it, and the characters beside it. Expectation-maximisation over the counts of vote patterns (a table of bounded size: kinds times
 patterns) estimates how reliable each labeler is; the posteriors then train the final span classifier, naive Bayes over votes and shape.
 Strict matches always stay, looser ones if the classifier gives them ACCEPT and they touch no strict one.
 
 Patterns are written so that a search takes linear time: a run is only entered at its start or where the last match ended, and is never given back
-where giving back can't help.
+where giving back can't help. Places, contexts and the rewriting are made in blocks, so a text costs about its length, whatever it holds.
 
 Defined results: null texts count as empty and have no spans. Positions are code points, ends exclusive. Repeated rows are judged row by row.
-Without any candidate nothing is estimated. Spans of one kind never overlap; of different kinds they may.
+Without any candidate nothing is estimated. Spans of one kind and one pattern never overlap; others may. A labeler's context ends at the match before.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stash, text_or_empty
+from .spans import in_blocks, let, matches, touched
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds with a strict pattern, then the one without.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "key")
 LOCAL = r"[A-Za-z0-9._%+-]"
 STRICT = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,17 +39,20 @@ STRICT = {
 #: What a kind can't be without; the search is skipped where it is missing.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LOOSE = {
-    "email": rf"(?<!{LOCAL}){LOCAL}++ ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{{dot\}}) ?[A-Za-z0-9-]++)++",
+    "email": rf"(?<!{LOCAL}){LOCAL}++ ?(?:\[at\]|\(at\)|\{{at\}}| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{{dot\}}| dot ) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])",
+    "key": r"""(?<=[:=] ?["']?)(?<![A-Za-z0-9+/_-])(?!//)[A-Za-z0-9+/_-]{8,}+""",
 }
+#: What a looser form can't be without: a cheap search before the dear one.
+LOOSE_NEEDS = {"email": r"[\[({ ]at[\])} ]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "phone": r"[0-9][) ./-]{1,2}[0-9]{2}", "key": r"""[:=] ?["']?[A-Za-z0-9+_-]"""}
 #: Gazetteers, as patterns over the span.
 LISTED = {
     "email": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at|us|ca|au|br|jp|test|example|invalid)$",
     "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-1][0-9]|22[0-3])\.|:",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?[2-9]",
+    "key": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|gh[pousr]_.+|xox[abprs]-.+|[rs]k_live_.+|sk-.+|AIza.+|AKIA.+|eyJ.+)$",
 }
 #: Words of the four languages that announce each kind.
 NEAR = {
@@ -51,6 +60,7 @@ NEAR = {
     "ip": r"(?i)\bip\b|host|server|address|adress|login|serveur|servidor|from",
     "card": r"(?i)card|visa|credit|karte|carte|tarjeta|pay|master",
     "phone": r"(?i)phone|tel|call|fax|mobil|ruf|appel|llam|contact",
+    "key": r"(?i)pass|pwd|token|secret|secreto|key|auth|account|konto|clave|compte|login",
 }
 WINDOW = 40
 ROUNDS = 8
@@ -58,37 +68,59 @@ ACCEPT = 0.9
 VOTES = ("strict", "listed", "near", "apart")
 
 
-def _matches(text: Column, pattern: str, kind: int, loose: bool) -> Column:
-    """array<struct<start, kind, end, span, loose>> from the matches and what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,span:string,loose:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gaps"])
-        end = begin + F.char_length(x["found"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("span"), F.lit(loose).alias("loose"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
-
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gaps"), found.alias("found"))
-    need = NEEDS[KINDS[kind]] if not loose else None
-    has = F.rlike(text, F.lit(pattern)) if need is None else F.contains(text, F.lit(need)) & F.rlike(text, F.lit(pattern))
-    return F.when(has, F.aggregate(zipped, start, step)["out"]).otherwise(start["out"])
+def _digits(span: Column) -> Column:
+    return F.char_length(F.regexp_replace(span, "[^0-9]", ""))
 
 
 def _checked(kind: str, span: Column) -> Column:
+    """What the strict patterns ask for beyond their form."""
     if kind == "ip":
         return F.forall(F.split(span, r"\."), lambda p: p.cast("double") <= 255)
     if kind == "card":
         digits = F.regexp_replace(span, "[ -]", "")
         return F.char_length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
-        return F.char_length(F.regexp_replace(span, "[^0-9]", "")).between(9, 15)
+        return _digits(span).between(9, 15)
     return F.lit(True)
 
 
-def _checker(kind: str):
-    return lambda x: _checked(kind, x["span"])
+def _close(kind: str, span: Column) -> Column:
+    """Matches that fail their check but may be meant all the same."""
+    if kind == "ip":
+        return F.char_length(span) <= 15
+    if kind == "card":
+        return _digits(span).between(12, 19)
+    return _digits(span).between(7, 15) if kind == "phone" else F.lit(False)
+
+
+def _shaped(kind: str, span: Column) -> Column:
+    """The shape labeler's vote on a looser form."""
+    if kind == "email":
+        return F.rlike(span, F.lit(r"[A-Za-z]{2,}$"))
+    if kind == "phone":
+        return _digits(span).between(9, 15)
+    if kind == "key":
+        return (F.char_length(span) >= 16) & F.rlike(span, F.lit("[0-9]")) & F.rlike(span, F.lit("[A-Za-z]"))
+    return F.lit(kind == "ip")
+
+
+def _strict(text: Column, kind: str, number: int) -> Column:
+    """Matches of a strict pattern, with whether they pass their check; those that are not even close are left out."""
+    need = NEEDS[kind]
+    found = matches(text, STRICT[kind], has=None if need is None else F.contains(text, F.lit(need)), context=WINDOW)
+    judged = F.transform(found, lambda x: let(_checked(kind, x["value"]), lambda ok: _candidate(x, number, ~ok, ok)))
+    return F.filter(judged, lambda x: ~x["loose"] | _close(kind, x["span"]))
+
+
+def _loose(text: Column, kind: str, number: int) -> Column:
+    found = matches(text, LOOSE[kind], has=F.rlike(text, F.lit(LOOSE_NEEDS[kind])), context=WINDOW)
+    judged = F.transform(found, lambda x: _candidate(x, number, F.lit(True), _shaped(kind, x["value"])))
+    return F.filter(judged, lambda x: _close(kind, x["span"])) if kind == "phone" else judged
+
+
+def _candidate(x: Column, number: int, loose: Column, shaped: Column) -> Column:
+    plain = (x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), x["value"].alias("span"))
+    return F.struct(*plain, loose.alias("loose"), shaped.cast("int").alias("strict"), x["before"].alias("before"), x["after"].alias("after"))
 
 
 def of_kind(kind: int):
@@ -105,33 +137,35 @@ def _by_kind(kind: Column, make) -> Column:
 def with_candidates(docs: DataFrame, *, text_col: str = "text", out: str = "pii_candidates") -> DataFrame:
     """Adds an array of candidates with their votes: start, kind, end, strict, listed, near, apart, long, loose; in order of start, then kind."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    tmp = {f"{out}_strict": F.concat(*(F.filter(_matches(text, STRICT[k], i, False), _checker(k)) for i, k in enumerate(KINDS)))}
-    tmp[f"{out}_loose"] = F.concat(*(_matches(text, LOOSE[k], i, True) for i, k in enumerate(KINDS)))
-    base = F.col(f"{out}_strict")
-    free = F.filter(F.col(f"{out}_loose"), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    tmp = {f"{out}_strict_{k}": _strict(text, k, i) for i, k in enumerate(BASE)}
+    tmp[f"{out}_loose"] = F.concat(*(_loose(text, k, KINDS.index(k)) for k in LOOSE))
+    joined = docs.withColumns(tmp)
+    base = {k: f"{out}_base_{k}" for k in BASE}
+    joined = joined.withColumns({base[k]: F.filter(f"{out}_strict_{k}", lambda x: ~x["loose"]) for k in BASE})
+    close = F.concat(F.col(f"{out}_loose"), *(F.filter(f"{out}_strict_{k}", lambda x: x["loose"]) for k in BASE))
+    free = F.filter(close, lambda x: ~reduce(or_, (touched(x, F.col(c)) for c in base.values())))
 
     def judged(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW)))
-        beside = F.concat(F.substring(text, x["start"], F.when(x["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(1)))
+        beside = F.concat(F.right(x["before"], F.lit(1)), F.lit(" "), x["after"])
         return F.struct(
             x["start"].alias("start"),
             x["kind"].alias("kind"),
             x["end"].alias("end"),
-            F.when(x["loose"], 0).otherwise(1).alias("strict"),
+            x["strict"].alias("strict"),
             _by_kind(x["kind"], lambda k: F.rlike(x["span"], F.lit(LISTED[k]))).cast("int").alias("listed"),
-            F.when(_by_kind(x["kind"], lambda k: F.rlike(before, F.lit(NEAR[k]))), 1).otherwise(2).alias("near"),
+            F.when(_by_kind(x["kind"], lambda k: F.rlike(x["before"], F.lit(NEAR[k]))), 1).otherwise(2).alias("near"),
             (~F.rlike(beside, F.lit(r"[\p{L}\p{N}@]"))).cast("int").alias("apart"),
             F.least(F.floor((x["end"] - x["start"]) / 4), F.lit(8)).cast("int").alias("long"),
             x["loose"].alias("loose"),
         )
 
-    joined = docs.withColumns(tmp)
-    return joined.withColumn(out, F.array_sort(F.transform(F.concat(base, free), judged))).drop(*tmp)
+    kept = F.concat(*(F.col(c) for c in base.values()), free)
+    return joined.withColumn(out, F.array_sort(F.transform(kept, judged))).drop(*tmp, *base.values())
 
 
 def estimate(candidates: DataFrame, *, column: str = "pii_candidates", rounds: int = ROUNDS) -> dict:
     """Reliabilities by expectation-maximisation and the span classifier's log odds. candidates may be large; all that is collected are a
-    few numbers for each of the four kinds and for each value of five features."""
+    few numbers for each of the five kinds and for each value of five features."""
     one = candidates.select(F.explode(column).alias("c")).select("c.*")
     patterns = stash(one.groupBy("kind", *VOTES, "long").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
     params = {k: (0.5, {v: (0.7, 0.3) for v in VOTES}) for k in range(len(KINDS))}
@@ -143,7 +177,7 @@ def estimate(candidates: DataFrame, *, column: str = "pii_candidates", rounds: i
         for v in VOTES:
             for y, w in ((1, w1), (0, w0)):
                 sums += [F.sum(F.when(F.col(v) == 1, w)).alias(f"{v}_{y}_pos"), F.sum(F.when(F.col(v) < 2, w)).alias(f"{v}_{y}_all")]
-        rows = patterns.withColumn("p", post).groupBy("kind").agg(*sums).collect()  # four rows at most
+        rows = patterns.withColumn("p", post).groupBy("kind").agg(*sums).collect()  # five rows at most
         for r in rows:
             share = lambda v, y, r=r: ((r[f"{v}_{y}_pos"] or 0) + (0.7 if y else 0.3) * 4) / ((r[f"{v}_{y}_all"] or 0) + 4)
             params[r["kind"]] = ((r["y1"] + 2) / (r["y1"] + r["y0"] + 4), {v: (share(v, 1), share(v, 0)) for v in VOTES})
@@ -207,10 +241,24 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
-    def step(acc: Column, c: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), F.get(names, c["kind"]))
-        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(c["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    # in blocks of spans: the text is cut once for each block, and spans are replaced within a block's own piece
+    none = F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<struct<at:int,upto:int,spans:{marked.schema[held].dataType.simpleString()}>>").alias("out"))
+
+    def block(acc: Column, spans: Column) -> Column:
+        upto = F.greatest(acc["upto"], F.array_max(F.transform(spans, lambda c: c["end"])))
+        return F.struct(upto.alias("upto"), F.array_append(acc["out"], F.struct(acc["upto"].alias("at"), upto.alias("upto"), spans.alias("spans"))).alias("out"))
+
+    def rewritten(b: Column, piece: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            new = F.concat(acc["out"], F.substring(piece, acc["at"] - b["at"] + 1, c["start"] - acc["at"]), F.get(names, c["kind"]))
+            return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(c["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(b["spans"], F.struct(b["at"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def joined(done: Column) -> Column:
+        pieces = F.transform(done["out"], lambda b: let(F.substring(text, b["at"] + 1, b["upto"] - b["at"]), lambda piece: rewritten(b, piece)))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, done["upto"] + 1, F.char_length(text)))
 
     marked = marked.withColumn(held, accepted(F.col(held), model))
-    whole = F.aggregate(F.col(held), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    whole = let(F.aggregate(in_blocks(F.col(held)), none, block), joined)
     return marked.withColumn(text_col, F.when(F.size(held) > 0, whole).otherwise(F.col(f"`{text_col}`"))).drop(held)

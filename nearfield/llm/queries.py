@@ -53,7 +53,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     base = F.filter("candidates", lambda c: ~c["loose"])
-    count = {f"n_{k}": F.size(F.filter(base, pii.of_kind(i))).cast("long") for i, k in enumerate(pii.KINDS)}
+    count = {f"n_{k}": F.size(F.filter(base, pii.of_kind(i))).cast("long") for i, k in enumerate(pii.BASE)}
     return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 

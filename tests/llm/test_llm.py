@@ -300,14 +300,68 @@ def test_pii(spark, odd, none):
     assert pii.redact(odd[0]).count() == 12 and pii.find(none).count() == 0
 
 
+def test_pii_adds_and_refuses(spark):
+    """Looser spans are judged: keys that look like keys come in, words after a colon stay out, and so do numbers that fail their check without a word for them."""
+    r = random.Random(9)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    texts = [f'the {prose(i, 20)} token = "{"".join(r.choices("0123456789abcdef", k=40))}" {prose(i, 5)}' for i in range(40)]
+    texts += [f"{prose(i, 9)} note: {prose(i, 1)}somewhere {prose(i, 8)}" for i in range(60)]
+    texts += [f"{prose(i, 4)} call +1 ({r.randint(200, 999)}) 555-{digits(4)} {prose(i, 4)}" for i in range(40)]
+    texts += [f"please call ({r.randint(200, 999)}) 555-{digits(4)} now" for i in range(20)]
+    texts += [f"x{digits(3)}-{digits(4)}y part 0{digits(2)} {digits(4)} {prose(i, 3)}" for i in range(30)]
+    rows = pii.find(table(spark, texts)).orderBy("doc_id").select(pii.listed(F.filter("candidates", lambda c: c["loose"])).alias("loose"), pii.listed(F.col("found")).alias("found")).collect()
+    for n, (text, row) in enumerate(zip(texts, rows, strict=True)):
+        if n < 40:
+            at = text.index('"') + 1
+            assert f"key:{at}:{at + 40}" in row["found"].split(",")
+        elif n < 100:
+            assert row["loose"] and not row["found"]
+        elif 140 <= n < 160:
+            assert row["found"] == "phone:12:26"
+        elif n >= 160:
+            assert not row["found"]
+
+
+def test_spans_touch(spark):
+    from nearfield.llm import spans
+
+    r = random.Random(1)
+    rows = []
+    for _ in range(300):
+        cuts = sorted(r.sample(range(40), 2 * r.randint(0, 6)))
+        a = r.randint(0, 40)
+        rows.append((([(a, a + r.randint(1, 8))]), [(x, y) for x, y in zip(cuts[::2], cuts[1::2], strict=True)]))
+    df = spark.createDataFrame(rows, "one array<struct<start:int,end:int>>, others array<struct<start:int,end:int>>")
+    got = df.select("one", "others", F.transform("one", lambda x: spans.touched(x, F.col("others")))[0].alias("t")).collect()
+    for row in got:
+        (a, b), = row["one"]
+        assert row["t"] == any(s < b and a < e for s, e in row["others"])
+
+
+def test_pii_of_one_very_long_text(spark):
+    """Linear in the text: a hundred thousand numbers, and addresses with phone numbers."""
+    import time
+
+    r = random.Random(3)
+    numbers = " ".join(f"{r.randint(0, 10**8)}x" for _ in range(100_000))
+    people = " ".join(f"{prose(0, 1)} u{i}@mail{i % 7}.example.com +1 ({200 + i % 700}) 555-{i % 10_000:04d}" for i in range(20_000))
+    texts = [numbers, people]
+    began = time.time()
+    rows = pii.find(table(spark, texts)).select("doc_id", pii.listed(F.filter("candidates", lambda c: ~c["loose"])).alias("base")).collect()
+    assert time.time() - began < 60
+    assert all(row["base"] == base_spans(texts[row["doc_id"]]) for row in rows)
+    clean = {row["doc_id"]: row["text"] for row in pii.redact(table(spark, texts)).collect()}
+    assert clean[1].count("[EMAIL]") == 20_000 and clean[1].count("[PHONE]") == 20_000 and "@" not in clean[1] and time.time() - began < 120
+
+
 def test_estimation_equals_plain_python(spark):
     """Expectation-maximisation over candidates, one by one, and naive Bayes with its posteriors."""
     r = random.Random(5)
-    pieces = ["mail a@b.com", "x@y.zz", "joe [at] foo [dot] com", "call +1 499 555 6503", "(212) 555-1234", "212-555-1234", "id 4111 1111 1111 1111", "5500-0000-0000-0005", "1.2.3.4", "host 300.1.1.1", "a:b", "fe80:0:0:0:1:2:3:4", "word"]
+    pieces = ["mail a@b.com", "x@y.zz", "joe [at] foo [dot] com", "call +1 499 555 6503", "(212) 555-1234", "212-555-1234", "id 4111 1111 1111 1111", "5500-0000-0000-0005", "1.2.3.4", "host 300.1.1.1", "a:b", "fe80:0:0:0:1:2:3:4", "word", "token = 4f9a0b1c2d3e4f5a6b7c8d9e0f1a2b3c", "note: somewhere", "key=abcdefgh12345678"]
     found = pii.with_candidates(table(spark, [" ".join(r.choices(pieces, k=6)) for _ in range(80)]), out="c_").select("c_")
     model = pii.estimate(found, column="c_")
     rows = [c.asDict() for x in found.collect() for c in x["c_"]]
-    for kind in range(4):
+    for kind in range(len(pii.KINDS)):
         own = [c for c in rows if c["kind"] == kind]
         prior, rates = 0.5, {v: (0.7, 0.3) for v in pii.VOTES}
 

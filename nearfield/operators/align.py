@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import strip
-from ..sources.manifest import IDENTITY, require
+from ..sources.manifest import IDENTITY, expand_2x2, require, resolve
 from ..sources.shared import stash
 
 TILE = ("sample_id", "image_path")
@@ -85,6 +85,27 @@ def left_to_source(left: DataFrame, source: DataFrame, keys) -> DataFrame:
     return found.drop("_met")
 
 
+#: What becomes of the subset of the metadata: kept, replaced by all complete 2x2 subsets, or kept as the split of a downstream study.
+SUBSET_MODES = ("passthrough", "expand", "split")
+
+
+def with_metadata(metadata: DataFrame, source: DataFrame, mode: str, keys=("slide_id", "patch_id")) -> DataFrame:
+    """A manifest from metadata (label, confounder, subset) and the source's sample_id and image_path. Keys are trimmed; every row of the metadata must find its source. The
+    first key is the independence group."""
+    if mode not in SUBSET_MODES:
+        raise ValueError(f"the mode must be one of {SUBSET_MODES}")
+    require(metadata, keys, "metadata")
+    require(source, (*keys, *TILE), "source")
+    left, right = _trimmed(metadata, keys), _trimmed(source, keys).select(*keys, *TILE)
+    if n := missing_keys(left, right, [*keys]).count():
+        raise ValueError(f"{n} of {left.count()} metadata rows have no partner in the source")
+    label, confounder = resolve(metadata, ("biological_class", "label")), resolve(metadata, ("confounder", "medical_center", "center"))
+    subset = {"passthrough": [F.col("subset").cast("string").alias("subset")], "expand": [], "split": [F.col("subset").cast("string").alias("apd_split")]}[mode]
+    plain = left.drop(*(c for c in TILE if c in left.columns))
+    rows = plain.join(right, [*keys]).select(*TILE, F.col(label).alias("label"), F.col(confounder).alias("confounder"), F.col(keys[0]).alias("group_id"), *subset)
+    return expand_2x2(rows) if mode == "expand" else rows
+
+
 def missing_keys(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(right, [*keys], "left_anti")
 

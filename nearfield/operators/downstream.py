@@ -1,19 +1,22 @@
 """Probes on training sets that grow more confounded from split to split, and the summaries of their accuracies.
 
-Schedules are tables; replicate orders are drawn on the driver with CPython's generator (a replicate starts from the order that the one before left) and go to Spark
-as a table of positions; every split of every replicate is fitted as a task of its own.
+Schedules are tables; replicate orders are drawn in a task with CPython's generator (a replicate starts from the order that the one before left) from the cells' sizes alone,
+and written from there as a table of places, which meets the rows in joins; every split of every replicate is fitted as a task of its own.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from array import array
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
+
 #: Splits, centres, classes, balanced load, step and most slides a cell of each two-sided schedule.
 TWO_SIDED = {
     "camelyon": (8, 2, 7, 1, 14),
@@ -55,23 +58,74 @@ def replicate_seeds(seed: int, n: int) -> list[int]:
     return random.Random(seed).sample(range(10_000), n)
 
 
-def arrangements(cells: dict[tuple[int, int], list[int]], rows_per_slide: int, seeds: list[int], arrange=None) -> pd.DataFrame:
-    """iter, i, j, pos, row_id. arrange(slides by cell, generator) returns the same slides in another order; by default each cell is shuffled."""
-    slides = {c: [rows[at : at + rows_per_slide] for at in range(0, len(rows), rows_per_slide)] for c, rows in sorted(cells.items())}
-    out = []
-    for n, seed in enumerate(seeds):
-        rng = random.Random(seed)
-        if arrange is None:
-            for own in slides.values():
-                rng.shuffle(own)
-        else:
-            before = {c: sorted(map(tuple, own)) for c, own in slides.items()}
-            slides = arrange(slides, rng)
-            if before != {c: sorted(map(tuple, own)) for c, own in slides.items()}:
-                raise ValueError("an arrangement must return the same slides")
-        for (i, j), own in slides.items():
-            out += [(n, i, j, pos, row) for pos, row in enumerate(r for slide in own for r in slide)]
-    return pd.DataFrame(out, columns=["iter", "i", "j", "pos", "row_id"])
+#: Rows of a batch of the order table.
+ORDER_ROWS = 65_536
+
+
+def arrangements(spark: SparkSession, sizes: dict[tuple[int, int], int], rows_per_slide: int, seeds: list[int], arrange=None) -> DataFrame:
+    """iter, i, j, pos, place: at each position of a cell in a replicate, the place of a row among the ids of its cell. Slides are runs of places, named by their number in the
+    cell. arrange(slides by cell, generator) returns the same slides in another order; by default each cell is shuffled.
+
+    The table is written. A chain of replicates is one task, as each starts where the one before ended; what it holds is one integer a slide, and rows leave it in batches."""
+    cells = sorted(sizes.items())
+
+    def chain(batches):
+        for batch in batches:
+            slides = {c: array("q", range(-(-n // rows_per_slide))) if arrange is None else [*range(-(-n // rows_per_slide))] for c, n in cells}
+            for n in range(len(seeds) if len(batch) else 0):
+                rng = random.Random(seeds[n])
+                if arrange is None:
+                    for own in slides.values():
+                        rng.shuffle(own)
+                else:
+                    slides = arrange(slides, rng)
+                    if set(slides) != set(sizes) or any(sorted(own) != [*range(-(-sizes[c] // rows_per_slide))] for c, own in slides.items()):
+                        raise ValueError("an arrangement must return the same slides")
+                for (i, j), own in slides.items():
+                    pos, step = 0, max(1, ORDER_ROWS // rows_per_slide)
+                    for at in range(0, len(own), step):
+                        places = (np.asarray(own[at : at + step])[:, None] * rows_per_slide + np.arange(rows_per_slide)).ravel()
+                        places = places[places < sizes[i, j]]  # the last slide may be shorter
+                        yield pd.DataFrame({"iter": n, "i": i, "j": j, "pos": np.arange(pos, pos + len(places)), "place": places})
+                        pos += len(places)
+
+    return stash(spark.range(1).coalesce(1).mapInPandas(chain, "iter int, i int, j int, pos long, place long"), "orders")
+
+
+def case_arrangement(cases: dict[tuple[int, int], list], held_out: dict[int, list[list]]):
+    """An arrangement for slides of cases that span classes: a replicate draws one of the feasible sets of held-out cases for each confounder, and moves one slide of each
+    of these cases to the back of every cell, where the held-out rows come from. cases: by cell the case of each slide; held_out: by confounder the feasible sets. All draws
+    come before the shuffles; cases move in order of their names."""
+
+    def arrange(slides, rng):
+        drawn = {i: rng.randrange(len(sets)) for i, sets in sorted(held_out.items())}
+        out = {}
+        for cell, own in sorted(slides.items()):
+            own = [*own]
+            rng.shuffle(own)
+            for case in sorted({cases[cell][x] for x in own}.intersection(held_out[cell[0]][drawn[cell[0]]])):
+                own.append(own.pop(next(at for at, x in enumerate(own) if cases[cell][x] == case)))
+            out[cell] = own
+        return out
+
+    return arrange
+
+
+def read_case_splits(spark: SparkSession, path: str, confounders: list[str]) -> dict[int, list[list[str]]]:
+    """A JSON object with feasible sets of cases: {"train": {confounder: [[case, ...], ...]}, "test": {...}}. The held-out sets by the index of their confounder; training and
+    held-out sets must pair up and share no case."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "train map<string,array<array<string>>>, test map<string,array<array<string>>>").alias("s")).select("s.*").first()
+    if raw is None or not raw["train"] or not raw["test"]:
+        raise ValueError(f"{path} has no case splits")
+    out = {}
+    for i, name in enumerate(confounders):
+        train, test = raw["train"].get(name), raw["test"].get(name)
+        if not train or not test or len(train) != len(test):
+            raise ValueError(f"no paired case splits for {name}")
+        if any(set(a) & set(b) for a, b in zip(train, test, strict=True)):
+            raise ValueError(f"cases of {name} are both trained on and held out")
+        out[i] = test
+    return out
 
 
 def slices(order: DataFrame, plan: DataFrame, rows_per_slide: int = 1, validation: float | None = None) -> DataFrame:
@@ -82,7 +136,7 @@ def slices(order: DataFrame, plan: DataFrame, rows_per_slide: int = 1, validatio
     role = F.when(F.col("pos") < F.col("take"), "train").when(F.col("pos") < F.col("take") + reserve, "validation")
     rows = order.join(F.broadcast(plan), ["i", "j"])  # splits times cells
     held = rows.where(F.col("pos") >= first).withColumn("role", F.lit("held_out"))
-    return rows.withColumn("role", role).where("role is not null").unionByName(held).select("split", "iter", "i", "j", "pos", "row_id", "role")
+    return rows.withColumn("role", role).where("role is not null").unionByName(held).select("split", *order.columns, "role")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, classes: int, c: float, rounds: int = 100) -> np.ndarray:
@@ -208,11 +262,9 @@ def _probes(rows: DataFrame, plan: DataFrame, rows_per_slide: int, iterations: i
     spark = rows.sparkSession
     sizes = _checked_cells(rows, plan, rows_per_slide, validation)
     place = Window.partitionBy("i", "j").orderBy("row_id")
-    cells: dict[tuple[int, int], list[int]] = {}
-    for r in rows.withColumn("pos", F.row_number().over(place)).select("i", "j", "pos", "row_id").orderBy("i", "j", "pos").collect():  # ids of one study's cells
-        cells.setdefault((r["i"], r["j"]), []).append(r["row_id"])
-    order = spark.createDataFrame(arrangements(cells, rows_per_slide, replicate_seeds(seed, iterations), arrange))
-    roles = slices(order, plan, rows_per_slide, validation).join(rows.select("row_id", "features"), "row_id")
+    known = rows.withColumn("place", (F.row_number().over(place) - 1).cast("long")).select("i", "j", "place", "features")
+    order = arrangements(spark, sizes, rows_per_slide, replicate_seeds(seed, iterations), arrange)
+    roles = slices(order, plan, rows_per_slide, validation).join(known, ["i", "j", "place"])
     classes = 1 + max(j for _, j in sizes)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:

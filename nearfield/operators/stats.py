@@ -1,6 +1,7 @@
 """Ranks, correlations, frontiers, histograms and seeded resampling.
 
-Draws come from numpy's generators on the driver (a bounded number of clusters and replicates is a parameter of the study) and go to Spark as a table.
+Draws come from numpy's generators: those of bootstraps on the driver (a bounded number of clusters and replicates is a parameter of the study), those from cells in a task.
+They go to Spark as a table.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ import math
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import finite
+from ..sources.shared import stash
 from .quantiles import quantiles, wide
 
 
@@ -314,32 +317,48 @@ def placed(df: DataFrame, key: str, by) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
 
 
-def _picked(df: DataFrame, key: str, by: list[str], picks: list[tuple]) -> DataFrame:
-    """picks: the cell's values and a place. A bounded table: places that a study draws."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    chosen = df.sparkSession.createDataFrame(picks, f"{fields}, place int")
-    return placed(df, key, by).join(F.broadcast(chosen), [*by, "place"]).drop("place")
+def _cell_values(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+
+
+def _drawn(df: DataFrame, by: list[str], cells: list[tuple], seed: int, draw) -> DataFrame:
+    """cells: values, size and wanted rows of each, in the order in which one generator serves them; draw(generator, size, wanted) gives places. The draws are made in one task,
+    which holds one cell's permutation at a time, and written from there as a table of places."""
+    fields = [f.name for f in df.select(*by).schema]
+
+    def run(batches):
+        for batch in batches:
+            rng = np.random.default_rng(seed)
+            for *cell, size, n in cells if len(batch) else ():
+                places = draw(rng, size, n)
+                for at in range(0, len(places), 65_536):
+                    part = places[at : at + 65_536]
+                    yield pd.DataFrame({f: [v] * len(part) for f, v in zip(fields, cell, strict=True)} | {"place": np.asarray(part, np.int64)})
+
+    return stash(df.sparkSession.range(1).coalesce(1).mapInPandas(run, f"{_cell_values(df, by)}, place long"), "draws")
+
+
+def _picked(df: DataFrame, key: str, by: list[str], chosen: DataFrame) -> DataFrame:
+    """chosen: the cell's values and a place."""
+    return placed(df, key, by).join(chosen, [*by, "place"]).drop("place")
 
 
 def seeded_draw(df: DataFrame, key: str, cells: list[tuple], by: list[str], seed: int) -> DataFrame:
     """For each (cell values, n) in turn n rows: the first of a permutation of the cell in order of the key. One generator serves all cells, so their order counts. Only
-    the cells' sizes come to the driver."""
+    the cells' sizes come to the driver; permutations are made in a task."""
     sizes = {tuple(r[c] for c in by): r["n"] for r in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
-    rng, picks = np.random.default_rng(seed), []
     for *cell, n in cells:
-        size = sizes.get(tuple(cell), 0)
-        if size < n:
-            raise ValueError(f"cell {tuple(cell)} has {size} rows, fewer than {n}")
-        picks += [(*cell, int(i)) for i in rng.permutation(size)[:n]]
-    return _picked(df, key, by, picks)
+        if sizes.get(tuple(cell), 0) < n:
+            raise ValueError(f"cell {tuple(cell)} has {sizes.get(tuple(cell), 0)} rows, fewer than {n}")
+    found = [(*cell, sizes.get(tuple(cell), 0), n) for *cell, n in cells]
+    return _picked(df, key, by, _drawn(df, by, found, seed, lambda rng, size, n: rng.permutation(size)[:n]))
 
 
 def stratified_keep(df: DataFrame, key: str, n: int, by: str, seed: int) -> DataFrame:
-    """n rows in proportion to the strata (largest remainder), drawn without replacement in order of the strata with one generator."""
-    rng, picks = np.random.default_rng(seed), []
-    for r in sorted(stratified_quota(df, n, by).collect(), key=lambda r: r[by]):  # one row a stratum
-        picks += [(r[by], int(i)) for i in rng.choice(r["size"], size=int(r["quota"]), replace=False)]
-    return _picked(df, key, [by], picks)
+    """n rows in proportion to the strata (largest remainder), drawn without replacement in order of the strata with one generator, in a task."""
+    quota = sorted(stratified_quota(df, n, by).collect(), key=lambda r: r[by])  # one row a stratum
+    cells = [(r[by], r["size"], int(r["quota"])) for r in quota]
+    return _picked(df, key, [by], _drawn(df, [by], cells, seed, lambda rng, size, n: rng.choice(size, size=n, replace=False)))
 
 
 def cell_pick(df: DataFrame, key: str, seed: int, by: list[str]) -> DataFrame:
@@ -351,4 +370,4 @@ def cell_pick(df: DataFrame, key: str, seed: int, by: list[str]) -> DataFrame:
     for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect():  # one row a cell
         digest = hashlib.sha256("|".join([str(seed), *(str(r[c]) for c in by)]).encode()).digest()
         picks.append((*(r[c] for c in by), int(np.random.default_rng(int.from_bytes(digest[:8], "big")).integers(r["n"]))))
-    return _picked(rows, key, by, picks)
+    return _picked(rows, key, by, F.broadcast(df.sparkSession.createDataFrame(picks, f"{_cell_values(df, by)}, place long")))  # one row a cell

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import finite
-from . import knn, scoring, stats
+from . import align, knn, scoring, stats
 from .quantiles import wide as wide_quantiles
 
 # --- names, scales and publication ---
@@ -182,6 +182,26 @@ def panel_scalars(table: DataFrame) -> DataFrame:
     return each.withColumn("span", F.col("high") - F.col("low")).crossJoin(F.broadcast(rho))  # one row
 
 
+def probe_scalars(table: DataFrame, probe: str, targets: list[str], control: str | None = None) -> DataFrame:
+    """table: model, the probe's accuracy and one column for each target. Per target the correlations of its values with the probe over the models (without the control),
+    with p-values."""
+    rows = table if control is None else without_control(table, control)
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets))).alias("t")
+    return stats.correlations(rows.select(F.col(probe).cast("double").alias("x"), each).select("x", "t.*"), "x", "y", ("target",))
+
+
+def saturation(table: DataFrame, low: str, high: str, probe: str, value: str) -> DataFrame:
+    """How far two models lie apart by the probe and by the measure; no row unless both are there."""
+    a, b = (table.where(F.col("model") == m).select(F.col(probe).alias(f"p{i}"), F.col(value).alias(f"v{i}")) for i, m in enumerate((low, high)))
+    return a.crossJoin(F.broadcast(b)).select(F.abs(F.col("p1") - F.col("p0")).alias("probe_gap"), F.abs(F.col("v1") - F.col("v0")).alias("value_gap"), F.col("v0").alias("low_value"))  # one row a model
+
+
+def frontier_changes(old: DataFrame, new: DataFrame, x: str, y: str) -> DataFrame:
+    """Models on the frontier of either table: model, change (stays, enters or leaves)."""
+    both = align.roster(stats.frontier(old, x, y), stats.frontier(new, x, y), "model")
+    return both.select("model", F.when(F.col("side") == "both", "stays").when(F.col("side") == "right", "enters").otherwise("leaves").alias("change"))
+
+
 def k_sweep(models: dict[str, tuple[DataFrame, DataFrame]], ks) -> DataFrame:
     """models: for each name its neighbours (up to the largest k) and its manifest. Per model and k the indices, support and accuracy, with tau the model's median typed
     distance; each model's own best k and, on all rows, the median of these."""

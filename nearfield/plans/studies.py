@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import encoders
 from ..operators import align, downstream, knn, margin, neighbors, quantiles, scoring, stats, studies
 from ..sources import manifest, tables
 from .catalogue import COUNTED, K, KS, NEAR, PAIRED, PAIRS, base, near, query, rounded
@@ -405,3 +406,66 @@ def ordering_agreement(spark, sf_dir):
     both = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.cohort") < F.col("b.cohort")))  # models times pairs of cohorts
     both = both.select(F.col("a.cohort").alias("one"), F.col("b.cohort").alias("other"), F.col("a.margin").alias("x"), F.col("b.margin").alias("y"))
     return rounded(stats.spearman(both, "x", "y", ("one", "other")).select("one", "other", F.col("spearman").alias("rho"), "n"))
+
+
+# --- manifests from metadata, models' vectors, probes against measures ----------------------------------------------------------------------------------------
+
+
+def order_metadata(spark, sf_dir):
+    """Metadata and source rows of the orders, as a provider would send them: keys as text with blanks."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    metadata = o.select(
+        F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("slide_id"), key.alias("patch_id"), F.col("o_orderstatus").alias("biological_class"), F.col("o_orderpriority").alias("medical_center"),
+        F.when(F.col("o_orderkey") % 4 == 0, "OOD").otherwise("ID").alias("subset"),
+    )
+    source = o.select(F.col("o_custkey").cast("string").alias("slide_id"), F.concat(key, F.lit(" ")).alias("patch_id"), F.concat(F.lit("s"), key).alias("sample_id"), F.concat(F.lit("/img/"), key).alias("image_path"))
+    return metadata, source
+
+
+@query("""SELECT 's' || o_orderkey AS sample_id, '/img/' || o_orderkey AS image_path, o_orderstatus AS label, o_orderpriority AS confounder, o_custkey::VARCHAR AS group_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'OOD' ELSE 'ID' END AS apd_split FROM orders""")
+def metadata_split(spark, sf_dir):
+    return align.with_metadata(*order_metadata(spark, sf_dir), "split")
+
+
+@query("""WITH x AS (SELECT o_orderstatus AS label, o_orderpriority AS confounder, trim(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g'), '_') AS t, count(*) AS n FROM orders GROUP BY ALL),
+s AS (SELECT a.label AS l1, b.label AS l2, a.confounder AS c1, d.confounder AS c2, a.label || '+' || b.label || '__' || a.t || '_' || d.t AS subset FROM x a JOIN x b ON a.label < b.label AND a.confounder = b.confounder
+  JOIN x d ON d.label = a.label AND d.confounder > a.confounder JOIN x e ON e.label = b.label AND e.confounder = d.confounder)
+SELECT subset, label, confounder, n FROM s JOIN x ON label IN (l1, l2) AND confounder IN (c1, c2)""")
+def metadata_expanded(spark, sf_dir):
+    rows = align.with_metadata(*order_metadata(spark, sf_dir), "expand")
+    return rows.groupBy("subset", "label", "confounder").agg(F.count(F.lit(1)).alias("n"))
+
+
+def four_tokens():
+    """A stand-in for a model: a row's numbers as four tokens."""
+    import numpy as np
+
+    return lambda values: np.asarray(values, float).reshape(len(values), 4, -1)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) // 4 AS w FROM embeddings), t AS (SELECT vec_id, w, v, unnest(range(1, w + 1)) AS i FROM e)
+SELECT 'first' AS model, vec_id, i::BIGINT AS place, round(v[i], 9) AS value FROM t
+UNION ALL SELECT 'first_and_mean', vec_id, i::BIGINT, round(v[i], 9) FROM t UNION ALL SELECT 'first_and_mean', vec_id, (w + i)::BIGINT, round((v[2 * w + i] + v[3 * w + i]) / 2, 9) FROM t""")
+def pooled_vectors(spark, sf_dir):
+    """Two poolings of one model's tokens, the second one with a register token that is passed over."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").withColumnRenamed("embedding", "image")
+    made = encoders.embed_by_model(e, "image", {"first": {"make": four_tokens, "mean": False}, "first_and_mean": {"make": four_tokens, "skip": 2}})
+    return made.select("model", "vec_id", F.posexplode("embedding").alias("at", "value")).select("model", "vec_id", (F.col("at") + 1).cast("long").alias("place"), F.round("value", 9).alias("value"))
+
+
+@query(f"""WITH {PANEL}, m AS (SELECT model, avg(n) AS probe, avg(margin) AS margin, min(ltm) AS ltm FROM panel WHERE model <> 0 GROUP BY model), t AS (SELECT 'margin' AS target, probe AS x, margin AS y FROM m UNION ALL SELECT 'ltm', probe, ltm FROM m),
+r AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY x) + (count(*) OVER (PARTITION BY target, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY target ORDER BY y) + (count(*) OVER (PARTITION BY target, y) - 1) / 2 AS ry FROM t)
+SELECT target, count(*) AS n, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman FROM r GROUP BY target""")
+def probe_correlations(spark, sf_dir):
+    """Nation 0 is the control."""
+    m = panel(spark, sf_dir).groupBy("model").agg(F.avg("n").alias("probe"), F.avg("margin").alias("margin"), F.min("ltm").alias("ltm"))
+    return rounded(studies.probe_scalars(m, "probe", ["margin", "ltm"], control=0).select("target", "n", "pearson", "spearman"))
+
+
+@query(f"""WITH {PANEL}, f AS (SELECT cohort, model FROM panel a WHERE NOT EXISTS (SELECT 1 FROM panel b WHERE b.cohort = a.cohort AND b.margin >= a.margin AND b.ltm >= a.ltm AND (b.margin > a.margin OR b.ltm > a.ltm)))
+SELECT model, CASE WHEN count(*) = 2 THEN 'stays' WHEN max(cohort) = 'MACHINERY' THEN 'enters' ELSE 'leaves' END AS change FROM f WHERE cohort IN ('BUILDING', 'MACHINERY') GROUP BY model""")
+def frontier_changes(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return studies.frontier_changes(p.where("cohort = 'BUILDING'"), p.where("cohort = 'MACHINERY'"), "margin", "ltm")

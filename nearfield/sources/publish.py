@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import finite
 from ..operators.quantiles import quantiles
+from ..operators.scoring import k_grid
 from .shared import stash
 from .tables import canonical
 
@@ -156,6 +157,46 @@ def read_run_config(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, f"{path}/run_config.json"))
 
 
+def _only(row, column: str) -> str:
+    if row[f"n_{column}"] != 1:
+        raise ValueError(f"{row[f'n_{column}']} values of {column}: a table of one run has one")
+    return row[column]
+
+
+def infer_run_config(metrics: DataFrame, m_sweep: DataFrame | None = None) -> dict:
+    """What a run was called with, from its table of metrics (a row a model: k_max, k_values, croma_search, tau) and, if there is one, its sweep over m. One tau for all of
+    several models was given; otherwise, and for a single model, each model had its own."""
+    once = ("k_max", "k_values", "croma_search")
+    if missing := [c for c in (*once, "tau") if c not in metrics.columns]:
+        raise ValueError(f"the metrics lack the columns {missing}")
+    taus = F.col("tau").cast("double")
+    found = metrics.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(taus).alias("n_tau"), F.max(taus).alias("tau"),
+        *(F.max(F.col(c).cast("string")).alias(c) for c in once), *((F.count_distinct(F.col(c).cast("string")) + F.max(F.col(c).isNull().cast("int"))).alias(f"n_{c}") for c in once),
+    ).first()
+    if not found["n"]:
+        raise ValueError("no metrics to tell a run's settings from")
+    k_max = int(float(_only(found, "k_max")))
+    swept = sorted({int(k) for k in _only(found, "k_values").split(",") if k.strip()})
+    grid = next((name for name in ("dense", "sparse") if swept == k_grid(k_max, name == "sparse")), None)
+    if grid is None:
+        raise ValueError(f"no grid up to {k_max} has the values {swept}")
+    out = {"k_max": k_max, "k_grid": grid, "tau": found["tau"] if found["n"] > 1 and found["n_tau"] == 1 else "auto"}
+    search = dict(part.strip().split("=", 1) for part in _only(found, "croma_search").split(";") if "=" in part)
+    for key, name, kind in (("start", "croma_start_k", int), ("growth", "croma_k_growth_factor", float), ("alpha", "croma_alpha", float)):
+        if key in search:
+            out[name] = kind(float(search[key]))
+    most = None if m_sweep is None else m_sweep.agg(F.max(F.col("m").cast("double")).alias("m")).first()["m"]
+    return out if most is None else out | {"croma_m_max": int(most)}
+
+
+def check_run_config(config: dict, **expected) -> dict:
+    """Settings that differ from what a run recorded are an error; those it did not record are not."""
+    if differ := {k: config[k] for k, v in expected.items() if config.get(k) is not None and str(config[k]) != str(v)}:
+        raise ValueError(f"the run recorded other settings: {differ}")
+    return config
+
+
 def _csv(df: DataFrame) -> str:
     """A small table as text."""
     cell = lambda x: "" if x is None else f'"{x}"' if isinstance(x, str) and any(c in x for c in ',"\n') else repr(x) if isinstance(x, float) else str(x)

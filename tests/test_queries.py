@@ -13,6 +13,7 @@ NAMES = (
     "manifest_normalized", "occurrence_table", "knn_topk", "ri_curve", "mari_pooled", "margin_m_sweep", "aggregate_ranks", "schedule_tables", "bootstrap_median", "stratified_quota",
     "mari_per_sample_sharp", "share_tail", "probe_reductions", "t_interval_of_fifty", "tier_status", "downside_moments", "m_sweep_stability", "panel_scalars", "bijective_slice", "typed_rank_depth",
     "knn_pruned", "search_depth", "typed_widening", "bacc_curve", "correlation_tests", "density_curve", "subgroup_report", "margin_tail", "scale_numbers", "display_names", "closest_pairs", "model_correlations", "tau_agreement",
+    "metadata_split", "metadata_expanded", "pooled_vectors", "probe_correlations", "frontier_changes",
 )
 
 

@@ -7,7 +7,8 @@ Training reads at most MAX_ROWS labelled rows (those with the smallest hash of t
 one task, PASSES times in the order of that hash. Scoring covers all rows.
 
 Defined results: null and empty texts have no features and get the score of the intercept. Rows with a null label or id teach
-nothing; of several labels of one id the largest holds. Repeated rows count row by row. Without any labelled row every score is 0.5.
+nothing; of several labels of one id the largest holds, and of several rows of one id that with the greatest text teaches. Repeated rows are scored row by row. Without any
+labelled row every score is 0.5.
 """
 
 from __future__ import annotations
@@ -92,7 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "quality", max_ro
         return run
 
     # chosen has max_rows rows at most, so its broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "label", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("turn", "doc_id", "label").agg(F.max("text").alias("text"))  # one row an id, so max_rows bounds the training task
     rows = map_rows(rows, make, "turn long, doc_id long, label int, at array<int>, x array<float>")
 
     def learn(pdf):

@@ -300,6 +300,15 @@ def test_pii(spark, odd, none):
     assert pii.redact(odd[0]).count() == 12 and pii.find(none).count() == 0
 
 
+def test_quality_learns_from_one_row_an_id(spark):
+    """The bound on training rows holds for repeated ids too: a thousand rows of one id teach like their greatest text alone."""
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    many = table(spark, [*(prose(i % 5, 30) for i in range(1000)), prose(9, 30)], [*[1] * 1000, 2])
+    one = table(spark, [max(prose(i, 30) for i in range(5)), prose(9, 30)], [1, 2])
+    a, b = quality.train(many, labels), quality.train(one, labels)
+    assert a[1] == b[1] and (a[0] == b[0]).all()
+
+
 def test_pii_adds_and_refuses(spark):
     """Looser spans are judged: keys that look like keys come in, words after a colon stay out, and so do numbers that fail their check without a word for them."""
     r = random.Random(9)

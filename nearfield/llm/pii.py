@@ -39,13 +39,14 @@ STRICT = {
 #: What a kind can't be without; the search is skipped where it is missing.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LOOSE = {
-    "email": rf"(?<!{LOCAL}){LOCAL}++ ?(?:\[at\]|\(at\)|\{{at\}}| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{{dot\}}| dot ) ?[A-Za-z0-9-]++)++",
+    # joe [at] foo [dot] com, or joe at foo dot com; a full stop after a word is no dot
+    "email": rf"(?<!{LOCAL}){LOCAL}++(?: ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\[dot\]|\(dot\)|\{{dot\}}) ?| dot )[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])",
     "key": r"""(?<=[:=] ?["']?)(?<![A-Za-z0-9+/_-])(?!//)[A-Za-z0-9+/_-]{8,}+""",
 }
 #: What a looser form can't be without: a cheap search before the dear one.
-LOOSE_NEEDS = {"email": r"[\[({ ]at[\])} ]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "phone": r"[0-9][) ./-]{1,2}[0-9]{2}", "key": r"""[:=] ?["']?[A-Za-z0-9+_-]"""}
+LOOSE_NEEDS = {"email": r"[\[({]at[\])}]| at [A-Za-z0-9-]++ dot ", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "phone": r"[0-9][) ./-]{1,2}[0-9]{2}", "key": r"""[:=] ?["']?[A-Za-z0-9+_-]"""}
 #: Gazetteers, as patterns over the span.
 LISTED = {
     "email": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at|us|ca|au|br|jp|test|example|invalid)$",

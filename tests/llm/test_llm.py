@@ -295,6 +295,8 @@ def test_pii(spark, odd, none):
         assert set(filter(None, row["base"].split(","))) <= set(row["spans"].split(","))
     extra = pii.find(table(spark, ["mail joe [at] foo [dot] com or call (212) 555-1234 please"])).select(pii.listed(F.col("candidates")).alias("s")).first()["s"]
     assert "email:5:27" in extra and "phone:36:50" in extra
+    spelled = pii.find(table(spark, ["joe at foo dot com or ann (at) b.org. We met at the inn. And at home.", "look at them. There"])).orderBy("doc_id").select(pii.listed(F.col("candidates")).alias("s"))
+    assert [row["s"] for row in spelled.collect()] == ["email:0:18,email:22:36", ""]
     clean = pii.redact(table(spark, ["write to a@b.co, not +1 499 555 6503!"]))
     assert clean.first()["text"] == "write to [EMAIL], not [PHONE]!" and clean.columns == table(spark, []).columns
     assert pii.redact(odd[0]).count() == 12 and pii.find(none).count() == 0

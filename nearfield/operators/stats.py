@@ -29,10 +29,15 @@ def rank_average(value: str, by=()) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2
 
 
+def corr(a: str, b: str) -> Column:
+    """The correlation of columns without nulls, NaN where one of them is constant (Spark's own raises there)."""
+    return F.when(F.count(F.lit(1)) > 1, F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(math.nan)))
+
+
 def spearman(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
     good = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     rows = good.withColumn("ra", rank_average(a, by)).withColumn("rb", rank_average(b, by))
-    return rows.groupBy(*by).agg(F.corr("ra", "rb").alias("spearman"), F.corr(a, b).alias("pearson"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by).agg(corr("ra", "rb").alias("spearman"), corr(a, b).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
 def frontier(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
@@ -152,7 +157,7 @@ def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p-value of a correlation of n points; null for fewer than three."""
     bounded = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
     t = bounded * F.sqrt((n - 2) / (1 - bounded * bounded))
-    return F.when(n > 2, F.when(F.abs(bounded) >= 1, 0.0).otherwise(t_tail(t, n - 2)))
+    return F.when(n > 2, F.when(F.isnan(r), F.lit(math.nan)).when(F.abs(bounded) >= 1, 0.0).otherwise(t_tail(t, n - 2)))
 
 
 def correlations(df: DataFrame, a: str, b: str, by=()) -> DataFrame:

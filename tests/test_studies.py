@@ -247,3 +247,15 @@ def test_registry(spark, tmp_path):
     view = known.view(spark, f"file://{tmp_path}", "small")
     assert view.models == ["m1", "m2"] and view.spec.k_max == 100
     assert sorted((r["sample_id"], r["embedding"][0]) for r in view.features("m1").collect()) == [("s0", 0.0), ("s1", 1.0), ("s1", 1.0)]
+
+
+def test_correlation_of_constants(spark):
+    """A constant side has no correlation; it must not stop the query."""
+    from nearfield.operators import stats
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("a", 1.0, 5.0), ("b", 1.0, 2.0), ("b", 2.0, 1.0), ("b", 3.0, 0.0), ("c", 1.0, 1.0)], "g string, x double, y double")
+    got = {r["g"]: r for r in stats.correlations(df, "x", "y", ("g",)).collect()}
+    assert all(np.isnan(got["a"][c]) for c in ("spearman", "pearson", "spearman_p", "pearson_p")) and got["c"]["spearman"] is None
+    assert got["b"]["spearman"] == pytest.approx(-1) and got["b"]["n"] == 3
+    values = spark.createDataFrame([(m, t, v) for m in range(3) for t, v in ((0.1, 1.0), (1.0, float(m)))], "model int, tau double, value double")
+    assert np.isnan(studies.tau_agreement(values).first()["rho"])

@@ -220,24 +220,76 @@ def draw_table(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, f"rep int, {cluster} string, times long")
 
 
+#: Values of a range of medians, about; ranges at most, and the accuracy of the sketch that cuts them.
+RANGE, RANGES, ACCURACY = 2_000, 4_096, 20_000
+
+
 def weighted_medians(df: DataFrame, taken: DataFrame, cluster: str, value: str, by=()) -> DataFrame:
-    """Median of each replicate's pooled rows, exactly: rows outside of a band around the whole median only count by cluster, and only rows of the band are joined with
-    the draws. The band is widened until it holds every replicate's median."""
-    good = df.where(finite(F.col(value)).isNotNull()).select(cluster, *by, F.col(value).cast("double").alias("x"))
-    for half in (0.05, 0.2, 0.5):
-        bounds = good.groupBy(*by).agg(F.percentile_approx("x", [max(0.0, 0.5 - half), min(1.0, 0.5 + half)], 10_000).alias("q"))
-        rows = good.join(F.broadcast(bounds), [*by]) if by else good.crossJoin(F.broadcast(bounds))  # one row a group
-        below, upto = F.col("x") < F.col("q")[0], F.col("x") <= F.col("q")[1]
-        counts = rows.groupBy(cluster, *by).agg(F.count(F.lit(1)).alias("n"), F.sum(below.cast("long")).alias("below"), F.sum(upto.cast("long")).alias("upto"))
-        sums = counts.join(taken, cluster).groupBy("rep", *by).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "below", "upto")))
-        sums = sums.withColumn("p1", F.floor((F.col("n") - 1) / 2)).withColumn("p2", F.ceil((F.col("n") - 1) / 2))
-        if half == 0.5 or not sums.where((F.col("below") > F.col("p1")) | (F.col("p2") >= F.col("upto"))).limit(1).count():
-            break
-    band = rows.where(~below & upto).join(taken, cluster).groupBy("rep", *by, "x").agg(F.sum("times").alias("times"))
-    reached = F.sum("times").over(Window.partitionBy("rep", *by).orderBy("x")) + F.col("below")
-    placed = band.join(sums, ["rep", *by]).withColumn("reached", reached)
-    middle = [F.min(F.when(F.col("reached") > F.col(p), F.col("x"))) for p in ("p1", "p2")]
-    return placed.groupBy("rep", *by).agg(((middle[0] + middle[1]) / 2).alias("median"))
+    """Median of each replicate's pooled rows, exactly. Equal values of a cluster are one row with a count; values are cut into ranges, and counts by cluster and range, times
+    the draws, tell in which range a replicate's middle rows lie and at which place there. Each such range is then put in order once for all replicates, so rows are never
+    joined with replicates. The draws, replicates times clusters, go to every task."""
+    by, spark = [*by], df.sparkSession
+    drawn = taken.toPandas()  # replicates times clusters; they come from the driver
+    reps, at = np.unique(drawn["rep"].to_numpy(int), return_inverse=True)
+    names = sorted(drawn[cluster].unique())
+    times = np.zeros((len(reps), len(names)))
+    times[at, drawn[cluster].map({c: i for i, c in enumerate(names)}).to_numpy(int)] = drawn["times"]
+    index = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(names)], f"`{cluster}` string, c int"))
+    rows = df.where(finite(F.col(value)).isNotNull()).select(cluster, *by, F.col(value).cast("double").alias("x")).join(index, cluster)
+    key = {"all_": "int"} | {f"by{i}": df.schema[c].dataType.simpleString() for i, c in enumerate(by)}
+    rows = rows.select(F.lit(0).alias("all_"), *(F.col(c).alias(f"by{i}") for i, c in enumerate(by)), "c", "x").dropna(subset=[*key])
+    rows = stash(rows.groupBy(*key, "c", "x").agg(F.count(F.lit(1)).alias("n")), "values")
+    most = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    cuts = min(RANGES, math.ceil(most / RANGE) + 1)
+    cut = rows.groupBy(*key).agg(F.percentile_approx("x", F.array(*(F.lit(i / cuts) for i in range(1, cuts + 1))), ACCURACY).alias("b"))
+    bounds = {tuple(r[c] for c in key): np.unique(r["b"]) for r in cut.collect()}  # ranges of each group
+    shared = spark.sparkContext.broadcast((reps, times, bounds))
+    types = ", ".join(f"{c} {t}" for c, t in key.items())
+
+    def deal(batches):
+        for pdf in batches:
+            pdf["bin"] = 0
+            for group, at in pdf.groupby([*key], dropna=False).indices.items():
+                b, x = shared.value[2][group if isinstance(group, tuple) else (group,)], pdf["x"].to_numpy()[at]
+                # a bound's own value is a range by itself
+                pdf.iloc[at, pdf.columns.get_loc("bin")] = np.searchsorted(b, x, "left") + np.searchsorted(b, x, "right")
+            yield pdf
+
+    def table(pdf: pd.DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the column in order, the clusters, and the clusters' running counts."""
+        values, at = np.unique(pdf[column].to_numpy(), return_inverse=True)
+        clusters, of = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+        counts = np.zeros((len(clusters), len(values)))
+        np.add.at(counts, (of, at), pdf["n"].to_numpy())
+        return values, clusters, counts.cumsum(axis=1)
+
+    def locate(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins, clusters, counts = table(pdf, "bin")
+        out = []
+        for some in np.array_split(np.arange(len(reps)), len(reps) // 256 + 1):
+            upto = shared.value[1][np.ix_(some, clusters)] @ counts
+            some, upto = some[upto[:, -1] > 0], upto[upto[:, -1] > 0]
+            for side, p in enumerate((np.floor((upto[:, -1] - 1) / 2), np.ceil((upto[:, -1] - 1) / 2))):
+                at = (upto <= p[:, None]).sum(axis=1)
+                before = np.where(at > 0, upto[np.arange(len(at)), at - 1], 0)
+                out.append(pd.DataFrame({"r": some, "side": side, "bin": bins[at], "p": p - before}))
+        return pd.concat(out).assign(**{c: pdf[c].iloc[0] for c in key})
+
+    def settle(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        values, clusters, counts = table(pdf, "x")
+        out = np.empty(len(asked))
+        for some in np.array_split(np.arange(len(asked)), len(asked) // 256 + 1):
+            upto = shared.value[1][np.ix_(asked["r"].to_numpy()[some], clusters)] @ counts
+            out[some] = values[(upto <= asked["p"].to_numpy()[some][:, None]).sum(axis=1)]
+        return asked.drop(columns=["r", "p"]).assign(rep=shared.value[0][asked["r"]], x=out)
+
+    dealt = rows.mapInPandas(deal, f"{types}, c int, x double, n long, bin int")
+    counts = dealt.groupBy(*key, "bin", "c").agg(F.sum("n").alias("n"))
+    asked = stash(counts.groupBy(*key).applyInPandas(locate, f"{types}, r int, side int, bin int, p double"), "asked")
+    held = dealt.join(F.broadcast(asked.select(*key, "bin").distinct()), [*key, "bin"], "left_semi")  # ranges of each group
+    found = held.groupBy(*key, "bin").cogroup(asked.groupBy(*key, "bin")).applyInPandas(settle, f"{types}, rep int, side int, bin int, x double")
+    medians = found.groupBy("rep", *key).agg(((F.min("x") + F.max("x")) / 2).alias("median"))
+    return medians.select("rep", *(F.col(f"by{i}").alias(c) for i, c in enumerate(by)), "median")
 
 
 def interval(reps: DataFrame, value: str, level: float = 0.95, by=()) -> DataFrame:

@@ -259,3 +259,26 @@ def test_correlation_of_constants(spark):
     assert got["b"]["spearman"] == pytest.approx(-1) and got["b"]["n"] == 3
     values = spark.createDataFrame([(m, t, v) for m in range(3) for t, v in ((0.1, 1.0), (1.0, float(m)))], "model int, tau double, value double")
     assert np.isnan(studies.tau_agreement(values).first()["rho"])
+
+
+def test_weighted_medians_do_not_meet_replicates(spark, monkeypatch):
+    """By group, with values that many rows share and several ranges; nothing larger than values or replicates is written."""
+    from nearfield.sources import shared
+
+    monkeypatch.setattr(stats, "RANGE", 50)
+    rng = np.random.default_rng(2)
+    n = 4000
+    x = np.where(rng.random(n) < 0.4, 0.25, np.round(rng.normal(size=n), 2))
+    rows = pd.DataFrame({"cluster": rng.integers(0, 9, n).astype(str), "model": rng.choice(["a", "b"], n), "x": x})
+    df = spark.createDataFrame(rows)
+    seen = len(shared._written)
+    taken = stats.draw_table(df, "cluster", 30, 4)
+    got = {(r["rep"], r["model"]): r["median"] for r in stats.weighted_medians(df, taken, "cluster", "x", ("model",)).collect()}
+    want = {}
+    for r in taken.toPandas().groupby("rep"):
+        times = rows["cluster"].map(r[1].set_index("cluster")["times"]).fillna(0).astype(int)
+        for m in ("a", "b"):
+            want[r[0], m] = float(np.median(np.repeat(rows["x"], times)[np.repeat(rows["model"], times) == m]))
+    assert got == want
+    written = shared._written[seen:]
+    assert written and sum(spark.read.parquet(path).count() for _, path in written) <= n + 30 * 2 * 2

@@ -270,15 +270,35 @@ def _probes(rows: DataFrame, plan: DataFrame, rows_per_slide: int, iterations: i
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j", "pos"], kind="stable")
         part = {}
-        for role in ("train", "validation", "held_out"):
+        for role in ("train", "validation"):
             own = pdf[pdf["role"] == role]
             part[role] = (np.stack(own["features"].to_numpy()).astype(float) if len(own) else np.zeros((0, 1)), own["j"].to_numpy(int))
         if not len(part["validation"][1]):
             raise ValueError("no validation rows: more rows a slide or a validation fraction are needed")
-        w, scores = fit_probe(part["train"], part["validation"], [part["held_out"]], classes, eval_func)
-        return pd.DataFrame({"split": [key[0]], "iter": [key[1]], "acc": scores, "w": [w.astype("<f8").tobytes()], "k": [len(w)]})
+        w, _ = fit_probe(part["train"], part["validation"], [], classes, eval_func)
+        return pd.DataFrame({"split": [key[0]], "iter": [key[1]], "w": [w.astype("<f8").tobytes()], "k": [len(w)]})
 
-    return roles.groupBy("split", "iter").applyInPandas(fit, "split int, iter int, acc double, w binary, k int")
+    # training and validation rows are bounded by the schedule; held-out rows are all others, so they are scored batch by batch
+    learn = roles.where("role <> 'held_out'").groupBy("split", "iter")
+    fitted = stash(learn.applyInPandas(fit, "split int, iter int, w binary, k int"), "probes")
+    shared = spark.sparkContext.broadcast({(r["split"], r["iter"]): np.frombuffer(r["w"], "<f8").reshape(r["k"], -1) for r in fitted.collect()})  # splits times iterations
+
+    def said(batches):
+        for pdf in batches:
+            if len(pdf):
+                out = np.empty(len(pdf), int)
+                for probe, at in pdf.groupby(["split", "iter"]).indices.items():
+                    out[at] = _predict(shared.value[probe], np.stack(pdf["features"].to_numpy()[at]).astype(float))
+                yield pdf[["split", "iter", "j"]].assign(said=out)
+
+    told = roles.where("role = 'held_out'").select("split", "iter", "j", "features").mapInPandas(said, "split int, iter int, j int, said int")
+    if eval_func:
+        score = lambda key, pdf: pd.DataFrame({"split": [key[0]], "iter": [key[1]], "acc": [eval_func(pdf["j"].to_numpy(int), pdf["said"].to_numpy(int))]})
+        acc = told.groupBy("split", "iter").applyInPandas(score, "split int, iter int, acc double")
+    else:
+        recall = told.groupBy("split", "iter", "j").agg(F.avg((F.col("j") == F.col("said")).cast("double")).alias("recall"))
+        acc = recall.groupBy("split", "iter").agg(F.avg("recall").alias("acc"))
+    return fitted.join(acc, ["split", "iter"], "left").select("split", "iter", "acc", "w", "k")
 
 
 def probe_sweep(rows: DataFrame, plan: DataFrame, *, rows_per_slide: int = 1, iterations: int = 20, seed: int = 1000, validation: float | None = None, arrange=None, eval_func=None) -> DataFrame:

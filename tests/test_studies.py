@@ -282,3 +282,12 @@ def test_weighted_medians_do_not_meet_replicates(spark, monkeypatch):
     assert got == want
     written = shared._written[seen:]
     assert written and sum(spark.read.parquet(path).count() for _, path in written) <= n + 30 * 2 * 2
+
+
+def test_held_out_rows_are_scored_in_batches(spark):
+    """No task holds a probe's held-out rows, which are all the table's but the schedule's."""
+    rows, plan = study(spark), downstream.schedule(spark, "camelyon", n_splits=2)
+    found = downstream._probes(rows, plan, 1, 2, 1000, 0.2, None, None)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    own = {(r["split"], r["iter"]): r["acc"] for r in downstream.probe_sweep(rows, plan, iterations=2, validation=0.2, eval_func=downstream._score).collect()}
+    assert len(own) == 4 and {(r["split"], r["iter"]): r["acc"] for r in found.collect()} == pytest.approx(own)

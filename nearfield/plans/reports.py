@@ -184,7 +184,7 @@ def probe_slices(spark, sf_dir):
 def probe_sweep(spark, sf_dir):
     """Probes of the label's parity from the vectors, languages en and not en as confounders."""
     m = base(spark, sf_dir)
-    rows = m.select("row_id", (F.col("confounder") == "en").cast("int").alias("i"), (F.col("label").cast("int") % 2).alias("j"), F.col("embedding").alias("features"))
+    rows = m.select("row_id", (F.col("confounder") == "en").cast("int").alias("i"), (F.col("label").cast("int") % 2).alias("j"), F.col("embedding").cast("array<double>").alias("features"))
     return downstream.probe_sweep(rows, downstream.schedule(spark, "camelyon"), iterations=20, validation=0.2)
 
 

@@ -112,7 +112,7 @@ def unseen_rows(spark, sf_dir):
 @query()
 def probe_test_sets(spark, sf_dir):
     """Probes of the label's parity from the vectors with the languages as confounders, scored on their held-out rows and on an unseen language."""
-    m = base(spark, sf_dir).select("row_id", F.col("confounder").alias("lang"), (F.col("label").cast("int") % 2).alias("j"), F.col("embedding").alias("features"))
+    m = base(spark, sf_dir).select("row_id", F.col("confounder").alias("lang"), (F.col("label").cast("int") % 2).alias("j"), F.col("embedding").cast("array<double>").alias("features"))
     rows = m.where("lang <> 'es'").select("row_id", (F.col("lang") == "en").cast("int").alias("i"), "j", "features")
     return downstream.probe_sweep_over(rows, downstream.schedule(spark, "camelyon", n_splits=4), {"es": m.where("lang = 'es'").select("j", "features")}, iterations=2, validation=0.2)
 

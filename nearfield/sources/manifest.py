@@ -155,7 +155,7 @@ def from_tables(spark: SparkSession, sf_dir: str, confounder: str = "lang") -> D
         F.col(confounder).alias("confounder"),
         F.concat(F.lit("g"), F.floor(F.col("vec_id") / 4)).alias("group_id"),
         F.lit("dataset").alias("subset"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        "embedding",
     )
 
 

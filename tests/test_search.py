@@ -73,6 +73,24 @@ def test_search_in_many_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in neighbors.candidates(df, k=4, m=2, block=16).select("q", "c").collect()) == sorted(both)
 
 
+def test_single_precision_loses_no_neighbour(spark):
+    """Candidates whose distances differ by less than single precision can tell."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=16) + rng.normal(scale=1e-7, size=(600, 16))
+    df = table(spark, x, [f"l{i % 3}" for i in range(600)], [f"c{i // 3 % 2}" for i in range(600)])
+    every = neighbors.ranked(neighbors.pairs(df)).where("rank <= 3").select("q", "rank", F.round("dist", 11).alias("d"))
+    assert found(neighbors.nearest(df, 3).select("q", "rank", F.round("dist", 11).alias("d"))) == found(every)
+
+
+def test_search_sends_few_copies(spark, monkeypatch):
+    """Candidates go once to each part, in single precision where they are given so."""
+    sent, sweep = [], neighbors._sweep
+    monkeypatch.setattr(neighbors, "_sweep", lambda asks, has, sizes, *rest: sent.append((sizes.agg(F.sum("parts")).first()[0], dict(has.dtypes)["v"])) or sweep(asks, has, sizes, *rest))
+    n = 40 * neighbors.LEAST
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.lit("s").alias("subset"), F.lit("l").alias("label"), F.lit("c").alias("confounder"), F.col("id").cast("string").alias("group_id"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"))
+    assert neighbors.nearest(df, 1).count() == n and sent == [(12, "array<float>")]
+
+
 # --- quantiles ---
 
 

@@ -361,8 +361,8 @@ s AS (SELECT subset, q, count(*) FILTER (type = 'SO') AS so, count(*) FILTER (ty
 e AS (SELECT subset, CASE WHEN sum(so + os) > 0 THEN sum(so) / sum(so + os) ELSE 0.5 END AS v FROM s GROUP BY subset)
 SELECT 5::BIGINT AS k, round(sum(so) / sum(so + os), 9) AS value, round(avg((so + os > 0)::INT::DOUBLE), 9) AS support, (SELECT round(stddev_pop(v), 9) FROM e) AS std, (SELECT count(*) FROM e) AS n_pairs FROM s""")
 def ri_paired(spark, sf_dir):
-    x = mf.expand_2x2(base(spark, sf_dir).drop("subset"))
-    rows = scoring.at_k(scoring.evidence(neighbors.nearest(x, 5), scoring.ones, units(x)), [5])
+    m = base(spark, sf_dir).drop("subset")
+    rows = scoring.at_k(scoring.evidence(neighbors.nearest_2x2(m, 5), scoring.ones, units(mf.expand_2x2(m))), [5])
     return rounded(scoring.over_subsets(rows).select("k", "value", "support", "std", "n_pairs"))
 
 
@@ -472,8 +472,8 @@ def typed_widening(spark, sf_dir):
 d AS (SELECT subset, q, avg(dist) FILTER (type = 'SO') AS so, avg(dist) FILTER (type = 'OS') AS os FROM t WHERE rank <= 1 GROUP BY subset, q),
 e AS (SELECT subset, median((os - so) / (os + so)) AS v FROM d GROUP BY subset) SELECT 1::BIGINT AS m, round(median(v), 9) AS value, round(stddev_pop(v), 9) AS std, count(*) AS n_pairs FROM e""")
 def margin_paired(spark, sf_dir):
-    x = mf.expand_2x2(base(spark, sf_dir).drop("subset"))
-    return rounded(margin.summary(margin.margins(neighbors.nearest_typed(x, 1), (1,), units(x))))
+    m = base(spark, sf_dir).drop("subset")
+    return rounded(margin.summary(margin.margins(neighbors.nearest_typed_2x2(m, 1), (1,), units(mf.expand_2x2(m)))))
 
 
 @query(f"WITH {MARGIN} SELECT q, round(d_so, 9) AS d_so, round(d_os, 9) AS d_os, round(sqrt(d_so * d_so + d_os * d_os), 9) AS radius FROM r WHERE m = {M}")

@@ -371,8 +371,9 @@ r AS (SELECT v.subset, k, x.label AS truth, avg((vote = x.label)::INT::DOUBLE) A
 z AS (SELECT subset, count(*) AS size FROM x GROUP BY subset) SELECT k::BIGINT AS k, round(avg(acc), 9) AS balanced_accuracy FROM b JOIN z USING (subset) WHERE k < size AND size > 1 GROUP BY k""")
 def paired_bacc_curve(spark, sf_dir):
     """Unweighted mean over the 2x2 subsets."""
-    x = manifest.expand_2x2(base(spark, sf_dir).drop("subset"))
-    return rounded(knn.curve(knn.votes(neighbors.nearest(x, 5), x, (1, 3, 5)), x))
+    m = base(spark, sf_dir).drop("subset")
+    x = manifest.expand_2x2(m)
+    return rounded(knn.curve(knn.votes(neighbors.nearest_2x2(m, 5), x, (1, 3, 5)), x))
 
 
 @query(f"""WITH {COUNTED}, shares AS (SELECT n_so / (n_so + n_os) AS x FROM s WHERE k = {K} AND n_so + n_os > 0), t AS (SELECT quantile_cont(x, 0.1) AS q FROM shares)

@@ -120,8 +120,8 @@ def keep_labels(df: DataFrame, labels: str | list[str]) -> DataFrame:
     return found
 
 
-def expand_2x2(df: DataFrame) -> DataFrame:
-    """A copy of each row for every pair of labels and pair of confounders whose four cells all have rows; `subset` names the four."""
+def designs_2x2(df: DataFrame) -> DataFrame:
+    """subset, l1, l2, c1, c2: every pair of labels and pair of confounders whose four cells all have rows; `subset` names the four."""
     cells = df.select("label", "confounder").distinct()
     a, b = cells.alias("a"), cells.alias("b")
     # the strata are few; corners (l1, c1) and (l2, c2) of a subset, the two others checked by semi-joins
@@ -129,7 +129,12 @@ def expand_2x2(df: DataFrame) -> DataFrame:
         F.col("a.label").alias("l1"), F.col("b.label").alias("l2"), F.least("a.confounder", "b.confounder").alias("c1"), F.greatest("a.confounder", "b.confounder").alias("c2")
     )
     full = corners.groupBy("l1", "l2", "c1", "c2").agg(F.count(F.lit(1)).alias("diagonals")).where("diagonals = 2").drop("diagonals")
-    full = full.withColumn("subset", F.concat(token(F.col("l1")), F.lit("+"), token(F.col("l2")), F.lit("__"), token(F.col("c1")), F.lit("_"), token(F.col("c2"))))
+    return full.withColumn("subset", F.concat(token(F.col("l1")), F.lit("+"), token(F.col("l2")), F.lit("__"), token(F.col("c1")), F.lit("_"), token(F.col("c2"))))
+
+
+def expand_2x2(df: DataFrame) -> DataFrame:
+    """A copy of each row for every design of `designs_2x2` that it is in."""
+    full = designs_2x2(df)
     four = full.select("subset", F.explode(F.array(*(F.struct(F.col(x).alias("label"), F.col(y).alias("confounder")) for x in ("l1", "l2") for y in ("c1", "c2")))).alias("s"))
     return df.join(four.select("subset", "s.label", "s.confounder"), ["label", "confounder"])
 

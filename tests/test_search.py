@@ -73,6 +73,30 @@ def test_search_in_many_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in neighbors.candidates(df, k=4, m=2, block=16).select("q", "c").collect()) == sorted(both)
 
 
+def test_search_in_designs(spark, monkeypatch):
+    """Each row is searched for once, whatever the number of designs that it is in, and the lists are those of the expanded rows."""
+    from nearfield.sources import manifest
+
+    monkeypatch.setattr(neighbors, "LEAST", 40)
+    x, _, _, groups = clustered(400)
+    x[7] = np.nan
+    rng = np.random.default_rng(3)
+    labels, confs = [f"l{i}" for i in rng.integers(0, 4, 400)], [f"c{i}" for i in rng.integers(0, 3, 400)]
+    df = table(spark, x, labels, confs, groups).where("label <> 'l3' or confounder <> 'c2'").drop("subset")
+    fields = ("subset", "q", "c", "rank", "dist", "type")
+    sent = []
+    sweep = neighbors._sweep
+    monkeypatch.setattr(neighbors, "_sweep", lambda asks, *rest: sent.append(asks.count()) or sweep(asks, *rest))
+    for kind, other in ((neighbors.nearest, neighbors.nearest_2x2), (neighbors.nearest_typed, neighbors.nearest_typed_2x2)):
+        for n in (60 if kind is neighbors.nearest else 3,):
+            want = [tuple(r) for r in kind(manifest.expand_2x2(df), n).select(*fields).fillna(9.0).orderBy("subset", "q", "type", "rank").collect()]
+            sent.clear()
+            got = [tuple(r) for r in other(df, n, block=16).select(*fields).fillna(9.0).orderBy("subset", "q", "type", "rank").collect()]
+            assert got == want and len(got) > 400 and sent == [df.count()]
+    odd = df.replace({"l1": "l 0", "l0": "l_0"}, subset=["label"])  # two labels, one name
+    assert found(neighbors.nearest_2x2(odd, 3).select("subset", "q").distinct()) == found(neighbors.nearest(manifest.expand_2x2(odd), 3).select("subset", "q").distinct())
+
+
 def test_single_precision_loses_no_neighbour(spark):
     """Candidates whose distances differ by less than single precision can tell."""
     rng = np.random.default_rng(11)

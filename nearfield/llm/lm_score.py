@@ -27,12 +27,13 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bits
-from .common import collect_shuffles, crc_mod, hashed, let_go, map_rows, smaller_batches, stash, unstash, words
+from .common import collect_shuffles, crc_mod, let_go, map_rows, smaller_batches, stash, unstash
 
 #: Bits of a stored entry at least: with two probes the fill is at most 1 - exp(-1/4), and its square 0.049.
 PER_ENTRY = 8
@@ -46,8 +47,8 @@ BUCKETS = 512
 PARTS = 4
 PRIOR = 30.0
 TOP_WORDS = 1_000_000
-#: Tokens that a task holds before it emits their counts.
-BUFFER = 3_000_000
+#: Tokens that a task holds before it emits their counts, and tokens that are keyed at once.
+BUFFER, TOGETHER = 3_000_000, 300_000
 #: Low bits of a pair's key, for its class while it is counted.
 CLASSES = np.uint64(63)
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B03738712FAD5C9)
@@ -55,7 +56,8 @@ END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x1B03738712FAD5C9)
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the words, lower-cased A-Z, and the end token."""
-    return np.append(hashed(words(text), True), END)
+    # of bytes, lower() knows A-Z only and split() the space and the controls 9 to 13; a hash costs less than a look into a memo of words
+    return np.append(np.fromiter(map(xxhash.xxh64_intdigest, (text or "").encode().lower().split()), np.uint64), END)
 
 
 def pair_keys(found: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
@@ -70,7 +72,7 @@ def word_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, keys, schema: str, classes: bool = False) -> DataFrame:
-    """Distinct keys of each task's buffer with their counts; keys(text) gives an array. Classes in the low bits go above the segment."""
+    """Distinct keys of each task's buffer with their counts; keys(tokens of some texts) gives an array. Classes in the low bits go above the segment."""
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -88,19 +90,24 @@ def _counted(docs: DataFrame, keys, schema: str, classes: bool = False) -> DataF
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(segment[part]), pa.array(key[part].view(np.int64)), pa.array(n[part].astype(np.int64))], schema=arrow)
 
-        held, size = [], 0
+        held, some, size, new = [], [], 0, 0
         try:
             for batch in batches:
                 for text in batch.column(0):
-                    held.append(keys(text.as_py()))
-                    size += len(held[-1])
-                    if size > BUFFER:
-                        yield from emit(held)
-                        held, size = [], 0
+                    some.append(tokens(text.as_py()))
+                    new += len(some[-1])
+                    if new > TOGETHER:
+                        held.append(keys(some))
+                        some, size, new = [], size + new, 0
+                        if size > BUFFER:
+                            yield from emit(held)
+                            held, size = [], 0
+            if some:
+                held.append(keys(some))
             if held:
                 yield from emit(held)
         finally:
-            del held
+            del held, some
             let_go()
 
     smaller_batches(docs.sparkSession)
@@ -137,13 +144,15 @@ def _levels(docs: DataFrame, counts: DataFrame, top: tuple[np.ndarray, np.ndarra
     singles = map_rows(counts.unionByName(begin).select("key", "n"), make, schema)
     shared = spark.sparkContext.broadcast((top[0], level_of(top[1]), level_of(np.array([texts]))[0]))
 
-    def pairs_of(text):
+    def pairs_of(some):
         keys, levels, first = shared.value
-        found = tokens(text)
-        at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
-        kind = np.roll(np.where(keys[at] == found, levels[at], 0) if len(keys) else np.zeros(len(found), np.uint8), 1)
-        kind[0] = first
-        return pair_keys(found) | kind.astype(np.uint64)
+        sizes = np.array([len(x) for x in some])
+        starts, found = np.cumsum(sizes) - sizes, np.concatenate(some)
+        distinct, which = np.unique(found, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+        kind = np.roll((np.where(keys[at] == distinct, levels[at], 0) if len(keys) else np.zeros(len(distinct), np.uint8))[which], 1)
+        kind[starts] = first
+        return pair_keys(found, starts) | kind.astype(np.uint64)
 
     # one shuffle by segment and class, then each task sums its own keys
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -163,7 +172,7 @@ def _levels(docs: DataFrame, counts: DataFrame, top: tuple[np.ndarray, np.ndarra
 def train(docs: DataFrame) -> dict:
     """From the rows' texts: exact word counts (a written table), N, V, the filter and the arrays of the most frequent words."""
     schema = "segment int, key long, n long"
-    raw = _counted(docs, tokens, schema)
+    raw = _counted(docs, np.concatenate, schema)
     counts = stash(raw.groupBy("key").agg(F.sum("n").alias("n")), "words")
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = row["n"], row["v"]

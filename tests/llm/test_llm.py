@@ -554,6 +554,18 @@ def test_walk_is_in_order():
 # --- 9 ---
 
 
+def test_tokens_of_a_language_model():
+    """Words are cut and lower-cased as everywhere else, without a memo that a corpus of many different words fills over and over."""
+    from nearfield.llm import common
+
+    odd = [None, "", " \x0b A\x0cb\x1c\x85\xa0 C d \xc9 \u0130\x00x\x1fY\t\r\n", "\u2003 \U0001f600Z z" * 3, " ".join(f"W{i}" for i in range(5000))]
+    common.let_go()
+    got = [lm_score.tokens(t).tolist() for t in odd]
+    assert not common.word_hashes(True)
+    assert got == [[*common.hashed(common.words(t), True).tolist(), int(lm_score.END)] for t in odd]
+    common.let_go()
+
+
 def test_language_model(spark, odd, none):
     texts = [*odd[1], *(prose(i, 50) for i in range(200, 240))]
     docs = table(spark, texts)

@@ -554,6 +554,18 @@ def test_walk_is_in_order():
 # --- 9 ---
 
 
+def test_windows_are_hashed_without_a_memo():
+    """Words of windows are cut as everywhere else and hashed from bytes, with nothing kept."""
+    from nearfield.llm import common
+
+    odd = [None, "", " \x0b A\x0cb\x1c\x85\xa0 C d \xc9 \u0130\x00x\x1fY\t\r\n", "\u2003 \U0001f600Z z" * 3, " ".join(f"W{i}" for i in range(500))]
+    common.let_go()
+    got = substring_dedup.Runs(odd, 35, 12).found.tolist()
+    assert not common.word_hashes(False)
+    assert got == [h for t in odd for h in common.hashed(common.words(t), False).tolist()]
+    common.let_go()
+
+
 def test_tokens_of_a_language_model():
     """Words are cut and lower-cased as everywhere else, without a memo that a corpus of many different words fills over and over."""
     from nearfield.llm import common

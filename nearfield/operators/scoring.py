@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import wide
 from .stats import quantile
 
 KEY = ("subset", "q")
@@ -149,11 +151,39 @@ def margin_robustness_index(found: DataFrame, ks, *, tau: float | None = None, k
 
 
 def composition(found: DataFrame, ks) -> DataFrame:
-    """Per k: mean share of each type among a unit's first k neighbours, and the quartile points of the SS-free share."""
-    n = F.col("n_ss") + F.col("n_so") + F.col("n_os") + F.col("n_oo")
-    rows = at_k(evidence(found), ks).withColumns({t: F.col(f"n_{t}") / n for t in ("ss", "so", "os", "oo")})
-    means = rows.groupBy("k").agg(*(F.avg(t).alias(f"mean_{t}") for t in ("ss", "so", "os", "oo")))
-    return means.join(wide(rows, "oo", {"oo_q25": 0.25, "oo_q75": 0.75, "oo_q90": 0.9}, by=["k"]), "k", "left")
+    """Per k: mean share of each type among a unit's first k neighbours (all, if fewer), and quartile points of the OO share. A unit's types are gathered in one array; units are
+    counted by k and OO share, of which there are few, and the quartile points (linear) are read from the counts."""
+    ks = k_list(ks)
+    types = F.col("rank") * 4 + F.when(F.col("type") == "SS", 0).when(F.col("type") == "SO", 1).when(F.col("type") == "OS", 2).otherwise(3)
+    units = found.where(F.col("rank") <= max(ks)).groupBy(*KEY).agg(F.array_sort(F.collect_list(types.cast("int"))).alias("types")).select("types")
+
+    def count(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            size = pc.list_value_length(batch.column("types")).to_numpy()
+            flat, start = batch.column("types").flatten().to_numpy() & 3, np.cumsum(size) - size
+            running = np.concatenate([np.zeros((4, 1), "int64"), np.cumsum(flat == np.arange(4)[:, None], axis=1)], axis=1)
+            for k in ks:
+                n = np.minimum(k, size)
+                shares = (running[:, start + n] - running[:, start]) / n
+                oo, of, units = np.unique(shares[3], return_inverse=True, return_counts=True)
+                sums = [np.bincount(of, weights=x) for x in shares[:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(oo), k, "int32")), pa.array(oo), pa.array(units), *map(pa.array, sums)], names=["k", "oo", "units", "ss", "so", "os"])
+
+    counted = units.mapInArrow(count, "k int, oo double, units long, ss double, so double, os double")
+    rows = counted.groupBy("k", "oo").agg(*(F.sum(c).alias(c) for c in ("units", "ss", "so", "os")))
+    w = Window.partitionBy("k")
+    rows = rows.withColumn("n", F.sum("units").over(w)).withColumn("upto", F.sum("units").over(w.orderBy("oo")))
+
+    def point(q: float) -> Column:
+        at = (F.col("n") - 1) * q
+        low, high = (F.min(F.when(F.col("upto") > end(at), F.col("oo"))) for end in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        return (1 - part) * low + part * high
+
+    means = [(F.sum(c) / F.sum("units")).alias(f"mean_{c}") for c in ("ss", "so", "os")] + [(F.sum(F.col("oo") * F.col("units")) / F.sum("units")).alias("mean_oo")]
+    return rows.groupBy("k").agg(*means, *(point(q).alias(f"oo_q{round(q * 100)}") for q in (0.25, 0.75, 0.9)))
 
 
 def contested(units: DataFrame) -> DataFrame:

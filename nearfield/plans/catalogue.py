@@ -253,7 +253,7 @@ def valid_counts(spark, sf_dir):
 SELECT CAST(k AS BIGINT) AS k, round(avg(ss), 9) AS mean_ss, round(avg(so), 9) AS mean_so, round(avg(os), 9) AS mean_os, round(avg(oo), 9) AS mean_oo,
   round(quantile_cont(oo, 0.25), 9) AS oo_q25, round(quantile_cont(oo, 0.75), 9) AS oo_q75, round(quantile_cont(oo, 0.9), 9) AS oo_q90 FROM f GROUP BY k""")
 def composition_by_k(spark, sf_dir):
-    return rounded(scoring.composition(near(spark, sf_dir, 200), range(1, 201)))
+    return rounded(scoring.composition(neighbors.nearest_types(base(spark, sf_dir), 200), range(1, 201)))
 
 
 @query(f"""WITH {NEAR.replace('{k}', '1000000000')}, d AS (SELECT q, min(rank) FILTER (type = 'SO') AS first_so, min(rank) FILTER (type = 'OS') AS first_os,

@@ -140,6 +140,25 @@ def test_search_writes_candidates_once(spark, monkeypatch):
     assert found(got) == found(first.where("q <> 7"))
 
 
+def test_composition_from_types(spark):
+    """Shares by k as one unit after the other has them, some with fewer neighbours than k, from written rows without ids and distances."""
+    from nearfield.operators import scoring
+
+    rng = np.random.default_rng(2)
+    n = 60
+    df = table(spark, rng.normal(size=(n, 4)), [f"l{i}" for i in rng.integers(0, 2, n)], [f"c{i}" for i in rng.integers(0, 2, n)], [f"g{max(0, i - 40)}" for i in range(n)])
+    near = neighbors.nearest_types(df, 30)
+    assert not {"c", "dist"} & {*near.columns}
+    of = {}
+    for r in near.orderBy("q", "rank").collect():
+        of.setdefault(r["q"], []).append(r["type"])
+    assert {len(x) for x in of.values()} == {19, 30}
+    for r in scoring.composition(near, [1, 7, 25]).collect():
+        shares = {t: np.array([np.mean([x == t for x in own[: r["k"]]]) for own in of.values()]) for t in ("SS", "SO", "OS", "OO")}
+        want = [*(shares[t].mean() for t in shares), *np.quantile(shares["OO"], [0.25, 0.75, 0.9])]
+        assert np.allclose([r[c] for c in ("mean_ss", "mean_so", "mean_os", "mean_oo", "oo_q25", "oo_q75", "oo_q90")], want)
+
+
 # --- quantiles ---
 
 

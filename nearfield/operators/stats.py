@@ -7,7 +7,9 @@ They go to Spark as a table.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -204,36 +206,61 @@ def quantile(df: DataFrame, value: str, q: float) -> float | None:
     return None
 
 
+def _each_draw(clusters: int, n: int, seed: int) -> Iterator[np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, clusters, clusters) for _ in range(n))
+
+
 def draws(clusters: list[str], n: int, seed: int) -> np.ndarray:
     """n rows of cluster numbers, drawn with replacement from the sorted clusters."""
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.integers(0, len(clusters), len(clusters)) for _ in range(n)])
+    return np.stack([*_each_draw(len(clusters), n, seed)])
 
 
-def draw_table(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
-    """rep, cluster, times: how often each replicate takes each cluster."""
+class Draws(NamedTuple):
+    """How often each replicate takes each cluster: the clusters' names, the replicates' numbers, and replicates times clusters in the smallest whole-number type."""
+
+    names: list[str]
+    reps: np.ndarray
+    times: np.ndarray
+
+
+def draw_counts(df: DataFrame, cluster: str, n: int, seed: int) -> Draws:
+    """Counts alone: a byte or two for each replicate and cluster."""
     names = sorted(r[0] for r in df.select(cluster).distinct().collect())
-    rows = []
-    for rep, drawn in enumerate(draws(names, n, seed)):
-        at, times = np.unique(drawn, return_counts=True)
-        rows += [(rep, names[i], int(t)) for i, t in zip(at, times, strict=True)]
+    times = []
+    for drawn in _each_draw(len(names), n, seed):
+        row = np.bincount(drawn, minlength=len(names))
+        times.append(row.astype(np.min_scalar_type(row.max(initial=0))))
+    return Draws(names, np.arange(n), np.stack(times))
+
+
+def draw_table(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
+    """rep, cluster, times: the same counts as a table, without zeros."""
+    names, reps, times = draw_counts(df, cluster, n, seed)
+    at, of = np.nonzero(times)
+    rows = [(int(reps[r]), names[c], int(times[r, c])) for r, c in zip(at, of, strict=True)]
     return df.sparkSession.createDataFrame(rows, f"rep int, {cluster} string, times long")
 
 
+def _counted(taken: DataFrame, cluster: str) -> Draws:
+    drawn = taken.toPandas()
+    reps, at = np.unique(drawn["rep"].to_numpy(int), return_inverse=True)
+    names = sorted(drawn[cluster].unique())
+    times = np.zeros((len(reps), len(names)), np.min_scalar_type(int(drawn["times"].max()) if len(drawn) else 0))
+    times[at, drawn[cluster].map({c: i for i, c in enumerate(names)}).to_numpy(int)] = drawn["times"]
+    return Draws(names, reps, times)
+
+
 #: Values of a range of medians, about; ranges at most, and the accuracy of the sketch that cuts them.
 RANGE, RANGES, ACCURACY = 2_000, 4_096, 20_000
 
 
-def weighted_medians(df: DataFrame, taken: DataFrame, cluster: str, value: str, by=()) -> DataFrame:
+def weighted_medians(df: DataFrame, taken: DataFrame | Draws, cluster: str, value: str, by=()) -> DataFrame:
     """Median of each replicate's pooled rows, exactly. Equal values of a cluster are one row with a count; values are cut into ranges, and counts by cluster and range, times
     the draws, tell in which range a replicate's middle rows lie and at which place there. Each such range is then put in order once for all replicates, so rows are never
     joined with replicates. The draws, replicates times clusters, go to every task."""
     by, spark = [*by], df.sparkSession
-    drawn = taken.toPandas()  # replicates times clusters; they come from the driver
-    reps, at = np.unique(drawn["rep"].to_numpy(int), return_inverse=True)
-    names = sorted(drawn[cluster].unique())
-    times = np.zeros((len(reps), len(names)))
-    times[at, drawn[cluster].map({c: i for i, c in enumerate(names)}).to_numpy(int)] = drawn["times"]
+    names, reps, times = taken if isinstance(taken, Draws) else _counted(taken, cluster)
     index = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(names)], f"`{cluster}` string, c int"))
     rows = df.where(finite(F.col(value)).isNotNull()).select(cluster, *by, F.col(value).cast("double").alias("x")).join(index, cluster)
     key = {"all_": "int"} | {f"by{i}": df.schema[c].dataType.simpleString() for i, c in enumerate(by)}
@@ -267,7 +294,7 @@ def weighted_medians(df: DataFrame, taken: DataFrame, cluster: str, value: str,
         bins, clusters, counts = table(pdf, "bin")
         out = []
         for some in np.array_split(np.arange(len(reps)), len(reps) // 256 + 1):
-            upto = shared.value[1][np.ix_(some, clusters)] @ counts
+            upto = shared.value[1][np.ix_(some, clusters)].astype(float) @ counts
             some, upto = some[upto[:, -1] > 0], upto[upto[:, -1] > 0]
             for side, p in enumerate((np.floor((upto[:, -1] - 1) / 2), np.ceil((upto[:, -1] - 1) / 2))):
                 at = (upto <= p[:, None]).sum(axis=1)
@@ -279,7 +306,7 @@ def weighted_medians(df: DataFrame, taken: DataFrame, cluster: str, value: str,
         values, clusters, counts = table(pdf, "x")
         out = np.empty(len(asked))
         for some in np.array_split(np.arange(len(asked)), len(asked) // 256 + 1):
-            upto = shared.value[1][np.ix_(asked["r"].to_numpy()[some], clusters)] @ counts
+            upto = shared.value[1][np.ix_(asked["r"].to_numpy()[some], clusters)].astype(float) @ counts
             out[some] = values[(upto <= asked["p"].to_numpy()[some][:, None]).sum(axis=1)]
         return asked.drop(columns=["r", "p"]).assign(rep=shared.value[0][asked["r"]], x=out)
 
@@ -299,12 +326,12 @@ def interval(reps: DataFrame, value: str, level: float = 0.95, by=()) -> DataFra
 
 def bootstrap_median(df: DataFrame, value: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     point = quantiles(df, value, 0.5).agg(F.max("x").alias("point"))
-    return point.crossJoin(interval(weighted_medians(df, draw_table(df, cluster, n, seed), cluster, value), "median", level))  # one row each
+    return point.crossJoin(interval(weighted_medians(df, draw_counts(df, cluster, n, seed), cluster, value), "median", level))  # one row each
 
 
 def bootstrap_delta(df: DataFrame, a: str, b: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95, subset: str | None = None) -> DataFrame:
     """median(b) - median(a) with shared draws; with subsets, medians of the subsets' medians."""
-    taken = draw_table(df, cluster, n, seed)
+    taken = draw_counts(df, cluster, n, seed)
     by = [subset] if subset else []
 
     def over(meds: DataFrame, keys: list[str]) -> DataFrame:
@@ -321,7 +348,7 @@ def bootstrap_delta(df: DataFrame, a: str, b: str, cluster: str, *, n: int = 200
 def rank_stability(df: DataFrame, model: str, value: str, cluster: str, *, n: int = 2000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Per model its mean rank and 95 % ranks over replicates with shared draws; per ordered pair how often the first has the larger median."""
     order = df.select(model).distinct()
-    meds = weighted_medians(df, draw_table(df, cluster, n, seed), cluster, value, (model,))
+    meds = weighted_medians(df, draw_counts(df, cluster, n, seed), cluster, value, (model,))
     whole = order.crossJoin(meds.select("rep").distinct()).join(meds, ["rep", model], "left")  # models times replicates
     ranks = whole.withColumn("rank", rank_first("median", model, ("rep",)))
     summary = ranks.groupBy(model).agg(F.avg("rank").alias("mean_rank"), F.percentile("rank", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(model, "mean_rank", F.col("q")[0].cast("int").alias("low_rank"), F.col("q")[1].cast("int").alias("high_rank"))

@@ -291,3 +291,17 @@ def test_held_out_rows_are_scored_in_batches(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     own = {(r["split"], r["iter"]): r["acc"] for r in downstream.probe_sweep(rows, plan, iterations=2, validation=0.2, eval_func=downstream._score).collect()}
     assert len(own) == 4 and {(r["split"], r["iter"]): r["acc"] for r in found.collect()} == pytest.approx(own)
+
+
+def test_draws_stay_counts(spark, monkeypatch):
+    """A replicate's draws are a byte for each cluster and pass through no table of the driver's rows."""
+    clusters, n = 300, 20
+    df = spark.createDataFrame(pd.DataFrame({"cluster": np.arange(1200) % clusters, "model": np.arange(1200) // 600, "x": np.arange(1200) % 77}).astype({"cluster": str, "model": str, "x": float}))
+    names, reps, times = stats.draw_counts(df, "cluster", n, 6)
+    assert names == sorted(map(str, range(clusters))) and [*reps] == [*range(n)] and times.nbytes == n * clusters
+    assert (times == [np.bincount(d, minlength=clusters) for d in stats.draws(names, n, 6)]).all()
+    table = {(r["rep"], r["cluster"]): r["times"] for r in stats.draw_table(df, "cluster", n, 6).collect()}
+    assert table == {(r, names[c]): times[r, c] for r, c in zip(*np.nonzero(times), strict=True)}
+    monkeypatch.setattr(type(df), "toPandas", None)
+    summary, pairs = stats.rank_stability(df, "model", "x", "cluster", n=n, seed=6)
+    assert summary.count() == pairs.count() == 2

@@ -251,14 +251,15 @@ def _counted(taken: DataFrame, cluster: str) -> Draws:
     return Draws(names, reps, times)
 
 
-#: Values of a range of medians, about; ranges at most, and the accuracy of the sketch that cuts them.
-RANGE, RANGES, ACCURACY = 2_000, 4_096, 20_000
+#: Values of a range of medians, about; ranges at most, the accuracy of the sketch that cuts them, and numbers that a step over replicates holds at once.
+RANGE, RANGES, ACCURACY, CELLS = 2_000, 4_096, 20_000, 4_000_000
 
 
 def weighted_medians(df: DataFrame, taken: DataFrame | Draws, cluster: str, value: str, by=()) -> DataFrame:
     """Median of each replicate's pooled rows, exactly. Equal values of a cluster are one row with a count; values are cut into ranges, and counts by cluster and range, times
-    the draws, tell in which range a replicate's middle rows lie and at which place there. Each such range is then put in order once for all replicates, so rows are never
-    joined with replicates. The draws, replicates times clusters, go to every task."""
+    the draws, tell in which range a replicate's middle rows lie and at which place there: first among parts of some 90 ranges each, then among a part's ranges, so that a
+    task's counts are the clusters times 91 at most. Each such range is then put in order once for all replicates, so rows are never joined with replicates. The draws,
+    replicates times clusters, go to every task."""
     by, spark = [*by], df.sparkSession
     names, reps, times = taken if isinstance(taken, Draws) else _counted(taken, cluster)
     index = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(names)], f"`{cluster}` string, c int"))
@@ -290,29 +291,48 @@ def weighted_medians(df: DataFrame, taken: DataFrame | Draws, cluster: str, valu
         np.add.at(counts, (of, at), pdf["n"].to_numpy())
         return values, clusters, counts.cumsum(axis=1)
 
-    def locate(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, clusters, counts = table(pdf, "bin")
+    def find(upto: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a row's running counts pass the place p, and the place there."""
+        at = (upto <= p[:, None]).sum(axis=1)
+        return at, p - np.where(at > 0, upto[np.arange(len(at)), at - 1], 0)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, clusters, counts = table(pdf, "part")
         out = []
         for some in np.array_split(np.arange(len(reps)), len(reps) // 256 + 1):
             upto = shared.value[1][np.ix_(some, clusters)].astype(float) @ counts
             some, upto = some[upto[:, -1] > 0], upto[upto[:, -1] > 0]
             for side, p in enumerate((np.floor((upto[:, -1] - 1) / 2), np.ceil((upto[:, -1] - 1) / 2))):
-                at = (upto <= p[:, None]).sum(axis=1)
-                before = np.where(at > 0, upto[np.arange(len(at)), at - 1], 0)
-                out.append(pd.DataFrame({"r": some, "side": side, "bin": bins[at], "p": p - before}))
+                at, left = find(upto, p)
+                out.append(pd.DataFrame({"r": some, "side": side, "part": parts[at], "p": left}))
         return pd.concat(out).assign(**{c: pdf[c].iloc[0] for c in key})
 
-    def settle(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        values, clusters, counts = table(pdf, "x")
-        out = np.empty(len(asked))
+    def second(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        bins, clusters, counts = table(pdf, "bin")
+        bin_, left = np.empty(len(asked), np.int64), np.empty(len(asked))
         for some in np.array_split(np.arange(len(asked)), len(asked) // 256 + 1):
             upto = shared.value[1][np.ix_(asked["r"].to_numpy()[some], clusters)].astype(float) @ counts
-            out[some] = values[(upto <= asked["p"].to_numpy()[some][:, None]).sum(axis=1)]
+            at, left[some] = find(upto, asked["p"].to_numpy()[some])
+            bin_[some] = bins[at]
+        return asked.drop(columns="part").assign(bin=bin_, p=left)
+
+    def settle(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        c, n, x = (pdf[k].to_numpy() for k in ("c", "n", "x"))
+        out = np.empty(len(asked))
+        for some in np.array_split(np.arange(len(asked)), min(len(asked), len(asked) * len(pdf) // CELLS + 1)):
+            upto = (shared.value[1][np.ix_(asked["r"].to_numpy()[some], c)] * n).cumsum(axis=1)
+            out[some] = x[find(upto, asked["p"].to_numpy()[some])[0]]
         return asked.drop(columns=["r", "p"]).assign(rep=shared.value[0][asked["r"]], x=out)
 
     dealt = rows.mapInPandas(deal, f"{types}, c int, x double, n long, bin int")
-    counts = dealt.groupBy(*key, "bin", "c").agg(F.sum("n").alias("n"))
-    asked = stash(counts.groupBy(*key).applyInPandas(locate, f"{types}, r int, side int, bin int, p double"), "asked")
+    per = math.isqrt(2 * cuts) + 1  # ranges of a part, about as many as there are parts
+    counts = stash(dealt.groupBy(*key, "bin", "c").agg(F.sum("n").alias("n")).withColumn("part", F.floor(F.col("bin") / per).cast("int")), "counts")
+    asked = counts.groupBy(*key, "part", "c").agg(F.sum("n").alias("n")).groupBy(*key).applyInPandas(first, f"{types}, r int, side int, part int, p double")
+    asked = stash(asked, "asked")  # replicates of each group
+    near = counts.join(F.broadcast(asked.select(*key, "part").distinct()), [*key, "part"], "left_semi")
+    asked = near.groupBy(*key, "part").cogroup(asked.groupBy(*key, "part")).applyInPandas(second, f"{types}, r int, side int, bin int, p double")
+    asked = stash(asked, "asked")
     held = dealt.join(F.broadcast(asked.select(*key, "bin").distinct()), [*key, "bin"], "left_semi")  # ranges of each group
     found = held.groupBy(*key, "bin").cogroup(asked.groupBy(*key, "bin")).applyInPandas(settle, f"{types}, rep int, side int, bin int, x double")
     medians = found.groupBy("rep", *key).agg(((F.min("x") + F.max("x")) / 2).alias("median"))

@@ -305,3 +305,23 @@ def test_draws_stay_counts(spark, monkeypatch):
     monkeypatch.setattr(type(df), "toPandas", None)
     summary, pairs = stats.rank_stability(df, "model", "x", "cluster", n=n, seed=6)
     assert summary.count() == pairs.count() == 2
+
+
+def test_counts_are_searched_by_part(spark, monkeypatch):
+    """Clusters of their own levels spread the medians over many parts; no task is given a group's counts by range, only a part's."""
+    from nearfield.sources import shared
+
+    monkeypatch.setattr(stats, "RANGE", 20)
+    monkeypatch.setattr(stats, "CELLS", 100)
+    rng = np.random.default_rng(8)
+    c = rng.integers(0, 12, 3000)
+    rows = pd.DataFrame({"cluster": c.astype(str), "x": 10.0 * c + rng.random(3000)})
+    df = spark.createDataFrame(rows)
+    seen = len(shared._written)
+    got = {r["rep"]: r["median"] for r in stats.weighted_medians(df, stats.draw_counts(df, "cluster", 60, 4), "cluster", "x").collect()}
+    names = sorted(set(rows["cluster"]))
+    pools = [np.concatenate([rows["x"][rows["cluster"] == names[i]] for i in drawn]) for drawn in stats.draws(names, 60, 4)]
+    assert got == {rep: float(np.median(pool)) for rep, pool in enumerate(pools)}
+    counts = next(spark.read.parquet(path) for _, path in shared._written[seen:] if path.endswith("-counts")).toPandas()
+    parts = counts.groupby("part")
+    assert len(parts) > 8 and parts["bin"].nunique().max() <= len(parts) + 1 and parts.size().max() < len(counts) / 4

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import finite
 from ..sources.shared import stash
-from .quantiles import quantiles, wide
+from .quantiles import wide
 
 
 def rank_first(value: str, tie: str, by=()) -> Column:
@@ -234,6 +234,15 @@ def draw_counts(df: DataFrame, cluster: str, n: int, seed: int) -> Draws:
     return Draws(names, np.arange(n), np.stack(times))
 
 
+#: The number of the replicate that is the table itself.
+WHOLE = -1
+
+
+def with_whole(taken: Draws) -> Draws:
+    """One replicate more, first, that takes each cluster once."""
+    return Draws(taken.names, np.append(WHOLE, taken.reps), np.vstack([np.ones((1, len(taken.names)), taken.times.dtype), taken.times]))
+
+
 def draw_table(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
     """rep, cluster, times: the same counts as a table, without zeros."""
     names, reps, times = draw_counts(df, cluster, n, seed)
@@ -262,10 +271,10 @@ def weighted_medians(df: DataFrame, taken: DataFrame | Draws, cluster: str, valu
     replicates times clusters, go to every task."""
     by, spark = [*by], df.sparkSession
     names, reps, times = taken if isinstance(taken, Draws) else _counted(taken, cluster)
-    index = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(names)], f"`{cluster}` string, c int"))
-    rows = df.where(finite(F.col(value)).isNotNull()).select(cluster, *by, F.col(value).cast("double").alias("x")).join(index, cluster)
+    index = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(names)], "name string, c int"))
     key = {"all_": "int"} | {f"by{i}": df.schema[c].dataType.simpleString() for i, c in enumerate(by)}
-    rows = rows.select(F.lit(0).alias("all_"), *(F.col(c).alias(f"by{i}") for i, c in enumerate(by)), "c", "x").dropna(subset=[*key])
+    rows = df.select(F.lit(0).alias("all_"), *(F.col(c).alias(f"by{i}") for i, c in enumerate(by)), F.col(cluster).alias("name"), finite(F.col(value)).alias("x"))
+    rows = rows.dropna(subset=[*key, "x"]).join(index, "name")
     rows = stash(rows.groupBy(*key, "c", "x").agg(F.count(F.lit(1)).alias("n")), "values")
     most = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
     cuts = min(RANGES, math.ceil(most / RANGE) + 1)
@@ -344,25 +353,35 @@ def interval(reps: DataFrame, value: str, level: float = 0.95, by=()) -> DataFra
     return reps.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(1 - low)).alias("high"), F.count(value).alias("n_reps"))
 
 
+def _with_point(reps: DataFrame, value: str, level: float) -> DataFrame:
+    """The value of the table itself, and the interval of the other replicates."""
+    reps = stash(reps, "replicates")
+    point = reps.agg(F.max(F.when(F.col("rep") == WHOLE, F.col(value))).alias("point"))
+    return point.crossJoin(interval(reps.where(F.col("rep") != WHOLE), value, level))  # one row each
+
+
 def bootstrap_median(df: DataFrame, value: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    point = quantiles(df, value, 0.5).agg(F.max("x").alias("point"))
-    return point.crossJoin(interval(weighted_medians(df, draw_counts(df, cluster, n, seed), cluster, value), "median", level))  # one row each
+    return _with_point(weighted_medians(df, with_whole(draw_counts(df, cluster, n, seed)), cluster, value), "median", level)
 
 
 def bootstrap_delta(df: DataFrame, a: str, b: str, cluster: str, *, n: int = 2000, seed: int = 0, level: float = 0.95, subset: str | None = None) -> DataFrame:
-    """median(b) - median(a) with shared draws; with subsets, medians of the subsets' medians."""
-    taken = draw_counts(df, cluster, n, seed)
-    by = [subset] if subset else []
+    """median(b) - median(a) with shared draws; with subsets, medians of the subsets' medians. Both columns are searched at once, and without subsets the table itself is one
+    more replicate."""
+    taken, by = draw_counts(df, cluster, n, seed), ["subset"] if subset else []
 
     def over(meds: DataFrame, keys: list[str]) -> DataFrame:
         out = meds.groupBy(*keys).agg(F.median("a").alias("a"), F.median("b").alias("b")) if by else meds
         return out.select(*keys, (F.col("b") - F.col("a")).alias("delta"))
 
-    x, y = (weighted_medians(df, taken, cluster, c, by).withColumnRenamed("median", n) for c, n in ((a, "a"), (b, "b")))
-    reps = over(x.join(y, ["rep", *by]), ["rep"])
-    own = [wide(df, c, {n: 0.5}, by=by) for c, n in ((a, "a"), (b, "b"))]
-    point = over(own[0].join(own[1], by, "outer") if by else own[0].crossJoin(own[1]), [])  # one row each without subsets
-    return point.withColumnRenamed("delta", "point").crossJoin(interval(reps, "delta", level))  # one row each
+    sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).cast("double").alias("x")) for side, c in (("a", a), ("b", b)))))
+    rows = df.select(F.col(cluster).alias("cluster"), *(F.col(subset).alias(c) for c in by), sides.alias("v")).select("cluster", *by, "v.side", "v.x")
+    meds = weighted_medians(rows, taken if by else with_whole(taken), "cluster", "x", [*by, "side"])
+    meds = meds.groupBy("rep", *by).agg(*(F.max(F.when(F.col("side") == side, F.col("median"))).alias(side) for side in "ab")).where("a is not null and b is not null")
+    if not by:
+        return _with_point(over(meds, ["rep"]), "delta", level)
+    own = [wide(df, c, {side: 0.5}, by=[subset]) for side, c in (("a", a), ("b", b))]
+    point = over(own[0].join(own[1], subset, "outer"), [])
+    return point.withColumnRenamed("delta", "point").crossJoin(interval(over(meds, ["rep"]), "delta", level))  # one row each
 
 
 def rank_stability(df: DataFrame, model: str, value: str, cluster: str, *, n: int = 2000, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -303,7 +303,7 @@ def test_draws_stay_counts(spark, monkeypatch):
     table = {(r["rep"], r["cluster"]): r["times"] for r in stats.draw_table(df, "cluster", n, 6).collect()}
     assert table == {(r, names[c]): times[r, c] for r, c in zip(*np.nonzero(times), strict=True)}
     monkeypatch.setattr(type(df), "toPandas", None)
-    summary, pairs = stats.rank_stability(df, "model", "x", "cluster", n=n, seed=6)
+    summary, pairs = stats.rank_stability(df.withColumnRenamed("cluster", "c"), "model", "x", "c", n=n, seed=6)  # a name that the search uses itself
     assert summary.count() == pairs.count() == 2
 
 
@@ -325,3 +325,32 @@ def test_counts_are_searched_by_part(spark, monkeypatch):
     counts = next(spark.read.parquet(path) for _, path in shared._written[seen:] if path.endswith("-counts")).toPandas()
     parts = counts.groupby("part")
     assert len(parts) > 8 and parts["bin"].nunique().max() <= len(parts) + 1 and parts.size().max() < len(counts) / 4
+
+
+def test_delta_searches_both_columns_at_once(spark):
+    """Values that are no numbers are left out of their own column only; the table is written once, and its own medians are a replicate's."""
+    from nearfield.sources import shared
+
+    rng = np.random.default_rng(12)
+    n, reps = 1500, 50
+    rows = pd.DataFrame({"cluster": rng.integers(0, 7, n).astype(str), "part": rng.choice(["p", "q", "r"], n), "x": np.round(rng.normal(size=n), 1), "y": rng.normal(size=n)})
+    rows.loc[rng.random(n) < 0.2, "x"] = math.nan
+    rows.loc[rng.random(n) < 0.1, "y"] = math.inf
+    df = spark.createDataFrame(rows)
+    seen = len(shared._written)
+    got = stats.bootstrap_delta(df, "x", "y", "cluster", n=reps, seed=3).first()
+    assert sum(path.endswith("-values") for _, path in shared._written[seen:]) == 1
+    names = sorted(set(rows["cluster"]))
+
+    def delta(pool, by=False):
+        good = pool.replace([math.inf], math.nan)
+        meds = good.groupby("part")[["x", "y"]].median().median() if by else good[["x", "y"]].median()
+        return meds["y"] - meds["x"]
+
+    pools = [pd.concat([rows[rows["cluster"] == names[i]] for i in drawn]) for drawn in stats.draws(names, reps, 3)]
+    for by, r in ((False, got), (True, stats.bootstrap_delta(df, "x", "y", "cluster", n=reps, seed=3, subset="part").first())):
+        low, high = np.percentile([delta(p, by) for p in pools], [2.5, 97.5])
+        assert (r["point"], r["low"], r["high"], r["n_reps"]) == pytest.approx((delta(rows, by), low, high, reps))
+    m = stats.bootstrap_median(df, "x", "cluster", n=reps, seed=3).first()
+    low, high = np.percentile([p["x"].median() for p in pools], [2.5, 97.5])
+    assert (m["point"], m["low"], m["high"], m["n_reps"]) == pytest.approx((rows["x"].median(), low, high, reps))
